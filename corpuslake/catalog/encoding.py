@@ -6,6 +6,7 @@ from corpuslake.catalog.registry import query, table
 from corpuslake.catalog.shapes import TOKEN_SQL, TOKENS_SQL, joined, token_ids
 from corpuslake.functions import wordlists as w
 from corpuslake.functions.text import normalize_text, pretokenize
+from corpuslake.session import spread
 from corpuslake.operators.bpe import bpe_tokens, encode_bpe, train_bpe
 from corpuslake.operators.shaping import apply_mask, assign_batches, mask_report, pack_sequences, packed_layout, span_masks
 from corpuslake.operators.tokens import (
@@ -23,7 +24,7 @@ TERMS = [*w.DOMAIN_TERMS, "the", "and", "USB-C", "on the", "que"]
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def tokens(spark, sf):
@@ -38,13 +39,13 @@ def _(spark, sf):
 
 @query("train_bpe")
 def _(spark, sf):
-    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=160)
+    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=100)
     return vocab.join(merges.select(F.concat("left", "right").alias("token"), "rank", "left", "right"), "token", "left")
 
 
 @query("encode_trained_bpe")
 def _(spark, sf):
-    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=120)
+    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=80)
     words = pretokenize(normalize_text("text"))
     rows = encode_bpe(docs(spark, sf), words, vocab, merges)
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("input_ids")).cast("bigint").alias("n_tokens"))
@@ -61,11 +62,11 @@ def _merge_sql(word: str) -> str:
 @query("encode_bpe", f"""
   WITH x AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM (SELECT doc_id, {FOLDED_WORDS_SQL} AS words FROM documents)),
   e AS (SELECT doc_id, place, trim(replace({_merge_sql('word')}, '  ', ' ')) AS parts FROM x)
-  SELECT doc_id, string_agg(parts, ' ' ORDER BY place) AS tokens FROM e GROUP BY doc_id""")
+  SELECT doc_id, coalesce(string_agg(parts, ' ' ORDER BY place), '') AS tokens FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id""")
 def _(spark, sf):
     words = pretokenize(normalize_text("text"))
     rows = docs(spark, sf).select("doc_id", bpe_tokens(spark, words, MERGES).alias("tokens"))
-    return rows.where(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+    return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("add_special_tokens", f"""

@@ -11,6 +11,7 @@ from corpuslake.operators.ranking import cap_queries, grade_labels, macro_averag
 from corpuslake.operators.retrieval import (
     adaptive_k, bm25, dense_topk, hybrid_search, matryoshka_search, maxsim, rerank, rrf, tag_prefilter, term_overlap, threshold_scores)
 from corpuslake.plans.evaluation import evaluate_judgments
+from corpuslake.session import spread
 
 DIM = 64
 
@@ -53,7 +54,7 @@ def bow_sql(source: str, key: str, text: str) -> str:
 @query("encode_table", f"""
   SELECT doc_id, bucket, round(x, 9) AS x FROM ({bow_sql('documents', 'doc_id', 'text')})""")
 def _(spark, sf):
-    rows = encode_table(table(spark, sf, "documents").select("doc_id", "text"), HashedBagOfWords)
+    rows = encode_table(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), HashedBagOfWords)
     sparse = rows.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).where(F.col("x") != 0)
     return rounded(sparse.withColumn("bucket", F.col("bucket").cast("bigint")), "x", digits=9)
 
@@ -186,7 +187,7 @@ def _(spark, sf):
         FROM j LEFT JOIN pv ON pv.pos = j.pos LEFT JOIN qv ON qv.query = j.query AND qv.bucket = pv.bucket GROUP BY j.query, j.pos)
   SELECT (SELECT round(avg(ndcg), 6) FROM ({ndcg_sql('SELECT * FROM s')})) AS ndcg, round(avg(rr), 6) AS mrr, count(*) AS queries FROM ({mrr_sql('SELECT * FROM s')})""")
 def _(spark, sf):
-    return rounded(evaluate_judgments(judgments(table(spark, sf, "part"))), "ndcg", "mrr")
+    return rounded(evaluate_judgments(judgments(spread(table(spark, sf, "part"), "p_partkey"))), "ndcg", "mrr")
 
 
 # --- search --------------------------------------------------------------------------------------
@@ -217,7 +218,8 @@ def bm25_sql(docs: str, k: int) -> str:
 
 
 def items(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text", F.array("lang", "source").alias("tags"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    return docs.select(F.col("doc_id").alias("item_id"), "text", F.array("lang", "source").alias("tags"))
 
 
 def questions(spark, sf):

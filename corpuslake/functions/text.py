@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -110,6 +110,16 @@ def normalize_text(texts: pd.Series) -> pd.Series:
     return texts.map(fold, na_action="ignore")
 
 
+def explode_values(df: DataFrame, values: Column, name: str, *keep: Column | str) -> DataFrame:
+    """One row per non-null element of an array.
+
+    The outer form keeps Catalyst from adding a filter on the array's size below the generator,
+    which would compute the array twice. Whatever else the rows need has to be a column already:
+    an expression over the array next to the generator would copy the array into every row.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def pretokenize(c: Column | str) -> Column:
     """Words between whitespace, with every punctuation character on its own."""
     return F.regexp_extract_all(col(c), F.lit(TOKEN_PATTERN), F.lit(0))

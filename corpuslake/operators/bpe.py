@@ -1,37 +1,59 @@
 """Byte-pair training on the distinct-word table, and encoding.
 
 Only counting words touches the corpus. Training works on `(freq, symbols)` rows, one per distinct
-word; each round is one aggregate over adjacent pairs and one rewrite of the words. Ties are broken
-by count descending, then left and right symbol ascending.
+word, and on a table of pair counts. Ties are broken by count descending, then left and right
+symbol ascending.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.functions.text import explode_values
+from corpuslake.functions.vectors import let
 from corpuslake.functions.wordlists import SPECIAL_TOKENS
-from corpuslake.session import cut_lineage
+from corpuslake.session import cut_lineage, spread
 
 CANDIDATES = 256        # best pairs looked at per round
-LINEAGE_ROUNDS = 16     # rounds between two written copies of the word table
+WRITE_AFTER = 8         # merges between two written copies of words and counts
 CACHED_WORDS = 200_000  # encoded words kept per Python worker
 
 
-def symbols(word: Column | str) -> Column:
-    return F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0))
+def spaced(word: Column | str) -> Column:
+    """The word's characters, each between two blanks. A word never holds a blank itself."""
+    return F.regexp_replace(word, "(?s)(.)", " $1 ")
 
 
-def pair_counts(words: DataFrame) -> DataFrame:
-    """`left, right, n` of all adjacent symbols; sums are partial before the shuffle."""
-    pairs = F.zip_with(F.slice(F.col("symbols"), F.lit(1), F.size("symbols") - 1), F.slice(F.col("symbols"), F.lit(2), F.size("symbols") - 1),
-                       lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    rows = words.where(F.size("symbols") > 1).select(F.explode(pairs).alias("p"), "freq")
-    return rows.groupBy("p.left", "p.right").agg(F.sum("freq").alias("n"))
+def apply_merges(symbols: Column, merges: Sequence[tuple[str, str]]) -> Column:
+    """Merges from left to right; every symbol owns its two blanks, so matches never share one."""
+    for left, right in merges:
+        symbols = F.replace(symbols, F.lit(f" {left}  {right} "), F.lit(f" {left}{right} "))
+    return symbols
+
+
+def adjacent(symbols: Column, sign: int) -> Column:
+    """Neighbouring symbols of a word as an array of `a, b, sign`."""
+    def zipped(parts: Column) -> Column:
+        n = F.size(parts) - 1
+        return F.arrays_zip(F.slice(parts, F.lit(1), n).alias("a"), F.slice(parts, F.lit(2), n).alias("b"),
+                            F.array_repeat(F.lit(sign), n).alias("sign"))
+
+    return let(F.split(F.btrim(symbols), "  "), zipped)
+
+
+def pair_rows(words: DataFrame, pairs: Column) -> DataFrame:
+    """`left, right, n` for every element of an array of neighbours."""
+    rows = explode_values(words.select("freq", pairs.alias("pairs")), F.col("pairs"), "p", "freq")
+    return rows.select(F.col("p.a").alias("left"), F.col("p.b").alias("right"), (F.col("freq") * F.col("p.sign")).alias("n"))
+
+
+def add_up(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
 
 
 def independent_merges(best: list[tuple[str, str, int]], known: set[str], room: int, min_frequency: int) -> list[tuple[str, str]]:
@@ -61,55 +83,45 @@ def independent_merges(best: list[tuple[str, str, int]], known: set[str], room:
     return [(left, right) for left, right, n in head[:room] if n >= min_frequency]
 
 
-def merge_symbols(merges: Sequence[tuple[str, str]]) -> Column:
-    """`symbols` with the given merges applied from left to right (they share no symbol)."""
-    table = F.create_map(*[F.lit(x) for left, right in merges for x in (left, right)])
-    empty = F.array().cast("array<string>")
-
-    def step(done: Column, symbol: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.try_element_at(table, F.coalesce(last, F.lit(""))) == symbol
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, symbol)))
-        return F.when(F.coalesce(joins, F.lit(False)), joined).otherwise(F.concat(done, F.array(symbol)))
-
-    lefts = [left for left, _ in merges]
-    touched = F.arrays_overlap("symbols", F.array(*[F.lit(x) for x in lefts]))
-    return F.when(touched, F.aggregate("symbols", empty, step)).otherwise(F.col("symbols"))
-
-
 def train_bpe(words: DataFrame, vocab_size: int, min_frequency: int = 2,
               specials: Sequence[str] = SPECIAL_TOKENS) -> tuple[DataFrame, DataFrame]:
     """`vocab(token, id)` and `merges(rank, left, right)` from `words(word, freq)`.
 
-    The driver holds the vocabulary being built, whose size is the `vocab_size` asked for, and the
-    best pairs of a round; words stay on the executors.
+    Words and pair counts are written every few rounds. A round is one job: it applies the merges
+    since then to the written words, and corrects the written counts by the words that changed. The
+    driver holds the vocabulary being built, whose size is the `vocab_size` asked for, and the best
+    pairs of a round.
     """
     spark = words.sparkSession
-    state = cut_lineage(words.select("freq", symbols("word").alias("symbols")), "bpe-words")
-    alphabet = [r["s"] for r in state.select(F.explode("symbols").alias("s")).distinct().orderBy("s").collect()]
-    tokens = list(dict.fromkeys([*specials, *alphabet]))
-    known, merges, rounds = set(tokens), [], 0
-    state = state.where(F.size("symbols") > 1).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def write(symbols: Column, rows: DataFrame) -> DataFrame:
+        return cut_lineage(spread(rows.select("freq", symbols.alias("symbols")), "symbols"), "bpe-words")
+
+    state = write(spaced("word"), words)
+    pairs = cut_lineage(add_up(pair_rows(state, adjacent(F.col("symbols"), 1))), "bpe-pairs")
+    letters = explode_values(state, F.split(F.btrim("symbols"), "  "), "s").distinct()
+    tokens = list(dict.fromkeys([*specials, *[r["s"] for r in letters.orderBy("s").collect()]]))
+    known, merges, recent = set(tokens), [], []
     while len(tokens) < vocab_size:
-        ordered = pair_counts(state).orderBy(F.desc("n"), "left", "right").limit(CANDIDATES)
+        now = apply_merges(F.col("symbols"), recent)
+        before = F.col("symbols")
+        change = F.when(now != before, F.concat(adjacent(before, -1), adjacent(now, 1)))
+        current = add_up(pairs.unionByName(pair_rows(state, change))) if recent else pairs
+        ordered = current.orderBy(F.desc("n"), "left", "right").limit(CANDIDATES)
         best = [(r["left"], r["right"], r["n"]) for r in ordered.collect()]
         batch = independent_merges(best, known, vocab_size - len(tokens), min_frequency) if best else []
         if not batch:
             break
+        if len(recent) >= WRITE_AFTER:
+            pairs = cut_lineage(current, "bpe-pairs")
+            state = write(now, state)
+            recent = []
         merges += batch
+        recent += batch
         for left, right in batch:
             if left + right not in known:
                 known.add(left + right)
                 tokens.append(left + right)
-        rounds += 1
-        merged = state.withColumn("symbols", merge_symbols(batch)).where(F.size("symbols") > 1)
-        if rounds % LINEAGE_ROUNDS == 0:
-            merged = cut_lineage(merged, "bpe-words")
-        merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
-        merged.count()
-        state.unpersist()
-        state = merged
-    state.unpersist()
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id bigint")
     ranked = [(i, left, right) for i, (left, right) in enumerate(merges)]
     return vocab, spark.createDataFrame(ranked, "rank bigint, left string, right string")
@@ -160,7 +172,7 @@ def bpe_tokens(spark, words: Column, merges: Sequence[tuple[str, str]], known: S
 
         return batch.map(lambda ws: None if ws is None else [t for w in ws for t in tokens(w)])
 
-    return encode(words)
+    return encode.asNondeterministic()(words)  # never copied into filters over the result
 
 
 def encode_bpe(df: DataFrame, words: Column, vocab: DataFrame, merges: DataFrame, out: str = "input_ids",

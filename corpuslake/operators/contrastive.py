@@ -12,8 +12,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.session import cut_lineage
 from corpuslake.functions.vectors import logsumexp, softmax
 
+CACHED_WORDS = 200_000  # hashed words kept per Python worker
 TILE_ROWS = 2_048  # pairs of one batch that meet in one task
 PARTIAL = "batch_id bigint, pair_id bigint, top double, total double, first bigint, own double, cosine double"
 
@@ -24,14 +26,27 @@ class HashedBagOfWords:
     def __init__(self, dim: int = 64):
         self.dim = dim
         self.words = regex.compile(r"[\p{L}\p{N}]+")
+        self.buckets: dict[str, int] = {}
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
             for word, n in Counter(self.words.findall((text or "").lower())).items():
-                out[row, int(md5(word.encode()).hexdigest()[:15], 16) % self.dim] += n
+                out[row, self.bucket(word)] += n
         return out
 
+    def bucket(self, word: str) -> int:
+        if word not in self.buckets:
+            if len(self.buckets) >= CACHED_WORDS:
+                self.buckets.clear()
+            self.buckets[word] = int(md5(word.encode()).hexdigest()[:15], 16) % self.dim
+        return self.buckets[word]
+
+
+def once(udf):
+    """Keep Catalyst from copying a costly Python call into filters over its result."""
+    return udf.asNondeterministic()
+
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(vectors, axis=-1, keepdims=True)
@@ -50,7 +65,7 @@ def encode_table(df: DataFrame, make_encoder: Callable[[], Callable], text: str
             parts = [unit_rows(np.asarray(encoder(values[i:i + batch]))) for i in range(0, len(values), batch)]
             yield pd.Series([v for part in parts for v in part])
 
-    return df.withColumn(out, encode(text))
+    return df.withColumn(out, once(encode)(text))
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -104,7 +119,8 @@ def info_nce(df: DataFrame, temperature: float = 0.05, hard_weight: float = 1.0,
             return _tile_partials(pdf, pdf, temperature, hard_weight)
         partial = rows.groupBy("batch_id").applyInPandas(whole, PARTIAL)
     else:
-        tiles = sizes.select(F.col("batch_id").alias("__b"), F.ceil(F.col("n") / tile_rows).cast("int").alias("__t"))
+        tiles = cut_lineage(
+            sizes.select(F.col("batch_id").alias("__b"), F.ceil(F.col("n") / tile_rows).cast("int").alias("__t")), "batch-tiles")
         cut = rows.join(tiles, F.col("batch_id") == F.col("__b")).drop("__b")
         cut = cut.withColumn("__own", F.pmod(F.xxhash64("pair_id"), F.col("__t")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("__t") - 1))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.session import plan_bytes
+from corpuslake.session import cut_lineage, plan_bytes
 
 HOT_ROWS = 250_000          # rows of one group that one task may sort
 MAX_HOT_GROUPS = 10_000     # hot groups looked up on the driver, largest first
@@ -113,7 +113,7 @@ def with_rank(
     offset = f"__offset{_depth}"
     offsets = sizes.withColumn(offset, F.coalesce(F.sum("__n").over(before), F.lit(0)))
     names = [f"__o{i}" for i in range(len(keys) + 1)]
-    lookup = offsets.select(*[F.col(k).alias(n) for k, n in zip([*keys, level], names)], offset)
+    lookup = cut_lineage(offsets.select(*[F.col(k).alias(n) for k, n in zip([*keys, level], names)], offset), "offsets")
     on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, level], names)]
     placed = tagged.join(lookup, on, "left").drop(*names)
     placed = placed.withColumn(offset, F.coalesce(F.col(offset), F.lit(0).cast("bigint")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.operators.ordering import with_rank
 from corpuslake.operators.pairs import LABEL_CODES
+from corpuslake.session import cut_lineage
 
 # Relevance of the judgment labels.
 GAINS = {"exact": 3, "substitute": 2, "complement": 1, "irrelevant": 0}
@@ -93,7 +94,8 @@ def cap_queries(df: DataFrame, n: int = 10_000, pos: str = "pos", query: str = "
     if reference_cut:
         last = chosen.where(F.col("__rank") == n).first()
         return df if last is None else df.where(F.col(pos) <= last["__first"])
-    return df.join(chosen.select("__q"), F.col(query) == F.col("__q"), "left_semi")
+    names = cut_lineage(chosen.select("__q"), "queries")
+    return df.join(names, F.col(query) == F.col("__q"), "left_semi")
 
 
 def macro_average(scores: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:

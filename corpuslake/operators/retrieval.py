@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslake.functions.text import explode_values
 from corpuslake.functions.vectors import dot, l2_normalize
 from corpuslake.operators.contrastive import unit_rows
 from corpuslake.operators.ordering import with_rank
+from corpuslake.session import cut_lineage
 
 BLOCK_QUERIES = 4_096       # queries sent to every task
 SHARD_ITEMS = 100_000       # items of one tile when there are more queries than that
@@ -128,43 +130,43 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: floa
     """Keyword search of `query_id, text` in `item_id, text`.
 
     Each distinct query word t adds ln(1 + (N - df + 0.5) / (df + 0.5)) x tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)).
-    Only occurrences of query words leave the scan; the table of query words is joined by its size
-    (broadcast when small, else shuffled). Scores are summed inside tasks.
+    Only occurrences of query words leave the scan. The query words are written first, so that their
+    join is a broadcast exactly when they are small. Scores are summed inside tasks.
     """
-    docs = corpus.select("item_id", model_words("text").alias("words"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl")).first()
+    docs = corpus.select("item_id", model_words("text").alias("words")).select("item_id", F.size("words").alias("dl"), "words")
+    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = totals["n"], totals["avgdl"] or 1.0
-    asked = queries.select("query_id", F.explode(F.array_distinct(model_words("text"))).alias("word"))
-    numbered = with_rank(asked.select("word").distinct(), ["word"], (), "term")
-    seen = docs.select(F.explode(F.array_distinct("words")).alias("word")).join(numbered, "word")
+    asked = cut_lineage(explode_values(queries, F.array_distinct(model_words("text")), "word", "query_id"), "query-words")
+    numbered = cut_lineage(with_rank(asked.select("word").distinct(), ["word"], (), "term"), "query-terms")
+    seen = explode_values(docs, F.array_distinct("words"), "word").join(numbered, "word")
     frequency = seen.groupBy("term", "word").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     heads = asked.join(frequency, "word").groupBy("query_id").agg(
         F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms"))
-    hits = docs.select("item_id", F.size("words").alias("dl"), F.explode("words").alias("word")).join(numbered, "word")
+    hits = explode_values(docs, F.col("words"), "word", "item_id", "dl").join(numbered, "word")
     items = hits.groupBy("item_id", "dl").agg(F.collect_list("term").alias("terms"))
 
     def kernel(head: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if head.empty:
             return
-        weights: dict[int, tuple[list[int], list[float]]] = {}
-        for q, terms in enumerate(head["terms"]):
-            for t in terms:
-                places, idfs = weights.setdefault(t["term"], ([], []))
-                places.append(q)
-                idfs.append(t["idf"])
-        arrays = {t: (np.array(places), np.array(idfs)) for t, (places, idfs) in weights.items()}
+        postings = sorted((t["term"], q, t["idf"]) for q, terms in enumerate(head["terms"]) for t in terms)
+        terms, places, idfs = (np.array(column) for column in zip(*postings))
         best = BestK(len(head), k)
-        step = max(1, CELLS // len(head))
+        step = max(1, CELLS // len(postings))  # a document meets a posting at most once
         for batch in batches:
             for at in range(0, len(batch), step):
                 part = batch.iloc[at:at + step]
-                scores = np.zeros((len(head), len(part)))
-                for j, (terms, dl) in enumerate(zip(part["terms"], part["dl"])):
-                    for term, tf in zip(*np.unique(np.asarray(terms), return_counts=True)):
-                        if term in arrays:
-                            places, idfs = arrays[term]
-                            scores[places, j] += idfs * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))
+                sizes = part["terms"].map(len).to_numpy()
+                found = np.stack([np.repeat(np.arange(len(part)), sizes), np.concatenate(part["terms"].to_numpy())])
+                (doc, term), tf = np.unique(found, axis=1, return_counts=True)
+                dl = part["dl"].to_numpy()[doc]
+                weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                first, last = np.searchsorted(terms, term, "left"), np.searchsorted(terms, term, "right")
+                n = last - first
+                row = np.repeat(np.arange(len(n)), n)
+                at_posting = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+                cell = places[at_posting] * len(part) + doc[row]
+                scores = np.bincount(cell, idfs[at_posting] * weight[row], len(head) * len(part)).reshape(len(head), len(part))
                 best.add(scores, part["item_id"].to_numpy(), scores > 0)
         yield best.frame(head["query_id"].to_numpy())
 
@@ -218,7 +220,8 @@ def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int = 64, top: i
     def short(df, key):
         return df.select(key, F.slice("vector", 1, d).alias("vector"))
 
-    coarse = dense_topk(short(queries, "query_id"), short(corpus, "item_id"), top, **kw).select("query_id", "item_id")
+    coarse = dense_topk(short(queries, "query_id"), short(corpus, "item_id"), top, **kw)
+    coarse = cut_lineage(coarse.select("query_id", "item_id"), "candidates")
     qv = queries.select("query_id", l2_normalize("vector").alias("qv"))
     dv = corpus.select("item_id", l2_normalize("vector").alias("dv"))
     rows = coarse.join(dv, "item_id").join(qv, "query_id")
@@ -267,9 +270,14 @@ def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, block: int = BLOCK_QU
 
 
 def rerank(df: DataFrame, score: Column, depth: int = 50, **kw) -> DataFrame:
-    """The best `depth` candidates of each query, scored again by a column expression."""
+    """The best `depth` candidates of each query, scored again by a column expression.
+
+    Few rows carry the whole cost here, so they are dealt out evenly before scoring, not by bytes.
+    """
     head = with_rank(df, [("score", "desc"), "item_id"], ["query_id"], "first_rank", limit=depth, **kw)
-    return with_rank(head.withColumn("score", score), [("score", "desc"), "item_id"], ["query_id"], "rank", **kw)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = head.repartition(tasks, "query_id", "item_id").withColumn("score", score)
+    return with_rank(scored, [("score", "desc"), "item_id"], ["query_id"], "rank", **kw)
 
 
 def term_overlap(query: Column | str, text: Column | str) -> Column:

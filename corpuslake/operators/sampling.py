@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions.hashing import seeded_hash
 from corpuslake.operators.ordering import Order, with_index, with_rank
+from corpuslake.session import cut_lineage
 
 DEBUG_SAMPLES = 1_000
 MAX_LITERAL_SOURCES = 1_000
@@ -51,6 +52,7 @@ def oversample_cap(df: DataFrame, n: int, rank: str = "source_rank", order: Sequ
     """
     sizes = df.groupBy(rank).agg(F.least(F.count(F.lit(1)), F.lit(2 * n)).alias("__n"))
     totals = _running_totals(sizes, rank, "__n").where(F.col("__before") < n).select(F.col(rank).alias("__r"), "__before")
+    totals = cut_lineage(totals, "source-totals")  # one row per source, of known size
     wanted = df.join(totals, F.col(rank) == F.col("__r")).drop("__r")
     ranked = with_rank(wanted, order, [rank], "__rank", limit=n, **kw)
     ranked = ranked.withColumn("position", F.col("__before") + F.col("__rank"))

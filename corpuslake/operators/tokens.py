@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.functions.text import col, normalize_text, pretokenize
+from corpuslake.functions.text import col, explode_values, normalize_text, pretokenize
 from corpuslake.functions.wordlists import SPECIAL_TOKENS
 from corpuslake.operators.ordering import with_rank
 
@@ -20,8 +20,8 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     distinct raw word once instead of the whole corpus. Normalising may uncover punctuation, hence
     the second split.
     """
-    raw = df.select(F.explode(pretokenize(text)).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
-    split = raw.select(F.explode(pretokenize(normalize_text("raw"))).alias("word"), "n")
+    raw = explode_values(df, pretokenize(text), "raw").groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    split = explode_values(raw.select(normalize_text("raw").alias("raw"), "n"), pretokenize("raw"), "word", "n")
     return split.groupBy("word").agg(F.sum("n").alias("freq"))
 
 
@@ -94,13 +94,13 @@ def domain_term_hits(df: DataFrame, terms: Sequence[str], text: str = "text", so
         words = F.filter(pretokenize(low), lambda w: w.isin(*single))
         hits = F.transform("__words", lambda w, i: F.struct(
             w.alias("term"), F.lit(1).alias("hits"), (F.array_position("__words", w) == i + 1).cast("int").alias("docs")))
-        parts.append(df.select(source, words.alias("__words")).select(source, F.explode(hits).alias("s")))
+        parts.append(explode_values(df.select(source, words.alias("__words")), hits, "s", source))
     if joined:
         counts = F.transform(F.array(*[F.lit(t) for t in joined]), lambda t: F.struct(
             t.alias("term"),
             ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int").alias("hits"),
             F.lit(1).alias("docs")))
-        parts.append(df.select(source, F.explode(F.filter(counts, lambda s: s["hits"] > 0)).alias("s")))
+        parts.append(explode_values(df, F.filter(counts, lambda s: s["hits"] > 0), "s", source))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return rows.groupBy(source, F.col("s.term").alias("term")).agg(
         F.sum("s.hits").cast("bigint").alias("hits"), F.sum("s.docs").cast("bigint").alias("docs"))

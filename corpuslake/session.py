@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_BELOW = 128 << 20
+
 
 def build_session(app: str = "corpuslake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; `conf` keys use `_` for `.`."""
@@ -42,12 +44,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: a plan that survives lost executors."""
+    """Write `df` to the shared folder and read it back.
+
+    The rest of the plan survives lost executors, and Catalyst knows the true size of the table, so
+    a join with it is broadcast exactly when that size is below the broadcast threshold.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small table out to all cores before heavy work on its rows.
+
+    A file of one row group is read by one task. Tables from `SPREAD_BELOW` on have many row groups
+    and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if plan_bytes(df) < SPREAD_BELOW else df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of `df`; used to choose a plan, never to decide what is in a result."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
