@@ -127,6 +127,7 @@ def info_nce(df: DataFrame, temperature: float = 0.05, hard_weight: float = 1.0,
         queries = cut.drop("pv").withColumn("qt", F.col("__own")).withColumn("pt", every).drop("__own", "__t")
         positives = cut.select("batch_id", "pair_id", "pv", F.col("__own").alias("pt"), "__t")
         positives = positives.withColumn("qt", F.explode(F.sequence(F.lit(0), F.col("__t") - 1))).drop("__t")
+        positives = positives.toDF(*positives.columns)  # columns of its own, for the grouping with itself
 
         def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:

@@ -33,10 +33,25 @@ def _sort(order: Sequence[Order]) -> list[Column]:
     return [F.col(n).desc_nulls_last() if desc else F.col(n).asc_nulls_first() for n, desc in _terms(order)]
 
 
+def _shared_prefix(low: str, high: str) -> int:
+    a, b = low.encode(), high.encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _number(value, skip: int) -> float:
+    """Driver-side twin of `_as_number`."""
+    if isinstance(value, str):
+        return float(int(value.encode()[skip:skip + 6].ljust(6, b"\0").hex(), 16))
+    return float(value)
+
+
 def _as_number(df: DataFrame, name: str) -> Column:
-    """A number that never decreases when the column increases (strings: their first six bytes)."""
+    """A number that never decreases when the column increases.
+
+    For strings it is made of six bytes after the prefix that all values of the group share.
+    """
     if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6))
+        head = F.hex(F.substr(F.encode(F.col(name), "UTF-8"), F.col("__skip") + 1, F.lit(6)))
         return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
@@ -71,27 +86,30 @@ def with_rank(
     keys = list(by) or [everything]
     terms = _terms(order)
 
-    bounds = [f(_as_number(base, n)).alias(f"{tag}{i}")
-              for i, (n, _) in enumerate(terms) for tag, f in (("lo", F.min), ("hi", F.max))]
+    measures = (("lo", F.min), ("hi", F.max), ("set", F.count))
+    bounds = [f(n).alias(f"{tag}{i}") for i, (n, _) in enumerate(terms) for tag, f in measures]
     found = (
         base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *bounds)
         .where(F.col("n") > rows).orderBy(F.desc("n")).limit(MAX_HOT_GROUPS).collect()
     )
     table = []
     for row in found:
+        # the first sort column that differs inside the group; the ones before it are constant
         split = next((i for i in range(len(terms))
-                      if row[f"lo{i}"] is not None and row[f"lo{i}"] < row[f"hi{i}"]), None)
+                      if row[f"lo{i}"] != row[f"hi{i}"] or 0 < row[f"set{i}"] < row["n"]), None)
         if split is not None:
-            ranges = min(MAX_RANGES, 4 * (row["n"] // rows + 1))
-            table.append((*[row[k] for k in keys], split, row[f"lo{split}"],
-                          (row[f"hi{split}"] - row[f"lo{split}"]) / ranges, ranges))
+            low, high = row[f"lo{split}"], row[f"hi{split}"]
+            skip = _shared_prefix(low, high) if isinstance(low, str) else 0
+            low, high = _number(low, skip), _number(high, skip)
+            ranges = min(MAX_RANGES, 4 * (row["n"] // rows + 1)) if low < high else 1  # 1: null or not null
+            table.append((*[row[k] for k in keys], split, skip, low, (high - low) / ranges or 1.0, ranges))
     if not table or _depth >= 8:
         return _window_rank(base, keys, order, name, limit).drop(everything)
 
     hot_keys = [f"__hot{i}" for i in range(len(keys))]
     schema = T.StructType(
         [T.StructField(h, base.schema[k].dataType) for h, k in zip(hot_keys, keys)]
-        + [T.StructField("__split", T.IntegerType()), T.StructField("__lo", T.DoubleType()),
+        + [T.StructField("__split", T.IntegerType()), T.StructField("__skip", T.IntegerType()), T.StructField("__lo", T.DoubleType()),
            T.StructField("__width", T.DoubleType()), T.StructField("__ranges", T.IntegerType())]
     )
     hot = df.sparkSession.createDataFrame(table, schema)  # at most MAX_HOT_GROUPS rows
@@ -99,14 +117,14 @@ def with_rank(
     bucket = F.lit(None).cast("bigint")
     for i, (column, desc) in enumerate(terms):
         step = F.floor((_as_number(base, column) - F.col("__lo")) / F.col("__width"))
-        step = F.least(step, F.col("__ranges") - 1).cast("bigint")
+        step = F.when(step.isNotNull(), F.least(step, F.col("__ranges") - 1)).cast("bigint")
         step = F.coalesce(F.col("__ranges") - 1 - step if desc else step,
                           F.col("__ranges").cast("bigint") if desc else F.lit(-1).cast("bigint"))
         bucket = F.when(F.col("__split") == i, step).otherwise(bucket)
     level = f"__range{_depth}"
     tagged = base.join(F.broadcast(hot), matches, "left").withColumn(level, F.coalesce(bucket, F.lit(0)))
     hot_only = tagged.where(F.col("__split").isNotNull())
-    tagged = tagged.drop(*hot_keys, "__split", "__lo", "__width", "__ranges")
+    tagged = tagged.drop(*hot_keys, "__split", "__skip", "__lo", "__width", "__ranges")
 
     sizes = hot_only.groupBy(*keys, level).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)

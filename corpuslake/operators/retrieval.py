@@ -89,6 +89,7 @@ def meet(heads: DataFrame, items: DataFrame, kernel: Kernel, schema: T.StructTyp
         frames = [] if qs.empty or its.empty else list(kernel(qs.reset_index(drop=True), iter([its])))
         return pd.concat(frames) if frames else pd.DataFrame({f.name: [] for f in schema})
 
+    left = left.toDF(*left.columns)  # columns of its own, in case a table is searched with itself
     return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(tile, schema)
 
 
