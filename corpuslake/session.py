@@ -34,12 +34,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     setting is an error, because executors could not read each other's machine-local files.
     """
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="corpuslake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslake-"))
+        base = context.getCheckpointDir()
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
