@@ -71,11 +71,11 @@ def _(spark, sf):
 
 @query("add_special_tokens", f"""
   SELECT doc_id, array_to_string([{CLS}] || input_ids[1:126] || [{SEP}], ',') AS single,
-    array_to_string([{CLS}] || input_ids || [{SEP}] || input_ids[1:5] || [{SEP}], ',') AS pair FROM ({TOKENS_SQL})""")
+    array_to_string([{CLS}] || input_ids || [{SEP}] || list_reverse(input_ids) || [{SEP}], ',') AS pair FROM ({TOKENS_SQL})""")
 def _(spark, sf):
     rows = tokens(spark, sf)
     return rows.select("doc_id", joined(add_special_tokens("input_ids", CLS, SEP, 128)).alias("single"),
-                       joined(add_special_tokens_pair("input_ids", F.slice("input_ids", 1, 5), CLS, SEP)).alias("pair"))
+                       joined(add_special_tokens_pair("input_ids", F.reverse("input_ids"), CLS, SEP)).alias("pair"))
 
 
 @query("pad_batch", f"""

@@ -11,7 +11,7 @@ from corpuslake.operators.ranking import cap_queries, grade_labels, macro_averag
 from corpuslake.operators.retrieval import (
     adaptive_k, bm25, dense_topk, hybrid_search, matryoshka_search, maxsim, rerank, rrf, tag_prefilter, term_overlap, threshold_scores)
 from corpuslake.plans.evaluation import evaluate_judgments
-from corpuslake.session import spread
+from corpuslake.session import cut_lineage, spread
 
 DIM = 64
 
@@ -254,7 +254,7 @@ def _(spark, sf):
   c AS (SELECT query_id, coalesce(arg_max(rank, (gap, -rank)) FILTER (gap IS NOT NULL), 1) AS cut FROM g GROUP BY query_id)
   SELECT query_id, item_id, round(score, 6) AS score, rank FROM g JOIN c USING (query_id) WHERE rank <= cut""")
 def _(spark, sf):
-    hits = bm25(questions(spark, sf), items(spark, sf), 20).drop("rank")
+    hits = cut_lineage(bm25(questions(spark, sf), items(spark, sf), 20).drop("rank"), "hits")
     return rounded(adaptive_k(hits, 20).select("query_id", "item_id", "score", "rank"), "score")
 
 
@@ -287,13 +287,12 @@ def _(spark, sf):
 
 
 @query("maxsim", f"""
-  WITH u AS ({UNIT_SQL}), q AS {ASKED}
+  WITH u AS ({UNIT_SQL})
   SELECT query_id, doc_id, round(sum(best), 6) AS score FROM (
     SELECT q.vec_id // 4 AS query_id, q.vec_id AS token_id, d.label::BIGINT AS doc_id, max(list_dot_product(q.u, d.u)) AS best
-    FROM q, u d GROUP BY ALL) GROUP BY query_id, doc_id""")
+    FROM u q, u d GROUP BY ALL) GROUP BY query_id, doc_id""")
 def _(spark, sf):
-    wanted = table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
-    heads = vectors(spark, sf).join(wanted, "vec_id", "left_semi").selectExpr("vec_id DIV 4 AS query_id", "vec_id AS token_id", "embedding AS vector")
+    heads = vectors(spark, sf).selectExpr("vec_id DIV 4 AS query_id", "vec_id AS token_id", "embedding AS vector")
     found = maxsim(heads, vectors(spark, sf).selectExpr("CAST(label AS BIGINT) AS doc_id", "vec_id AS token_id", "embedding AS vector"))
     return rounded(found, "score")
 
@@ -314,7 +313,7 @@ def _(spark, sf):
         FROM keyword k JOIN w USING (query_id) JOIN qw USING (query_id) JOIN tf ON tf.item_id = k.item_id AND tf.word = qw.word GROUP BY ALL)
   SELECT query_id, item_id, first_rank, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM o""")
 def _(spark, sf):
-    hits = bm25(questions(spark, sf), items(spark, sf), 50).drop("rank")
+    hits = cut_lineage(bm25(questions(spark, sf), items(spark, sf), 50).drop("rank"), "hits")
     texts = items(spark, sf).select("item_id", F.col("text").alias("body"))
     rows = hits.join(texts, "item_id").join(questions(spark, sf), "query_id")
     ranked = rerank(rows, term_overlap("text", "body")).select("query_id", "item_id", "first_rank", "score", "rank")

@@ -75,9 +75,9 @@ def _(spark, sf):
 
 @query("contextualize", f"""
   WITH c AS ({chunk_sql('documents')})
-  SELECT c.doc_id, c.chunk_no, substring(d.text, 1, 120) || ' : ' || c.text AS text FROM c JOIN documents d USING (doc_id)""")
+  SELECT c.doc_id, c.chunk_no, 'Document of ' || d.source || ' in ' || d.lang || ' : ' || c.text AS text FROM c JOIN documents d USING (doc_id)""")
 def _(spark, sf):
-    rows = docs(spark, sf).withColumn("chunk_context", F.substring("text", 1, 120))
+    rows = docs(spark, sf).withColumn("chunk_context", F.expr("concat('Document of ', source, ' in ', lang)"))
     chunks = chunk_text(rows).withColumnRenamed("text", "chunk_content")
     return contextualize(chunks, sep=" : ").select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text")
 

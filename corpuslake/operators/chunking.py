@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.functions.text import explode_values
 from corpuslake.operators.filters import MIN_LENGTH
 
 CHUNK_ABOVE = 5_000  # only longer texts are cut
@@ -27,12 +28,20 @@ def chunk_text(
     """
     inclusive = MIN_LENGTH[variant]["chunk"][1]
     body = F.col(text)
-    length = F.length(body)
-    cut = length > F.lit(max(above, size + overlap))
-    starts = F.when(cut, F.sequence(F.lit(0), length - 1, F.lit(size))).otherwise(F.array(F.lit(0)))
-    rows = df.withColumn("__starts", starts).withColumn("n_chunks", F.size("__starts"))
-    rows = rows.select("*", F.posexplode("__starts").alias("chunk_no", "char_start")).drop("__starts")
-    piece = F.when(F.col("n_chunks") > 1, F.expr(f"substring(`{text}`, char_start + 1, {size + overlap})")).otherwise(body)
-    rows = rows.withColumn(text, piece)
+    cut = F.length(body) > F.lit(max(above, size + overlap))
+
+    def piece(number: Column, start: Column, part: Column) -> Column:
+        return F.struct(number.cast("int").alias("chunk_no"), start.cast("int").alias("char_start"), part.alias("part"))
+
+    starts = F.sequence(F.lit(0), F.length(body) - 1, F.lit(size))
+    pieces = F.transform(starts, lambda s, i: piece(i, s, F.substring(body, s + 1, F.lit(size + overlap))))
+    whole = F.array(piece(F.lit(0), F.lit(0), body))
+    rows = df.withColumn("n_chunks", F.when(cut, F.ceil(F.length(body) / size)).otherwise(F.lit(1)).cast("int"))
+    others = [c for c in df.columns if c != text]
+    # the long text itself ends here: only its pieces go through the generator
+    rows = rows.select(*others, "n_chunks", F.when(cut, pieces).otherwise(whole).alias("__pieces"))
+    rows = explode_values(rows, F.col("__pieces"), "__p", *others, "n_chunks")
+    rows = rows.select(*[F.col("__p.part").alias(text) if c == text else c for c in df.columns],
+                       "n_chunks", F.col("__p.chunk_no").alias("chunk_no"), F.col("__p.char_start").alias("char_start"))
     enough = F.length(text) >= min_len if inclusive else F.length(text) > min_len
     return rows.where((F.col("n_chunks") == 1) | enough)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import wordlists as w
 from corpuslake.functions.text import strip_ws
+from corpuslake.functions.vectors import let
 
 MIN_PAGE_CHARS = 1_000
 KEEP_REASONS = ("business_category", "business_intro", "stock_intro")
@@ -36,36 +37,40 @@ def page_categories(text: Column, given: Column | None = None) -> Column:
 
 
 def entity_rule(title: Column, text: Column, given: Column | None = None, whole_word: bool = False) -> Column:
-    """Name of the first rule that decides; one CASE chain, cheap tests first, no UDF."""
+    """Name of the first rule that decides: cheap tests first, no UDF.
+
+    Categories and the opening are bound with `let`, so that each is computed once per page that
+    gets that far, however many words are looked for in it.
+    """
     title, text = F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))
     low = F.lower(title)
-    categories = page_categories(text, given)
-    intro = F.lower(F.substring(text, 1, 800))
     first_word = F.regexp_extract(low, r"(?U)^\s*(\S+)", 1)
 
-    def category_in(words):
-        return F.exists(categories, lambda c: c.rlike(_quote(words, whole_word)))
+    def first_of(rules: list[tuple[str, Column]], rest: Column) -> Column:
+        chain = F.when(rules[0][1], rules[0][0])
+        for name, test in rules[1:]:
+            chain = chain.when(test, name)
+        return chain.otherwise(rest)
+
+    def by_intro(intro: Column) -> Column:
+        phrases = (("other_intro", w.OTHER_INTROS), ("business_intro", w.BUSINESS_INTROS), ("stock_intro", w.STOCK_INTROS))
+        return first_of([(name, _any(intro.contains(p) for p in listed)) for name, listed in phrases], F.lit("no_signal"))
+
+    def by_category(categories: Column) -> Column:
+        def holds(words: Iterable[str]) -> Column:
+            return F.exists(categories, lambda c: c.rlike(_quote(words, whole_word)))
 
-    def intro_has(phrases):
-        return _any(intro.contains(p) for p in phrases)
+        tests = [("other_category", holds(w.OTHER_CATEGORIES)), ("business_category", holds(w.BUSINESS_CATEGORIES))]
+        return first_of(tests, let(F.lower(F.substring(text, 1, 800)), by_intro))
 
-    rules = [
+    return first_of([
         ("namespace", _any(title.startswith(p) for p in w.NAMESPACE_PREFIXES)),
         ("disambiguation", low.contains("(disambiguation)")),
         ("list_page", _any(low.startswith(p) for p in w.LIST_PREFIXES)),
         ("date_title", _any(title.rlike(p) for p in (w.YEAR_PATTERN, w.DECADE_PATTERN, "(?iU)" + w.CENTURY_PATTERN))),
         ("month_title", first_word.isin(*w.MONTHS)),
         ("short", F.length(text) < MIN_PAGE_CHARS),
-        ("other_category", category_in(w.OTHER_CATEGORIES)),
-        ("business_category", category_in(w.BUSINESS_CATEGORIES)),
-        ("other_intro", intro_has(w.OTHER_INTROS)),
-        ("business_intro", intro_has(w.BUSINESS_INTROS)),
-        ("stock_intro", intro_has(w.STOCK_INTROS)),
-    ]
-    chain = F.when(rules[0][1], rules[0][0])
-    for name, test in rules[1:]:
-        chain = chain.when(test, name)
-    return chain.otherwise("no_signal")
+    ], let(page_categories(text, given), by_category))
 
 
 def classify_entity_page(df: DataFrame, whole_word: bool = False) -> DataFrame:

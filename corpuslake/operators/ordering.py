@@ -71,14 +71,16 @@ def with_rank(
     name: str = "rank",
     limit: int | None = None,
     hot_rows: int | None = None,
+    bounded: bool = False,
     _depth: int = 0,
 ) -> DataFrame:
     """Add the 1-based position of each row in `order` within `by`; `limit` keeps the first rows.
 
     `order` should end in a unique key, so that the result does not depend on partitioning.
-    Passing `hot_rows` forces the look for hot groups also on small inputs.
+    Looking for hot groups costs a pass over the sort columns; it is skipped for small inputs unless
+    `hot_rows` is given, and for groups that are `bounded` by an earlier limit.
     """
-    if hot_rows is None and plan_bytes(df) < SMALL_PLAN:
+    if bounded or hot_rows is None and plan_bytes(df) < SMALL_PLAN:
         return _window_rank(df, list(by), order, name, limit)
     rows = hot_rows or HOT_ROWS
     everything = "__all"
@@ -138,7 +140,7 @@ def with_rank(
     if limit is not None:
         placed = placed.where(F.col(offset) < limit)  # ranges past the limit are never sorted
     inner = f"__rank{_depth}"
-    ranked = with_rank(placed, order, [*keys, level], inner, None, rows, _depth + 1)
+    ranked = with_rank(placed, order, [*keys, level], inner, hot_rows=rows, _depth=_depth + 1)
     ranked = ranked.withColumn(name, F.col(offset) + F.col(inner)).drop(offset, inner, level, everything)
     return ranked.where(F.col(name) <= limit) if limit is not None else ranked
 

@@ -95,10 +95,13 @@ def meet(heads: DataFrame, items: DataFrame, kernel: Kernel, schema: T.StructTyp
 
 def search(queries: DataFrame, items: DataFrame, kernel: Kernel, k: int, block: int = BLOCK_QUERIES,
            shard: int = SHARD_ITEMS) -> DataFrame:
-    """Best k items per query: `query_id, item_id, score, rank`. Item ids are integers."""
+    """Best k items per query: `query_id, item_id, score, rank`. Item ids are integers.
+
+    Every task hands in k rows per query at most, which bounds the groups of the final ranking.
+    """
     schema = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
     found = meet(queries, items, kernel, schema, block, shard, ["item_id"])
-    return with_rank(found, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k)
+    return with_rank(found, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k, bounded=True)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -139,13 +142,13 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: floa
     n_docs, avgdl = totals["n"], totals["avgdl"] or 1.0
     asked = cut_lineage(explode_values(queries, F.array_distinct(model_words("text")), "word", "query_id"), "query-words")
     numbered = cut_lineage(with_rank(asked.select("word").distinct(), ["word"], (), "term"), "query-terms")
-    seen = explode_values(docs, F.array_distinct("words"), "word").join(numbered, "word")
-    frequency = seen.groupBy("term", "word").agg(F.count(F.lit(1)).alias("df"))
+    hits = explode_values(docs, F.col("words"), "word", "item_id", "dl").join(numbered, "word")
+    items = cut_lineage(hits.groupBy("item_id", "dl").agg(F.collect_list("term").alias("terms")), "query-hits")
+    counts = explode_values(items, F.array_distinct("terms"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = counts.join(numbered, "term")
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     heads = asked.join(frequency, "word").groupBy("query_id").agg(
         F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms"))
-    hits = explode_values(docs, F.col("words"), "word", "item_id", "dl").join(numbered, "word")
-    items = hits.groupBy("item_id", "dl").agg(F.collect_list("term").alias("terms"))
 
     def kernel(head: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if head.empty:
@@ -227,7 +230,7 @@ def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int = 64, top: i
     dv = corpus.select("item_id", l2_normalize("vector").alias("dv"))
     rows = coarse.join(dv, "item_id").join(qv, "query_id")
     rows = rows.select("query_id", "item_id", F.round(dot("qv", "dv"), DIGITS).alias("score"))
-    return with_rank(rows, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k)
+    return with_rank(rows, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k, bounded=True)
 
 
 def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, block: int = BLOCK_QUERIES, shard: int = SHARD_ITEMS,
@@ -278,7 +281,7 @@ def rerank(df: DataFrame, score: Column, depth: int = 50, **kw) -> DataFrame:
     head = with_rank(df, [("score", "desc"), "item_id"], ["query_id"], "first_rank", limit=depth, **kw)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = head.repartition(tasks, "query_id", "item_id").withColumn("score", score)
-    return with_rank(scored, [("score", "desc"), "item_id"], ["query_id"], "rank", **kw)
+    return with_rank(scored, [("score", "desc"), "item_id"], ["query_id"], "rank", bounded=True)
 
 
 def term_overlap(query: Column | str, text: Column | str) -> Column:
@@ -310,5 +313,5 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, k:
     words = bm25(queries, corpus, depth, **kw)
     fused = rrf(dense, words)
     fused = fused.withColumn("score", F.round("score", DIGITS))
-    ranked = with_rank(fused, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k)
-    return adaptive_k(ranked.drop("rank"), k) if cut else ranked
+    ranked = with_rank(fused, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k, bounded=True)
+    return adaptive_k(ranked.drop("rank"), k, bounded=True) if cut else ranked

@@ -66,16 +66,18 @@ def concat_sources(*frames: DataFrame) -> DataFrame:
 
 
 def interleave_round_robin(df: DataFrame, order: Sequence[Order] = ("doc_id",), source: str = "source",
-                           sources: Sequence[str] | None = None, **kw) -> DataFrame:
+                           sources: Sequence[str] | None = None, rank: str | None = None, **kw) -> DataFrame:
     """One row from each source in turn; a source that runs out is skipped. Adds 0-based `position`.
 
+    `rank` names a column that already holds the place of each row in its source.
+
     Before the r-th row of a source come min(size, r - 1) rows of every source, plus one row of each
     earlier source that still has an r-th row. So the position needs the sizes of the sources only,
     not a sort of the whole table in one task.
     """
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
     found = sizes.orderBy(source).limit(MAX_LITERAL_SOURCES + 1).collect()
-    ranked = with_rank(df, order, [source], "__rank", **kw)
+    ranked = with_rank(df, order, [source], "__rank", **kw) if rank is None else df.withColumn("__rank", F.col(rank))
     if len(found) > MAX_LITERAL_SOURCES:
         if sources is not None:
             raise ValueError(f"an explicit source order is limited to {MAX_LITERAL_SOURCES} sources")

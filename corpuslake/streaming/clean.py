@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,6 @@ from corpuslake.operators.chunking import chunk_text
 from corpuslake.operators.entities import KEEP_REASONS, entity_rule
 from corpuslake.operators.filters import filter_english, min_length
 from corpuslake.operators.ordering import with_rank
-from corpuslake.sources.writers import stored_rows
 
 
 def clean_text(rows: DataFrame, kind: str = "generic") -> DataFrame:
@@ -65,13 +65,19 @@ def stream_counts(rows: DataFrame, table: str, checkpoint: str, transform: Calla
 def stream_cap(rows: DataFrame, n: int, out: str, checkpoint: str, order: str = "doc_id") -> StreamingQuery:
     """First n rows overall: batches in arrival order, inside a batch by `order`.
 
-    Each micro-batch writes its own folder and reads how many rows the earlier folders hold, so a
-    repeated batch overwrites itself and the total stays exact.
+    Each micro-batch writes its own folder and counts the rows of the earlier folders, so a repeated
+    batch overwrites itself and the total stays exact.
     """
     spark = rows.sparkSession
 
+    def earlier(batch_id: int) -> int:
+        try:
+            return spark.read.parquet(out).where(F.col("batch") < batch_id).count()
+        except AnalysisException:  # nothing written yet
+            return 0
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = sum(stored_rows(spark, f"{out}/batch={i}") or 0 for i in range(batch_id))
+        stored = earlier(batch_id)
         if stored < n:
             first = with_rank(batch, [order], (), "__rank", limit=n - stored).drop("__rank")
             first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
