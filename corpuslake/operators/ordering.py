@@ -18,7 +18,7 @@ from corpuslake.session import cut_lineage, plan_bytes
 
 HOT_ROWS = 250_000          # rows of one group that one task may sort
 MAX_HOT_GROUPS = 10_000     # hot groups looked up on the driver, largest first
-MAX_RANGES = 4_096          # ranges per hot group and level
+MAX_RANGES = 100_000        # ranges per hot group and level
 SMALL_PLAN = 256 << 20      # below this estimate no group can be too large for a task
 
 Order = str | tuple[str, str]

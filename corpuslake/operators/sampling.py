@@ -105,7 +105,7 @@ def shuffle_blocks(df: DataFrame, seed: int, block: int = 500_000, order: Sequen
     rows = with_index(df, order, "__idx", **kw)
     rows = rows.withColumn("block", F.floor(F.col("__idx") / block).cast("bigint"))
     rows = rows.withColumn("__hash", seeded_hash(seed, F.col(key)))
-    rows = with_rank(rows, ["__hash", key], ["block"], "__rank", **kw)
+    rows = with_rank(rows, ["__hash", key], ["block"], "__rank", bounded=True)  # a block holds `block` rows
     return rows.withColumn("position", F.col("block") * block + F.col("__rank") - 1).drop("__idx", "__hash", "__rank")
 
 

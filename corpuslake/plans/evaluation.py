@@ -11,6 +11,7 @@ from corpuslake.functions.vectors import dot
 from corpuslake.operators.contrastive import HashedBagOfWords, encode_table
 from corpuslake.operators.pairs import judged_rows
 from corpuslake.operators.ranking import grade_labels, mrr_by_query, ndcg_by_query
+from corpuslake.session import cut_lineage
 
 SCORE_DIGITS = 9
 
@@ -30,8 +31,8 @@ def score_judgments(judgments: DataFrame, make_encoder: Callable = HashedBagOfWo
 
 
 def evaluate_judgments(judgments: DataFrame, make_encoder: Callable = HashedBagOfWords, accept_codes: bool = False) -> DataFrame:
-    """One row: mean NDCG and mean reciprocal rank."""
-    scores = score_judgments(judgments, make_encoder, accept_codes)
+    """One row: mean NDCG and mean reciprocal rank. Scores are written, so that texts are encoded once."""
+    scores = cut_lineage(score_judgments(judgments, make_encoder, accept_codes), "scores")
     per_query = ndcg_by_query(scores).join(mrr_by_query(scores), "query_id", "full")
     return per_query.agg(F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias("ndcg"), F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"),
                          F.count("rr").alias("queries"))
