@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
+from corpuslake.catalog import ORACLES, QUERIES  # noqa: E402
 
 WITHOUT_SQL = {"train_bpe", "encode_trained_bpe", "span_masks"}
 
@@ -21,19 +22,19 @@ def duck(sf):
 
 
 def test_only_known_queries_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf, duck, name):
-    ours = entry.queries()[name](spark, sf).toArrow()
-    assert check.compare(ours, duck.sql(entry.oracle_sql()[name]).to_arrow_table()) == []
+    ours = QUERIES[name](spark, sf).toArrow()
+    assert check.compare(ours, duck.sql(ORACLES[name]).to_arrow_table()) == []
 
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_query_without_sql_runs(spark, sf, name):
-    assert entry.queries()[name](spark, sf).toArrow().num_rows > 0
+    assert QUERIES[name](spark, sf).toArrow().num_rows > 0
 
 
 def test_entry(spark):
