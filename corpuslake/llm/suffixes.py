@@ -261,7 +261,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     found = documents.select("text", "hash").mapInArrow(_find_anchors, "gram bigint, context bigint, hash bigint, place bigint")
     found = cut_lineage(found, "suffix-anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("several"))
-    grams = grams.where(F.col("n") > 1).select(F.col("gram").alias("g"), "several")
+    grams = cut_lineage(grams.where(F.col("n") > 1).select(F.col("gram").alias("g"), "several"), "suffix-grams")  # so that a skewed join can be split
     found = cut_lineage(found.join(grams, F.col("gram") == F.col("g")).drop("g"), "suffix-shared")
 
     contexts = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.first("several").alias("several"),
