@@ -62,7 +62,27 @@ def interleaved_shards(df: DataFrame, shards: int = SHARDS, seed: str = SEED, ke
     return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("shard").cast("int"), F.col("slot").cast("bigint"))
 
 
-@query("op2_interleaved_shards")
+SHARDS_SQL = f"""
+WITH steps AS (  -- remainders of all bytes for CRC-32, from its polynomial
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+bytes AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+base AS (
+  SELECT doc_id, source, (strlen(text) + 1)::BIGINT AS size,
+         xor(list_reduce([4294967295] || b, lambda c, x: xor(step[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32,
+         md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, 'null'), md5(md5(text)))) AS digest FROM bytes, steps),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY digest)::DOUBLE - 0.5) / count(*) OVER (PARTITION BY source) AS fraction FROM base),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, digest) - 1 AS place, count(*) OVER () AS total FROM ranked),
+dealt AS (SELECT *, place * {SHARDS} // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, place - (shard * total + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INT AS grown_shard
+FROM dealt
+"""
+
+
+@query("op2_interleaved_shards", SHARDS_SQL)
 def op2_interleaved_shards(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     content = F.encode(text_of(), "UTF-8")
