@@ -369,7 +369,25 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return cleaned.select(*[F.col("given").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept], *added)
 
 
-@query("op10_suffix_array_dedup")
+REPEATED_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+c AS (SELECT doc_id, n, j, substr(h, 512 * j + 1, 912) AS part FROM (SELECT doc_id, n, h, unnest(range((n + 255) // 256)) AS j FROM d)),
+w AS (SELECT doc_id, 256 * j + o AS i, hash(substr(part, 2 * o + 1, 400)) AS k FROM (
+  SELECT doc_id, j, part, unnest(range(least(256, n - 199 - 256 * j))) AS o FROM c WHERE n - 199 - 256 * j > 0)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM w WHERE k IN (FROM twice)),
+runs AS (SELECT doc_id, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+spans AS (SELECT doc_id, min(i) AS first, max(i) + 200 AS stop FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0) AS a, first AS b FROM spans
+  UNION ALL SELECT doc_id, max(stop), NULL FROM spans GROUP BY doc_id),
+rest AS (SELECT g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS r FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id),
+total AS (SELECT doc_id, sum(stop - first)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(r, h))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+
+@query("op10_suffix_array_dedup", REPEATED_SQL)
 def op10_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = remove_repeated(table(spark, sf, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
