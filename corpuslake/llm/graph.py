@@ -11,26 +11,24 @@ from corpuslake.session import cut_lineage
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b); the root is the smallest node of the component.
 
-    Every round hangs the larger neighbours of a node on its smallest neighbour, then the smaller ones. The links
-    shrink towards one star per component; the rounds grow with the logarithm of the longest path. Links stay in
-    Spark, each round is a written table, and a round that changes nothing ends the loop.
+    Every round hangs the larger neighbours of a node on its smallest neighbour, then the smaller ones, until every
+    link leads straight to the smallest node of its component. The rounds grow with the logarithm of the longest
+    path. Links stay in Spark and each step is a written table; smallest neighbours are written before they are
+    joined, so that the join of a node with very many links can be split.
     """
-    links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = cut_lineage(links, "links")
-    state = None
+    links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = cut_lineage(links.distinct(), "links")
     while True:
-        now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if (now["n"], now["s"]) == state or not now["n"]:
-            break
-        state = (now["n"], now["s"])
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).where(F.col("b") > F.col("a"))
-        large = cut_lineage(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        near = cut_lineage(both.join(cut_lineage(least, "least"), F.col("a") == F.col("u")).select("a", "b", "m"), "near")
+        if near.where(F.col("m") != F.least("a", "b")).isEmpty():
+            break
+        large = near.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, large["a"] == least["u"])
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
         links = small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        links = cut_lineage(links, "small-star")
+        links = cut_lineage(links, "links")
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

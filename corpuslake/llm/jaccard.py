@@ -5,8 +5,8 @@
    their signatures step by step: a pair is dropped as soon as the posterior probability that its similarity
    reaches the threshold falls below the tolerance. A large bucket only links its members to its first one.
 3. What remains is grouped into clusters. Inside a cluster, blocks of classes meet in one task each: the same
-   pruning again, then the exact similarity of all pairs that are left. Only counts of links and a spanning
-   forest leave the task, never all pairs of a group.
+   pruning again, then the exact similarity of all pairs that are left. Only counts of links and one
+   link per member leave the task, never all pairs of a group.
 4. Components of the verified links are the groups of near duplicates.
 """
 
@@ -172,19 +172,26 @@ def survivors_of(sig_a: np.ndarray, sig_b: np.ndarray, i: np.ndarray, j: np.ndar
                            for at in range(0, len(i), 8_192)] or [np.zeros(0, dtype=int)])
 
 
-def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among `n` items."""
-    parent, kept = list(range(n)), []
-    for a, b in pairs.tolist():
-        x, y = a, b
+def stars(names: list[int], pairs: np.ndarray) -> list[tuple[int, int]]:
+    """(name, smallest name of its group) for all linked items but the smallest ones; `pairs` are places in `names`."""
+    parent = list(range(len(names)))
+    for x, y in pairs.tolist():
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         while parent[y] != y:
             parent[y] = y = parent[parent[y]]
-        if x != y:
+        if names[x] < names[y]:
+            parent[y] = x
+        else:
             parent[x] = y
-            kept.append((a, b))
-    return kept
+    out = []
+    for i in range(len(names)):
+        root = i
+        while parent[root] != root:
+            root = parent[root]
+        if root != i:
+            out.append((names[i], names[root]))
+    return out
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +240,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["a"].append(every[x]["tid"])
                 out["b"].append(every[x]["tid"])
                 out["links"].append(int(counts[x]))
-            for x, y in forest(len(every), ends):
-                out["a"].append(every[x]["tid"])
-                out["b"].append(every[y]["tid"])
+            for a, b in stars([r["tid"] for r in every], ends):
+                out["a"].append(a)
+                out["b"].append(b)
                 out["links"].append(0)
         return pa.RecordBatch.from_pydict(out, schema=schema)
 
@@ -283,7 +290,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     members = classes.where(F.col("n") > 0).select("tid", F.explode("bands").alias("h"))
     buckets = members.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("tid").alias("first")).where(F.col("size") > 1)
-    members = members.join(buckets.withColumnRenamed("h", "bucket"), F.col("h") == F.col("bucket")).select("h", "size", "first", "tid")
+    buckets = cut_lineage(buckets.withColumnRenamed("h", "bucket"), "join-buckets")  # so that a skewed join can be split
+    members = members.join(buckets, F.col("h") == F.col("bucket")).select("h", "size", "first", "tid")
     members = cut_lineage(members, "join-members")
     few = members.where(F.col("size") <= PAIRED).select("h", "tid")
     pairs = few.select("h", F.col("tid").alias("a")).join(few.select("h", F.col("tid").alias("b")), "h").where(F.col("a") < F.col("b"))
