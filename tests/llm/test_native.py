@@ -5,7 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import ODD
+from samples import ODD
 
 from corpuslake.llm.mixing import pareto_mix, targets
 from corpuslake.llm.sharding import interleaved_shards, op2_interleaved_shards

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ODD
+from samples import ODD
 
 import corpuslake.llm.jaccard as jaccard
 from corpuslake.llm.graph import components

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import ODD
+from samples import ODD
 from tokenizers import Tokenizer
 
 from corpuslake.llm.cutting import best_cut, knapsack, plan

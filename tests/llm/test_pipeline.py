@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from conftest import ODD
+from samples import ODD
 from test_near import brute as near_brute
 from test_suffixes import brute as suffix_brute
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import ODD
+from samples import ODD
 
 import corpuslake.llm.suffixes as suffixes
 from corpuslake.llm.suffixes import LENGTH, decoded, front_coded, merged, op10_suffix_array_dedup, remove_repeated, shared

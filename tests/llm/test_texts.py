@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ODD
+from samples import ODD
 from pyspark.sql import functions as F
 
 from corpuslake.llm import langid, quality
