@@ -12,6 +12,7 @@ from corpuslake.plans.corpus import build_corpus, corpus_totals
 from corpuslake.streaming.clean import clean_text
 
 SEED = 7
+HEAD = 500  # characters that decide the language in the SQL
 
 
 def docs(spark, sf):
@@ -33,7 +34,7 @@ def _chunk_key(df):
   SELECT source, count(*) AS chunks, sum(CASE WHEN chunk_no = 0 THEN 1 ELSE 0 END)::BIGINT AS documents, sum(length(text))::BIGINT AS chars,
     min(position) AS first_position, max(position) AS last_position FROM placed GROUP BY source""")
 def _(spark, sf):
-    return corpus_totals(build_corpus(docs(spark, sf)))
+    return corpus_totals(build_corpus(docs(spark, sf), cap=3_000_000, head=HEAD))
 
 
 @query("cap_per_source", f"""
@@ -41,7 +42,7 @@ def _(spark, sf):
   SELECT doc_id, source, chunk_no, length(text) AS n_chars FROM (
     SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_no) AS rn FROM chunks) WHERE rn <= 12""")
 def _(spark, sf):
-    return _chunk_key(cap_per_source(clean_text(docs(spark, sf)), 12, ["doc_id", "chunk_no"]))
+    return _chunk_key(cap_per_source(clean_text(docs(spark, sf), head=HEAD), 12, ["doc_id", "chunk_no"]))
 
 
 @query("cap_scanned", """
@@ -80,11 +81,12 @@ def _(spark, sf):
 
 
 @query("interleave_round_robin", """
-  WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)
-  SELECT doc_id, lang, row_number() OVER (ORDER BY rn, CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END) - 1 AS position FROM r""")
+  WITH l AS (SELECT doc_id, nullif(lang, 'de') AS lang FROM documents),
+  r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM l)
+  SELECT doc_id, lang, row_number() OVER (ORDER BY rn, CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, lang NULLS LAST) - 1 AS position FROM r""")
 def _(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "lang")
-    return interleave_round_robin(rows, source="lang", sources=["fr", "en", "es", "de"])
+    rows = table(spark, sf, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("lang"))
+    return interleave_round_robin(rows, source="lang", sources=["fr", "en"])
 
 
 @query("shuffle_global", f"SELECT doc_id, source, {hash_sql(str(SEED), 'doc_id')} AS shuffle_key FROM documents")
@@ -126,4 +128,4 @@ def _(spark, sf):
 @query("debug_sample", f"""
   SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE {ENGLISH_SQL}) WHERE rn <= 1000""")
 def _(spark, sf):
-    return debug_sample(filter_english(docs(spark, sf))).select("doc_id", "source")
+    return debug_sample(filter_english(docs(spark, sf), head=HEAD), 1_000).select("doc_id", "source")

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from corpuslake.catalog.registry import query, table
-from corpuslake.catalog.shapes import TOKEN_SQL, TOKENS_SQL, joined, token_ids
+from corpuslake.catalog.shapes import TOKEN_SQL, TOKENS_SQL, hash_sql, joined, token_ids
 from corpuslake.functions import wordlists as w
 from corpuslake.functions.text import normalize_text, pretokenize
 from corpuslake.session import spread
 from corpuslake.operators.bpe import bpe_tokens, encode_bpe, train_bpe
-from corpuslake.operators.shaping import apply_mask, assign_batches, mask_report, pack_sequences, packed_layout, span_masks
+from corpuslake.operators.shaping import apply_mask, assign_batches, mask_report, pack_next_fit, pack_sequences, packed_layout, span_masks
 from corpuslake.operators.tokens import (
     add_special_tokens, add_special_tokens_pair, build_special_vocab, compression_stats, domain_term_coverage, domain_term_hits,
     pad_batch, token_totals, word_counts)
@@ -37,9 +37,40 @@ def _(spark, sf):
     return word_counts(docs(spark, sf))
 
 
-@query("train_bpe")
+VOCAB_SIZE = 100
+
+
+def train_sql(size: int) -> str:
+    """One materialised step per merge: the best pair of all words, then the words with that pair merged.
+
+    There are as many steps as could ever be needed; the merges beyond the vocabulary size are left out at the end.
+    """
+    steps = []
+    for i in range(1, size - len(w.SPECIAL_TOKENS) + 1):
+        steps.append(f"""b{i} AS MATERIALIZED (SELECT l, r, {i} AS step FROM (
+      SELECT freq, unnest(p[:len(p) - 1]) AS l, unnest(p[2:]) AS r FROM (SELECT freq, string_split(trim(s), '  ') AS p FROM w{i - 1}) WHERE len(p) > 1)
+      GROUP BY l, r HAVING sum(freq) >= 2 ORDER BY sum(freq) DESC, l, r LIMIT 1),
+    w{i} AS MATERIALIZED (SELECT freq, coalesce(replace(s, (SELECT ' ' || l || '  ' || r || ' ' FROM b{i}), (SELECT ' ' || l || r || ' ' FROM b{i})), s) AS s FROM w{i - 1})""")
+    found = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, size - len(w.SPECIAL_TOKENS) + 1))
+    specials = ", ".join("'" + t + "'" for t in w.SPECIAL_TOKENS)
+    return f"""
+  WITH w0 AS MATERIALIZED (SELECT count(*) AS freq, regexp_replace(word, '(?s)(.)', ' \\1 ', 'g') AS s
+    FROM (SELECT unnest({FOLDED_WORDS_SQL}) AS word FROM documents) GROUP BY word),
+    {", ".join(steps)},
+  letters AS (SELECT DISTINCT unnest(string_split(trim(s), '  ')) AS token FROM w0),
+  base AS (SELECT unnest([{specials}]) AS token, unnest(range({len(w.SPECIAL_TOKENS)})) AS place
+    UNION ALL SELECT token, {len(w.SPECIAL_TOKENS)} + row_number() OVER (ORDER BY token) - 1 FROM letters WHERE token NOT IN ({specials})),
+  merged AS (SELECT l, r, l || r AS token, step, l || r NOT IN (SELECT token FROM base) AND row_number() OVER (PARTITION BY l || r ORDER BY step) = 1 AS fresh
+    FROM ({found})),
+  counted AS (SELECT *, (SELECT count(*) FROM base) + coalesce(sum(fresh::INT) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM merged),
+  kept AS (SELECT * FROM counted WHERE ahead < {size}),
+  vocab AS (SELECT token, place::BIGINT AS id FROM base UNION ALL SELECT token, ahead::BIGINT FROM kept WHERE fresh)
+  SELECT v.token, v.id, (k.step - 1)::BIGINT AS rank, k.l AS "left", k.r AS "right" FROM vocab v LEFT JOIN kept k USING (token)"""
+
+
+@query("train_bpe", train_sql(VOCAB_SIZE))
 def _(spark, sf):
-    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=100)
+    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=VOCAB_SIZE)
     return vocab.join(merges.select(F.concat("left", "right").alias("token"), "rank", "left", "right"), "token", "left")
 
 
@@ -69,6 +100,24 @@ def _(spark, sf):
     return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+# A vocabulary of these merges and most letters; the letters left out become [UNK].
+VOCAB = ["[UNK]", *"abcdefghijklmnopqrstuv.,", *[left + right for left, right in MERGES]]
+
+
+@query("encode_bpe_ids", f"""
+  WITH v AS (SELECT unnest([{', '.join("'" + t + "'" for t in VOCAB)}]) AS token, unnest(range({len(VOCAB)})) AS id),
+  x AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM (SELECT doc_id, {FOLDED_WORDS_SQL} AS words FROM documents)),
+  e AS (SELECT doc_id, place, string_split(trim(replace({_merge_sql('word')}, '  ', ' ')), ' ') AS parts FROM x),
+  u AS (SELECT doc_id, place, unnest(parts) AS token, unnest(range(len(parts))) AS part FROM e),
+  i AS (SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ',' ORDER BY place, part) AS input_ids FROM u LEFT JOIN v USING (token) GROUP BY doc_id)
+  SELECT doc_id, coalesce(input_ids, '') AS input_ids FROM documents LEFT JOIN i USING (doc_id)""")
+def _(spark, sf):
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(VOCAB)], "token string, id bigint")
+    merges = spark.createDataFrame([(i, left, right) for i, (left, right) in enumerate(MERGES)], "rank bigint, left string, right string")
+    rows = encode_bpe(docs(spark, sf), pretokenize(normalize_text("text")), vocab, merges)
+    return rows.select("doc_id", F.concat_ws(",", F.col("input_ids").cast("array<string>")).alias("input_ids"))
+
+
 @query("add_special_tokens", f"""
   SELECT doc_id, array_to_string([{CLS}] || input_ids[1:126] || [{SEP}], ',') AS single,
     array_to_string([{CLS}] || input_ids || [{SEP}] || list_reverse(input_ids) || [{SEP}], ',') AS pair FROM ({TOKENS_SQL})""")
@@ -147,11 +196,28 @@ def _(spark, sf):
 
 # --- masking and packing -------------------------------------------------------------------------
 
-@query("span_masks")
+def draws_sql(tag: str, n: str) -> str:
+    return (f"list_sort(list_transform(range(1, {n} + 1), lambda i: ('0x' || substr(md5(base::VARCHAR || '|{tag}|' || i::VARCHAR), 1, 10))"
+            f"::BIGINT::DOUBLE / 1099511627776.0))")
+
+
+@query("span_masks", f"""
+  WITH t AS (SELECT doc_id, len(input_ids)::INT AS n, {hash_sql('5', '0', 'doc_id')} AS base FROM ({TOKENS_SQL})),
+  s AS (SELECT *, least(floor(n * (0.05::DOUBLE + {draws_sql('share', '1')}[1] * {0.30 - 0.05!r}::DOUBLE))::INT, greatest(n - 2, 0)) AS covered FROM t),
+  p AS (SELECT *, greatest(round(covered / 3.0::DOUBLE)::INT, 1) AS pieces FROM s),
+  d AS (SELECT *, [0] || list_transform({draws_sql('cut', 'pieces')}, lambda x: floor(x * covered)::INT)[1:pieces - 1] || [covered] AS cuts,
+    list_transform({draws_sql('gap', 'pieces')}, lambda x: floor(x * (greatest(n - 2, 0) - covered + 1))::INT) AS gaps FROM p),
+  e AS (SELECT doc_id, n, unnest(range(1, pieces + 1)) AS i, cuts, gaps FROM d),
+  f AS (SELECT doc_id, n, 1 + gaps[i] + cuts[i] AS start, 1 + gaps[i] + cuts[i + 1] AS stop FROM e)
+  SELECT doc_id, n AS n_tokens, coalesce(sum(stop - start), 0)::INT AS n_masked,
+    coalesce(string_agg(start || '-' || stop, ',' ORDER BY start) FILTER (start < stop), '') AS spans,
+    count(*) FILTER (start < stop AND (start < 1 OR stop > n - 1)) AS outside FROM f GROUP BY doc_id, n""")
 def _(spark, sf):
     rows = span_masks(tokens(spark, sf), seed=5)
     masked = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
-    return rows.select("doc_id", F.size("input_ids").alias("n_tokens"), masked.alias("n_masked"), F.to_json("spans").alias("spans"))
+    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    outside = F.size(F.filter("spans", lambda s: (s["start"] < 1) | (s["end"] > F.size("input_ids") - 1))).cast("bigint")
+    return rows.select("doc_id", F.size("input_ids").alias("n_tokens"), masked.alias("n_masked"), shown.alias("spans"), outside.alias("outside"))
 
 
 SPANNED_SQL = f"""SELECT doc_id, source, input_ids AS ids, CASE WHEN len(input_ids) > 12 THEN [1, 4, 9, 12] WHEN len(input_ids) > 3 THEN [1, 2] ELSE [] END AS edges
@@ -202,6 +268,21 @@ def _(spark, sf):
     return packs(spark, sf).select("doc_id", "source", "batch_id", "pos", "start", F.size("input_ids").cast("bigint").alias("n_tokens"))
 
 
+@query("pack_next_fit", f"""
+  WITH RECURSIVE b AS (SELECT doc_id, source, len(input_ids) AS n, (row_number() OVER w - 1) // 64 AS batch_id
+    FROM ({TOKENS_SQL}) WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source, batch_id ORDER BY doc_id) AS rn FROM b WHERE n > 0),
+  p AS (SELECT *, 0::BIGINT AS pack, 0::BIGINT AS start FROM r WHERE rn = 1
+    UNION ALL SELECT r.*, CASE WHEN p.start + p.n + r.n > 1024 THEN p.pack + 1 ELSE p.pack END,
+      CASE WHEN p.start + p.n + r.n > 1024 THEN 0 ELSE p.start + p.n END
+    FROM p JOIN r ON r.source = p.source AND r.batch_id = p.batch_id AND r.rn = p.rn + 1)
+  SELECT doc_id, source, batch_id, pack, start, n AS n_tokens FROM p""")
+def _(spark, sf):
+    rows = assign_batches(tokens(spark, sf), 64, ["doc_id"], ["source"])
+    packed = pack_next_fit(rows, 1_024, ["source", "batch_id"])
+    return packed.select("doc_id", "source", "batch_id", "pack", "start", F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
 @query("packed_layout", f"""{PACK_SQL}
   SELECT source, batch_id, array_to_string(flatten(list(ids ORDER BY pos)), ',') AS input_ids,
     array_to_string([0] || list(start + len(ids) ORDER BY pos), ',') AS cu_seqlens,

@@ -9,7 +9,8 @@ from corpuslake.operators.contrastive import HashedBagOfWords, encode_table, exp
 from corpuslake.operators.pairs import judged_rows
 from corpuslake.operators.ranking import cap_queries, grade_labels, macro_average, mrr, ndcg, ndcg_by_query, recall_at_k
 from corpuslake.operators.retrieval import (
-    adaptive_k, bm25, dense_topk, hybrid_search, matryoshka_search, maxsim, rerank, rrf, tag_prefilter, term_overlap, threshold_scores)
+    adaptive_k, bm25, dense_topk, distinct_words, hybrid_search, matryoshka_search, maxsim, rerank, rrf, tag_prefilter, threshold_scores,
+    word_overlap)
 from corpuslake.plans.evaluation import evaluate_judgments
 from corpuslake.session import cut_lineage, spread
 
@@ -268,6 +269,17 @@ def _(spark, sf):
     return rounded(threshold_scores(rows, 0.8), "score", "probability", digits=9)
 
 
+@query("threshold_scores_fallback", f"""
+  WITH s AS (SELECT query_id, item_id, (score - 0.8) * 8 AS score FROM ({SCORED_SQL})),
+  p AS (SELECT *, 1 / (1 + exp(-score)) AS probability FROM s),
+  e AS (SELECT query_id FROM p GROUP BY query_id HAVING max(probability) <= 0.8)
+  SELECT query_id, item_id, round(score, 9) AS score, round(probability, 9) AS probability, 'kept' AS status FROM p WHERE probability > 0.8
+  UNION ALL SELECT query_id, item_id, round(score, 9), round(probability, 9), 'fallback' FROM p JOIN e USING (query_id)""")
+def _(spark, sf):
+    rows = judged_scores(spark, sf).withColumn("score", (F.col("score") - 0.8) * 8)
+    return rounded(threshold_scores(rows, 0.8, fallback=rows), "score", "probability", digits=9)
+
+
 TAGGED = "(SELECT * FROM documents WHERE list_has_any([lang, source], ['en', 'src3']))"
 
 
@@ -297,13 +309,26 @@ def _(spark, sf):
     return rounded(found, "score")
 
 
+@query("maxsim_topk", f"""
+  WITH u AS ({UNIT_SQL}),
+  s AS (SELECT query_id, doc_id, round(sum(best), 9) AS score FROM (
+    SELECT q.vec_id // 4 AS query_id, q.vec_id AS token_id, d.label::BIGINT AS doc_id, max(list_dot_product(q.u, d.u)) AS best
+    FROM u q, u d GROUP BY ALL) GROUP BY query_id, doc_id)
+  SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
+def _(spark, sf):
+    heads = vectors(spark, sf).selectExpr("vec_id DIV 4 AS query_id", "vec_id AS token_id", "embedding AS vector")
+    found = maxsim(heads, vectors(spark, sf).selectExpr("CAST(label AS BIGINT) AS doc_id", "vec_id AS token_id", "embedding AS vector"), k=3)
+    return rounded(found, "score")
+
+
 @query("hybrid_search", f"""
   WITH {dense_sql(ASKED, 50)}, {bm25_sql('documents', 50)},
   f AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (
     SELECT query_id, item_id, rank FROM dense UNION ALL SELECT query_id, item_id, rank FROM keyword) GROUP BY query_id, item_id)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) WHERE rank <= 10""")
 def _(spark, sf):
-    return hybrid_search(asked(spark, sf), items(spark, sf), as_items(vectors(spark, sf)), 10)
+    return hybrid_search(asked(spark, sf), items(spark, sf), as_items(vectors(spark, sf)), 10, depth=50)
 
 
 @query("rerank", f"""
@@ -314,7 +339,9 @@ def _(spark, sf):
   SELECT query_id, item_id, first_rank, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM o""")
 def _(spark, sf):
     hits = cut_lineage(bm25(questions(spark, sf), items(spark, sf), 50).drop("rank"), "hits")
-    texts = items(spark, sf).select("item_id", F.col("text").alias("body"))
-    rows = hits.join(texts, "item_id").join(questions(spark, sf), "query_id")
-    ranked = rerank(rows, term_overlap("text", "body")).select("query_id", "item_id", "first_rank", "score", "rank")
+    wanted = items(spark, sf).join(hits.select("item_id").distinct(), "item_id", "left_semi")
+    words = cut_lineage(wanted.select("item_id", distinct_words("text").alias("words")), "candidate-words")
+    asked_words = questions(spark, sf).select("query_id", distinct_words("text").alias("asked"))
+    rows = hits.join(words, "item_id").join(asked_words, "query_id")
+    ranked = rerank(rows, word_overlap("asked", "words"), depth=50).select("query_id", "item_id", "first_rank", "score", "rank")
     return rounded(ranked, "score", digits=9)

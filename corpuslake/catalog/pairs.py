@@ -27,7 +27,7 @@ PASSAGE_SQL = f"""
 
 
 def triples(spark, sf):
-    return judged_to_triples(judgments(table(spark, sf, "part")))
+    return judged_to_triples(judgments(table(spark, sf, "part")), max_neg=7)
 
 
 def questions(spark, sf):
@@ -96,5 +96,5 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings")
     known = vectors.select("vec_id", F.explode(F.array(F.col("vec_id"), F.col("vec_id") + 1)).alias("item_id"))
-    found = mine_hard_negatives(as_queries(vectors), as_items(vectors), known.withColumnRenamed("vec_id", "query_id"))
+    found = mine_hard_negatives(as_queries(vectors), as_items(vectors), known.withColumnRenamed("vec_id", "query_id"), depth=10)
     return found.select("query_id", joined("hard_negatives").alias("hard_negatives"))

@@ -68,11 +68,12 @@ def _(spark, sf):
     return spark.createDataFrame([tuple(counts)], "first_rows bigint, second_rows bigint")
 
 
-@query("write_text_shards", "SELECT md5(text) AS digest, length(text) AS n_chars FROM documents")
+@query("write_text_shards", """
+  SELECT md5(text) AS digest, length(text) AS n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS shard FROM documents""")
 def _(spark, sf):
     path = shared_dir(spark, "shards")
-    write_text_shards(table(spark, sf, "documents"), path, shard_size=500)
-    return read_text_shards(spark, path).select(F.md5("text").alias("digest"), n_chars())
+    write_text_shards(table(spark, sf, "documents"), path, shard_size=300, order=["doc_id"])
+    return read_text_shards(spark, path).select(F.md5("text").alias("digest"), n_chars(), "shard")
 
 
 @query("extract_entities", f"""
@@ -80,5 +81,5 @@ def _(spark, sf):
   FROM ({reason_sql('(' + WIKI_SQL + ')')}) WHERE reason IN ('business_category', 'business_intro', 'stock_intro')""")
 def _(spark, sf):
     path = shared_dir(spark, "entities")
-    extract_entities(wiki_pages(table(spark, sf, "documents")), path)
+    extract_entities(wiki_pages(table(spark, sf, "documents")), path, head=800, tail=2_000)
     return spark.read.parquet(path).select("title", "url", n_chars())

@@ -1,25 +1,30 @@
 """Streaming runs to completion over the documents file; results are read back."""
 
-import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from corpuslake.catalog.registry import query, table
 from corpuslake.catalog.shapes import CORPUS_SQL, ENGLISH_SQL
 from corpuslake.session import shared_dir
-from corpuslake.streaming.clean import read_stream, stream_cap, stream_clean, stream_counts
+from corpuslake.streaming.clean import clean_text, drop_reason, read_counts, read_stream, stream_cap, stream_clean, stream_counts
 
 
 def documents(spark, sf):
-    """The documents file as a stream (the pattern matches one file)."""
-    return read_stream(spark, f"{sf}/documents*.parquet", table(spark, sf, "documents").schema)
+    """The documents as a stream of three files that arrive one after the other, one micro-batch each."""
+    arrived, rows = shared_dir(spark, "arrived"), table(spark, sf, "documents")
+    low, high = rows.agg(F.percentile("doc_id", [1 / 3, 2 / 3]).alias("p")).first()["p"] or (0, 0)
+    for part in (F.col("doc_id") < low, (F.col("doc_id") >= low) & (F.col("doc_id") < high), F.col("doc_id") >= high):
+        rows.where(part).coalesce(1).write.mode("append").parquet(arrived)
+    return read_stream(spark, arrived, rows.schema, max_files=1)
 
 
 @query("stream_clean", f"""
   WITH {CORPUS_SQL} SELECT doc_id, source, chunk_no, length(text) AS n_chars FROM chunks""")
 def _(spark, sf):
     out = shared_dir(spark, "clean")
-    stream_clean(documents(spark, sf).select("doc_id", "source", "text"), out, shared_dir(spark, "clean-state")).awaitTermination()
+    rows = documents(spark, sf).select("doc_id", "source", "text")
+    stream_clean(rows, out, shared_dir(spark, "clean-state"), partial(clean_text, head=500)).awaitTermination()
     rows = spark.read.parquet(out)
     return rows.select("doc_id", "source", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.length("text").cast("bigint").alias("n_chars"))
 
@@ -28,13 +33,13 @@ def _(spark, sf):
   SELECT source, CASE WHEN NOT {ENGLISH_SQL} THEN 'not_english' WHEN length(text) <= 100 THEN 'short' ELSE 'kept' END AS reason, count(*) AS n
   FROM documents GROUP BY ALL""")
 def _(spark, sf):
-    name = f"counts_{uuid.uuid4().hex}"
-    stream_counts(documents(spark, sf), name, shared_dir(spark, "counts-state")).awaitTermination()
-    return spark.table(name)
+    out = shared_dir(spark, "counts")
+    stream_counts(documents(spark, sf), out, shared_dir(spark, "counts-state"), partial(drop_reason, head=500)).awaitTermination()
+    return read_counts(spark, out)
 
 
-@query("stream_cap", "SELECT doc_id, length(text) AS n_chars FROM documents ORDER BY doc_id LIMIT 300")
+@query("stream_cap", "SELECT doc_id, length(text) AS n_chars FROM documents ORDER BY doc_id LIMIT 400")
 def _(spark, sf):
     out = shared_dir(spark, "cap")
-    stream_cap(documents(spark, sf).select("doc_id", "text"), 300, out, shared_dir(spark, "cap-state")).awaitTermination()
+    stream_cap(documents(spark, sf).select("doc_id", "text"), 400, out, shared_dir(spark, "cap-state")).awaitTermination()
     return spark.read.parquet(out).select("doc_id", F.length("text").cast("bigint").alias("n_chars"))

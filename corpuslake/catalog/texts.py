@@ -118,12 +118,12 @@ def _(spark, sf):
 
 @query("is_likely_english", f"SELECT doc_id, {ENGLISH_SQL} AS english FROM documents")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", is_likely_english("text").alias("english"))
+    return docs(spark, sf).select("doc_id", is_likely_english("text", head=500).alias("english"))
 
 
 @query("filter_english", f"SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE {ENGLISH_SQL} GROUP BY lang")
 def _(spark, sf):
-    return filter_english(docs(spark, sf)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return filter_english(docs(spark, sf), head=500).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("min_length", f"""
@@ -142,12 +142,12 @@ def _(spark, sf):
   SELECT doc_id, title, reason, reason IN ('business_category', 'business_intro', 'stock_intro') AS keep
   FROM ({reason_sql('(' + WIKI_SQL + ')')})""")
 def _(spark, sf):
-    return classify_entity_page(wiki_pages(docs(spark, sf))).select("doc_id", "title", "reason", "keep")
+    return classify_entity_page(wiki_pages(docs(spark, sf)), head=800, tail=2_000).select("doc_id", "title", "reason", "keep")
 
 
 @query("entity_reasons", f"SELECT reason, count(*) AS n FROM ({reason_sql('(' + WIKI_SQL + ')')}) GROUP BY reason")
 def _(spark, sf):
-    return classify_entity_page(wiki_pages(docs(spark, sf))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return classify_entity_page(wiki_pages(docs(spark, sf)), head=800, tail=2_000).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _chunks(spark, sf, variant):

@@ -90,11 +90,14 @@ def ascii_ratio(c: Column | str) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lit(1.0)).otherwise(kept / F.length(text))
 
 
-def is_likely_english(c: Column | str, min_ascii_ratio: float = 0.85) -> Column:
-    """Short or missing text passes; longer text needs ASCII and a common English word up front."""
+def is_likely_english(c: Column | str, min_ascii_ratio: float = 0.85, head: int | None = None) -> Column:
+    """Short or missing text passes; longer text needs ASCII and a common English word.
+
+    The word may stand anywhere, or in the first `head` characters if that is given.
+    """
     text = col(c)
     short = text.isNull() | (F.length(text) < 20)
-    word = F.substring(text, 1, 500).rlike(r"(?iU)\b(" + "|".join(ENGLISH_WORDS) + r")\b")
+    word = (text if head is None else F.substring(text, 1, head)).rlike(r"(?iU)\b(" + "|".join(ENGLISH_WORDS) + r")\b")
     return short | (word & (ascii_ratio(text) >= min_ascii_ratio))
 
 
@@ -105,11 +108,18 @@ def fold(text: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def normalize_text(texts: pd.Series) -> pd.Series:
-    """NFD, lower case, no accents. Spark has no Unicode normaliser, hence Arrow batches."""
+def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(fold, na_action="ignore")
 
 
+def normalize_text(c: Column | str) -> Column:
+    """NFD, lower case, no accents. Spark has no Unicode normaliser, hence Arrow batches, but only for texts that are
+    not plain ASCII: the others are null to Python and lower-cased in the JVM."""
+    text = col(c)
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(_folded(F.when(~plain, text)))
+
+
 def explode_values(df: DataFrame, values: Column, name: str, *keep: Column | str) -> DataFrame:
     """One row per non-null element of an array.
 

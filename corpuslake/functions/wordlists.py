@@ -2,11 +2,11 @@
 
 # Common English words of the language test.
 ENGLISH_WORDS = (
-    "the and is are was were have has been will would could should "
-    "this that with from for not but what all when can there their "
-    "which how about into more other than then some these only new "
-    "after also who get our out just your over such make may"
-).split()
+    "the", "and", "is", "are", "was", "were", "have", "has", "been", "will", "would", "could", "should", "this", "that",
+    "with", "from", "for", "not", "but", "what", "all", "when", "can", "there", "their", "which", "how", "about",
+    "into", "more", "other", "than", "then", "some", "these", "only", "new", "after", "also", "who", "get", "our",
+    "out", "just", "your", "over", "such", "make", "may",
+)
 
 # Whitespace as text stripping understands it.
 WHITESPACE = (

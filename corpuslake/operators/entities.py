@@ -25,9 +25,9 @@ def _quote(words: Iterable[str], whole_word: bool) -> str:
     return rf"(?U)\b(?:{body})\b" if whole_word else body
 
 
-def page_categories(text: Column, given: Column | None = None) -> Column:
-    """Lower-case categories: the given list, or the links in the last 2 000 characters."""
-    tail = F.right(text, F.lit(2000))
+def page_categories(text: Column, given: Column | None = None, tail: int | None = None) -> Column:
+    """Lower-case categories: the given list, or the links in the text (in its last `tail` characters if that is given)."""
+    tail = text if tail is None else F.right(text, F.lit(tail))
     found = F.regexp_extract_all(tail, F.lit(r"(?i)Category:([^\]\n]+)"), F.lit(1))
     found = F.transform(found, lambda c: F.lower(strip_ws(c)))
     if given is None:
@@ -36,9 +36,13 @@ def page_categories(text: Column, given: Column | None = None) -> Column:
     return F.when(F.size(given) > 0, listed).otherwise(found)
 
 
-def entity_rule(title: Column, text: Column, given: Column | None = None, whole_word: bool = False) -> Column:
+def entity_rule(title: Column, text: Column, given: Column | None = None, whole_word: bool = False,
+                head: int | None = None, tail: int | None = None) -> Column:
     """Name of the first rule that decides: cheap tests first, no UDF.
 
+    Phrases are looked for in the whole text or its first `head` characters, categories in the whole text or its last
+    `tail` characters.
+
     Categories and the opening are bound with `let`, so that each is computed once per page that
     gets that far, however many words are looked for in it.
     """
@@ -61,7 +65,7 @@ def entity_rule(title: Column, text: Column, given: Column | None = None, whole_
             return F.exists(categories, lambda c: c.rlike(_quote(words, whole_word)))
 
         tests = [("other_category", holds(w.OTHER_CATEGORIES)), ("business_category", holds(w.BUSINESS_CATEGORIES))]
-        return first_of(tests, let(F.lower(F.substring(text, 1, 800)), by_intro))
+        return first_of(tests, let(F.lower(text if head is None else F.substring(text, 1, head)), by_intro))
 
     return first_of([
         ("namespace", _any(title.startswith(p) for p in w.NAMESPACE_PREFIXES)),
@@ -70,15 +74,15 @@ def entity_rule(title: Column, text: Column, given: Column | None = None, whole_
         ("date_title", _any(title.rlike(p) for p in (w.YEAR_PATTERN, w.DECADE_PATTERN, "(?iU)" + w.CENTURY_PATTERN))),
         ("month_title", first_word.isin(*w.MONTHS)),
         ("short", F.length(text) < MIN_PAGE_CHARS),
-    ], let(page_categories(text, given), by_category))
+    ], let(page_categories(text, given, tail), by_category))
 
 
-def classify_entity_page(df: DataFrame, whole_word: bool = False) -> DataFrame:
+def classify_entity_page(df: DataFrame, whole_word: bool = False, head: int | None = None, tail: int | None = None) -> DataFrame:
     """Add `reason` and `keep`; `categories` is used when the column exists."""
     given = F.col("categories") if "categories" in df.columns else None
-    rows = df.withColumn("reason", entity_rule(F.col("title"), F.col("text"), given, whole_word))
+    rows = df.withColumn("reason", entity_rule(F.col("title"), F.col("text"), given, whole_word, head, tail))
     return rows.withColumn("keep", F.col("reason").isin(*KEEP_REASONS))
 
 
-def filter_entity_pages(df: DataFrame, whole_word: bool = False) -> DataFrame:
-    return classify_entity_page(df, whole_word).where("keep").drop("keep", "reason")
+def filter_entity_pages(df: DataFrame, whole_word: bool = False, head: int | None = None, tail: int | None = None) -> DataFrame:
+    return classify_entity_page(df, whole_word, head, tail).where("keep").drop("keep", "reason")

@@ -16,8 +16,8 @@ MIN_LENGTH = {
 }
 
 
-def filter_english(df: DataFrame, text: str = "text", min_ascii_ratio: float = 0.85) -> DataFrame:
-    return df.where(is_likely_english(text, min_ascii_ratio))
+def filter_english(df: DataFrame, text: str = "text", min_ascii_ratio: float = 0.85, head: int | None = None) -> DataFrame:
+    return df.where(is_likely_english(text, min_ascii_ratio, head))
 
 
 def long_enough(text: Column | str, kind: str, variant: str = "loader") -> Column:

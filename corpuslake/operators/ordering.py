@@ -1,9 +1,10 @@
 """Exact positions inside groups of any size.
 
-`row_number` over a group sorts the whole group in one task. That is right for ordinary groups and
-wrong for one that holds a third of the table. `with_rank` keeps the plain window for ordinary
-groups; a hot group is first cut into value ranges of its leading sort column, ranked range by
-range, and each range is shifted by the number of rows in the ranges before it.
+`row_number` over a group sorts the whole group in one task. That is right for ordinary groups and wrong for one
+that holds a third of the table. Groups are counted first. If one exceeds `HOT_ROWS`, or if the whole table is one
+group, the rows are range-partitioned and sorted by group and order, written once with their place in the
+partition, and numbered by adding the rows of the partitions before; the rank in a group is that number minus the
+number of the group's first row. This works for every type that Spark can sort.
 """
 
 from __future__ import annotations
@@ -12,137 +13,72 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpuslake.session import cut_lineage, plan_bytes
+from corpuslake.session import cut_lineage
 
 HOT_ROWS = 250_000          # rows of one group that one task may sort
-MAX_HOT_GROUPS = 10_000     # hot groups looked up on the driver, largest first
-MAX_RANGES = 100_000        # ranges per hot group and level
-SMALL_PLAN = 256 << 20      # below this estimate no group can be too large for a task
 
 Order = str | tuple[str, str]
 
 
-def _terms(order: Sequence[Order]) -> list[tuple[str, bool]]:
-    pairs = [(o, "asc") if isinstance(o, str) else o for o in order]
-    return [(name, direction == "desc") for name, direction in pairs]
-
-
 def _sort(order: Sequence[Order]) -> list[Column]:
-    return [F.col(n).desc_nulls_last() if desc else F.col(n).asc_nulls_first() for n, desc in _terms(order)]
-
-
-def _shared_prefix(low: str, high: str) -> int:
-    a, b = low.encode(), high.encode()
-    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
-def _number(value, skip: int) -> float:
-    """Driver-side twin of `_as_number`."""
-    if isinstance(value, str):
-        return float(int(value.encode()[skip:skip + 6].ljust(6, b"\0").hex(), 16))
-    return float(value)
-
-
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A number that never decreases when the column increases.
-
-    For strings it is made of six bytes after the prefix that all values of the group share.
-    """
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.hex(F.substr(F.encode(F.col(name), "UTF-8"), F.col("__skip") + 1, F.lit(6)))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+    pairs = [(o, "asc") if isinstance(o, str) else o for o in order]
+    return [F.col(n).desc_nulls_last() if direction == "desc" else F.col(n).asc_nulls_first() for n, direction in pairs]
 
 
 def _window_rank(df: DataFrame, by: list[str], order: Sequence[Order], name: str, limit: int | None) -> DataFrame:
-    window = Window.partitionBy(*by).orderBy(*_sort(order))
-    ranked = df.withColumn(name, F.row_number().over(window))
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*_sort(order))))
     if limit is not None:
         ranked = ranked.where(F.col(name) <= limit)  # becomes a map-side WindowGroupLimit
     return ranked.withColumn(name, F.col(name).cast("bigint"))
 
 
+def _numbered(df: DataFrame, columns: list[Column], name: str) -> DataFrame:
+    """0-based position of every row in the order of `columns`: one range shuffle, written once."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = df.repartitionByRange(tasks, *columns).sortWithinPartitions(*columns)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # counts the rows of a partition in their order
+    rows = cut_lineage(rows.withColumn("__rank_part", F.spark_partition_id()).withColumn("__rank_place", place), "numbered")
+    sizes = rows.groupBy("__rank_part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__rank_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    sizes = sizes.select(F.col("__rank_part").alias("__rank_p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rank_before"))
+    sizes = cut_lineage(sizes, "numbered-sizes")  # of known size
+    return rows.join(sizes, F.col("__rank_part") == F.col("__rank_p")).withColumn(name, F.col("__rank_before") + F.col("__rank_place")) \
+        .drop("__rank_part", "__rank_place", "__rank_p", "__rank_before")
+
+
 def with_rank(
     df: DataFrame,
     order: Sequence[Order],
     by: Sequence[str] = (),
     name: str = "rank",
     limit: int | None = None,
-    hot_rows: int | None = None,
+    hot_rows: int = HOT_ROWS,
     bounded: bool = False,
-    _depth: int = 0,
 ) -> DataFrame:
     """Add the 1-based position of each row in `order` within `by`; `limit` keeps the first rows.
 
-    `order` should end in a unique key, so that the result does not depend on partitioning.
-    Looking for hot groups costs a pass over the sort columns; it is skipped for small inputs unless
-    `hot_rows` is given, and for groups that are `bounded` by an earlier limit.
+    `order` should end in a unique key, so that the result does not depend on partitioning. Nulls come first in
+    ascending order and last in descending order; a null in `by` is a group of its own. Groups that are `bounded` by
+    an earlier limit are not counted.
     """
-    if bounded or hot_rows is None and plan_bytes(df) < SMALL_PLAN:
-        return _window_rank(df, list(by), order, name, limit)
-    rows = hot_rows or HOT_ROWS
-    everything = "__all"
-    base = df if by else df.withColumn(everything, F.lit(0))
-    keys = list(by) or [everything]
-    terms = _terms(order)
-
-    measures = (("lo", F.min), ("hi", F.max), ("set", F.count))
-    bounds = [f(n).alias(f"{tag}{i}") for i, (n, _) in enumerate(terms) for tag, f in measures]
-    found = (
-        base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *bounds)
-        .where(F.col("n") > rows).orderBy(F.desc("n")).limit(MAX_HOT_GROUPS).collect()
-    )
-    table = []
-    for row in found:
-        # the first sort column that differs inside the group; the ones before it are constant
-        split = next((i for i in range(len(terms))
-                      if row[f"lo{i}"] != row[f"hi{i}"] or 0 < row[f"set{i}"] < row["n"]), None)
-        if split is not None:
-            low, high = row[f"lo{split}"], row[f"hi{split}"]
-            skip = _shared_prefix(low, high) if isinstance(low, str) else 0
-            low, high = _number(low, skip), _number(high, skip)
-            ranges = min(MAX_RANGES, 4 * (row["n"] // rows + 1)) if low < high else 1  # 1: null or not null
-            table.append((*[row[k] for k in keys], split, skip, low, (high - low) / ranges or 1.0, ranges))
-    if not table or _depth >= 8:
-        return _window_rank(base, keys, order, name, limit).drop(everything)
-
-    hot_keys = [f"__hot{i}" for i in range(len(keys))]
-    schema = T.StructType(
-        [T.StructField(h, base.schema[k].dataType) for h, k in zip(hot_keys, keys)]
-        + [T.StructField("__split", T.IntegerType()), T.StructField("__skip", T.IntegerType()), T.StructField("__lo", T.DoubleType()),
-           T.StructField("__width", T.DoubleType()), T.StructField("__ranges", T.IntegerType())]
-    )
-    hot = df.sparkSession.createDataFrame(table, schema)  # at most MAX_HOT_GROUPS rows
-    matches = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, hot_keys)]
-    bucket = F.lit(None).cast("bigint")
-    for i, (column, desc) in enumerate(terms):
-        step = F.floor((_as_number(base, column) - F.col("__lo")) / F.col("__width"))
-        step = F.when(step.isNotNull(), F.least(step, F.col("__ranges") - 1)).cast("bigint")
-        step = F.coalesce(F.col("__ranges") - 1 - step if desc else step,
-                          F.col("__ranges").cast("bigint") if desc else F.lit(-1).cast("bigint"))
-        bucket = F.when(F.col("__split") == i, step).otherwise(bucket)
-    level = f"__range{_depth}"
-    tagged = base.join(F.broadcast(hot), matches, "left").withColumn(level, F.coalesce(bucket, F.lit(0)))
-    hot_only = tagged.where(F.col("__split").isNotNull())
-    tagged = tagged.drop(*hot_keys, "__split", "__skip", "__lo", "__width", "__ranges")
-
-    sizes = hot_only.groupBy(*keys, level).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-    offset = f"__offset{_depth}"
-    offsets = sizes.withColumn(offset, F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    names = [f"__o{i}" for i in range(len(keys) + 1)]
-    lookup = cut_lineage(offsets.select(*[F.col(k).alias(n) for k, n in zip([*keys, level], names)], offset), "offsets")
-    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, level], names)]
-    placed = tagged.join(lookup, on, "left").drop(*names)
-    placed = placed.withColumn(offset, F.coalesce(F.col(offset), F.lit(0).cast("bigint")))
-    if limit is not None:
-        placed = placed.where(F.col(offset) < limit)  # ranges past the limit are never sorted
-    inner = f"__rank{_depth}"
-    ranked = with_rank(placed, order, [*keys, level], inner, hot_rows=rows, _depth=_depth + 1)
-    ranked = ranked.withColumn(name, F.col(offset) + F.col(inner)).drop(offset, inner, level, everything)
-    return ranked.where(F.col(name) <= limit) if limit is not None else ranked
+    by = list(by)
+    if bounded and by:
+        return _window_rank(df, by, order, name, limit)
+    if by:
+        largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        if (largest or 0) <= hot_rows:
+            return _window_rank(df, by, order, name, limit)
+    rows = _numbered(df, [F.col(c).asc_nulls_first() for c in by] + _sort(order), "__rank_index")
+    if by:
+        firsts = rows.groupBy(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]).agg(F.min("__rank_index").alias("__rank_first"))
+        on = [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]
+        rows = rows.join(cut_lineage(firsts, "group-firsts"), on).drop(*[f"__by{i}" for i in range(len(by))])
+    else:
+        rows = rows.withColumn("__rank_first", F.lit(0))
+    rows = rows.withColumn(name, F.col("__rank_index") - F.col("__rank_first") + 1).drop("__rank_index", "__rank_first")
+    return rows.where(F.col(name) <= limit) if limit is not None else rows
 
 
 def with_index(df: DataFrame, order: Sequence[Order], name: str = "idx", **kw) -> DataFrame:

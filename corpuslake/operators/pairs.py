@@ -13,8 +13,6 @@ from corpuslake.functions.text import filled
 from corpuslake.functions.wordlists import MATCH_INSTRUCTION, PASSAGE_INSTRUCTION, QA_INSTRUCTION
 from corpuslake.operators.ordering import with_rank
 
-MAX_NEGATIVES = 7
-
 # Accepted label spellings, lower case.
 LABEL_CODES = {"exact": ("exact", "e"), "substitute": ("substitute", "s"), "complement": ("complement", "c")}
 
@@ -33,7 +31,7 @@ def judged_rows(df: DataFrame, pos: str = "pos") -> DataFrame:
     return rows.where(F.col("query").isNotNull() & F.col("product").isNotNull())
 
 
-def judged_to_triples(df: DataFrame, max_neg: int = MAX_NEGATIVES, pos: str = "pos", **kw) -> DataFrame:
+def judged_to_triples(df: DataFrame, max_neg: int, pos: str = "pos", **kw) -> DataFrame:
     """One row per exact product, with the first substitutes of the same query as negatives.
 
     The substitutes are cut to `max_neg` per query before they are collected, so a list never grows

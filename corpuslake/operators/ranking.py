@@ -83,12 +83,14 @@ def recall_at_k(df: DataFrame, k: int = 100, min_gain: int = 1, **kw) -> DataFra
         "query_id", "relevant", "found", (F.col("found") / F.col("relevant")).alias("recall"))
 
 
-def cap_queries(df: DataFrame, n: int = 10_000, pos: str = "pos", query: str = "query_id",
+def cap_queries(df: DataFrame, n: int | None = None, pos: str = "pos", query: str = "query_id",
                 reference_cut: bool = False, **kw) -> DataFrame:
-    """Rows of the first n queries in order of appearance.
+    """Rows of the first n queries in order of appearance; everything unless n is given.
 
     With `reference_cut` reading stops at the first row of the n-th query, as a single pass would.
     """
+    if n is None:
+        return df
     firsts = df.groupBy(F.col(query).alias("__q")).agg(F.min(pos).alias("__first"))
     chosen = with_rank(firsts, ["__first"], (), "__rank", limit=n, **kw)
     if reference_cut:

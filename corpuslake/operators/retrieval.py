@@ -24,6 +24,7 @@ from corpuslake.session import cut_lineage
 BLOCK_QUERIES = 4_096       # queries sent to every task
 SHARD_ITEMS = 100_000       # items of one tile when there are more queries than that
 CELLS = 2_000_000           # scores held at a time
+MERGES = 64                 # groups per query in the first step of the final ranking
 DIGITS = 9                  # scores are compared at this many decimals
 MODEL_WORDS = r"[\p{L}\p{N}]+"
 
@@ -35,7 +36,7 @@ class BestK:
         self.k = k
         self.floor = np.full(queries, -np.inf)
         self.q = np.empty(0, dtype=np.int64)
-        self.items = np.empty(0, dtype=np.int64)
+        self.items: np.ndarray | None = None  # ids of any type that can be sorted
         self.scores = np.empty(0)
 
     def add(self, scores: np.ndarray, items: np.ndarray, valid: np.ndarray | None = None) -> None:
@@ -49,8 +50,9 @@ class BestK:
         q, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
         q = np.concatenate([self.q, q])
         found = np.concatenate([self.scores, scores[q[len(self.q):], j]])
-        ids = np.concatenate([self.items, items[j]])
-        order = np.lexsort((ids, -found, q))
+        ids = items[j] if self.items is None else np.concatenate([self.items, items[j]])
+        _, place_of = np.unique(ids, return_inverse=True)  # also for ids that are strings
+        order = np.lexsort((place_of, -found, q))
         q, found, ids = q[order], found[order], ids[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         keep = place < self.k
@@ -59,7 +61,7 @@ class BestK:
         self.floor[self.q[full]] = self.scores[full]
 
     def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": query_ids[self.q], "item_id": self.items, "score": self.scores})
+        return pd.DataFrame({"query_id": query_ids[self.q], "item_id": [] if self.items is None else self.items, "score": self.scores})
 
 
 Kernel = Callable[[pd.DataFrame, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -95,13 +97,17 @@ def meet(heads: DataFrame, items: DataFrame, kernel: Kernel, schema: T.StructTyp
 
 def search(queries: DataFrame, items: DataFrame, kernel: Kernel, k: int, block: int = BLOCK_QUERIES,
            shard: int = SHARD_ITEMS) -> DataFrame:
-    """Best k items per query: `query_id, item_id, score, rank`. Item ids are integers.
+    """Best k items per query: `query_id, item_id, score, rank`.
 
-    Every task hands in k rows per query at most, which bounds the groups of the final ranking.
+    Every task hands in k rows per query at most. They are merged in two steps, first by query and a hash of the item,
+    so the last group of a query holds k rows for each of `MERGES` hashes, however many tasks there were.
     """
     schema = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
     found = meet(queries, items, kernel, schema, block, shard, ["item_id"])
-    return with_rank(found, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k, bounded=True)
+    order = [("score", "desc"), "item_id"]
+    salted = found.withColumn("__salt", F.pmod(F.xxhash64("item_id"), F.lit(MERGES)))
+    merged = with_rank(salted, order, ["query_id", "__salt"], "rank", limit=k, bounded=True).drop("__salt", "rank")
+    return with_rank(merged, order, ["query_id"], "rank", limit=k, bounded=True)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -134,16 +140,18 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: floa
     """Keyword search of `query_id, text` in `item_id, text`.
 
     Each distinct query word t adds ln(1 + (N - df + 0.5) / (df + 0.5)) x tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)).
-    Only occurrences of query words leave the scan. The query words are written first, so that their
-    join is a broadcast exactly when they are small. Scores are summed inside tasks.
+    The texts are split once: what is written per document is its length and its occurrences of query words, from which
+    all counts follow. The query words are written first, so that their join is a broadcast exactly when they are small.
+    Scores are summed inside tasks.
     """
-    docs = corpus.select("item_id", model_words("text").alias("words")).select("item_id", F.size("words").alias("dl"), "words")
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = totals["n"], totals["avgdl"] or 1.0
     asked = cut_lineage(explode_values(queries, F.array_distinct(model_words("text")), "word", "query_id"), "query-words")
     numbered = cut_lineage(with_rank(asked.select("word").distinct(), ["word"], (), "term"), "query-terms")
-    hits = explode_values(docs, F.col("words"), "word", "item_id", "dl").join(numbered, "word")
-    items = cut_lineage(hits.groupBy("item_id", "dl").agg(F.collect_list("term").alias("terms")), "query-hits")
+    docs = corpus.select("item_id", model_words("text").alias("words")).select("item_id", F.size("words").alias("dl"), "words")
+    words = docs.select("item_id", "dl", F.explode_outer("words").alias("word")).join(numbered, "word", "left")
+    split = cut_lineage(words.groupBy("item_id", "dl").agg(F.collect_list("term").alias("terms")), "query-hits")
+    totals = split.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n_docs, avgdl = totals["n"], totals["avgdl"] or 1.0
+    items = split.where(F.size("terms") > 0)
     counts = explode_values(items, F.array_distinct("terms"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     frequency = counts.join(numbered, "term")
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -185,25 +193,28 @@ def rrf(*rankings: DataFrame, k: int = 60) -> DataFrame:
     return rows.groupBy("query_id", "item_id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def adaptive_k(df: DataFrame, n: int = 20, **kw) -> DataFrame:
-    """Keep each query's hits down to the largest score gap among its first n; adds `rank`."""
+def adaptive_k(df: DataFrame, n: int | None = None, **kw) -> DataFrame:
+    """Keep each query's hits down to the largest score gap among its first n (all unless given); adds `rank`."""
     head = with_rank(df, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=n, **kw)
-    whole = Window.partitionBy("query_id")  # at most n rows per query from here on
+    whole = Window.partitionBy("query_id")  # the hits of one query
     gap = F.col("score") - F.lead("score").over(whole.orderBy("rank"))
     rows = head.withColumn("__gap", gap)
     best = F.max_by("rank", F.when(F.col("__gap").isNotNull(), F.struct("__gap", -F.col("rank")))).over(whole)
     return rows.withColumn("__cut", F.coalesce(best, F.lit(1))).where(F.col("rank") <= F.col("__cut")).drop("__gap", "__cut")
 
 
-def threshold_scores(df: DataFrame, threshold: float = 0.75, fallback: DataFrame | None = None) -> DataFrame:
+def threshold_scores(df: DataFrame, threshold: float = 0.75, fallback: DataFrame | None = None,
+                     queries: DataFrame | None = None) -> DataFrame:
     """Hits whose logistic score is above the threshold, with `status` kept.
 
-    A query without any gives one row of status none, or its rows of `fallback`.
+    A query without any gives one row of status none, or its rows of `fallback`. `queries` (query_id) lists all that were
+    asked, so that a query without a single hit is reported, too; without it only those with hits can be.
     """
     probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score")))
     rows = df.select("query_id", "item_id", "score", probability.alias("probability"))
     kept = rows.where(F.col("probability") > threshold)
-    empty = rows.groupBy("query_id").agg(F.max("probability").alias("__best")).where(F.col("__best") <= threshold).select("query_id")
+    everyone = (rows if queries is None else queries).select("query_id").distinct()
+    empty = everyone.join(kept.select("query_id"), "query_id", "left_anti")
     if fallback is None:
         rest = empty.select("query_id", F.lit(None).cast(rows.schema["item_id"].dataType).alias("item_id"),
                             F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("probability"),
@@ -219,7 +230,7 @@ def tag_prefilter(chunks: DataFrame, tags: Sequence[str], column: str = "tags")
     return chunks.where(F.arrays_overlap(column, F.array(*[F.lit(t) for t in tags])))
 
 
-def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int = 64, top: int = 100, k: int = 10, **kw) -> DataFrame:
+def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int, top: int, k: int, **kw) -> DataFrame:
     """Candidates by the first d dimensions, ranked again by all of them."""
     def short(df, key):
         return df.select(key, F.slice("vector", 1, d).alias("vector"))
@@ -234,9 +245,11 @@ def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int = 64, top: i
 
 
 def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, block: int = BLOCK_QUERIES, shard: int = SHARD_ITEMS,
-           flush: int = 1_000) -> DataFrame:
+           flush: int = 1_000, k: int | None = None) -> DataFrame:
     """Late interaction: per query token the best document token, summed per query and document.
 
+    With `k` only the best k documents of each query are returned, with their `rank`.
+
     `query_tokens(query_id, token_id, vector)`, `doc_tokens(doc_id, token_id, vector)`. Tokens of a
     document are reduced to one maximum per query token inside each task and may lie in many tasks,
     so a document with very many tokens is neither gathered nor more rows than others.
@@ -270,11 +283,15 @@ def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, block: int = BLOCK_QU
     items = doc_tokens.select("doc_id", "token_id", "vector")
     partial = meet(heads, items, kernel, schema, block, shard, ["doc_id", "token_id"])
     per_token = partial.groupBy("query_id", "doc_id", "token_id").agg(F.max("best").alias("best"))
-    return per_token.groupBy("query_id", "doc_id").agg(F.sum("best").alias("score"))
+    scores = per_token.groupBy("query_id", "doc_id").agg(F.sum("best").alias("score"))
+    if k is None:
+        return scores
+    rounded = scores.withColumn("score", F.round("score", DIGITS))
+    return with_rank(rounded, [("score", "desc"), "doc_id"], ["query_id"], "rank", limit=k, bounded=True)
 
 
-def rerank(df: DataFrame, score: Column, depth: int = 50, **kw) -> DataFrame:
-    """The best `depth` candidates of each query, scored again by a column expression.
+def rerank(df: DataFrame, score: Column, depth: int | None = None, **kw) -> DataFrame:
+    """The candidates of each query (the best `depth` if that is given), scored again by a column expression.
 
     Few rows carry the whole cost here, so they are dealt out evenly before scoring, not by bytes.
     """
@@ -284,32 +301,52 @@ def rerank(df: DataFrame, score: Column, depth: int = 50, **kw) -> DataFrame:
     return with_rank(scored, [("score", "desc"), "item_id"], ["query_id"], "rank", bounded=True)
 
 
+def distinct_words(text: Column | str) -> Column:
+    return F.array_distinct(model_words(text))
+
+
+def word_overlap(asked: Column | str, words: Column | str) -> Column:
+    """Share of the asked words among the words; both are lists of distinct words, split once per text."""
+    n = F.size(asked)
+    return F.when(n > 0, F.size(F.array_intersect(asked, words)) / n).otherwise(F.lit(0.0))
+
+
 def term_overlap(query: Column | str, text: Column | str) -> Column:
     """Default second-stage score: share of the query's distinct words found in the text."""
-    asked = F.array_distinct(model_words(query))
-    shared = F.size(F.array_intersect(asked, model_words(text)))
-    return F.when(F.size(asked) > 0, shared / F.size(asked)).otherwise(F.lit(0.0))
+    return word_overlap(distinct_words(query), distinct_words(text))
 
 
-def mine_hard_negatives(queries: DataFrame, corpus: DataFrame, positives: DataFrame, depth: int = 10, **kw) -> DataFrame:
-    """The nearest items of each query without its known positives (`query_id, item_id`)."""
+def mine_hard_negatives(queries: DataFrame, corpus: DataFrame, positives: DataFrame, depth: int, **kw) -> DataFrame:
+    """The `depth` nearest items of each query without its known positives (`query_id, item_id`).
+
+    A query of which nothing remains has an empty list.
+    """
     near = dense_topk(queries, corpus, depth, **kw)
     wrong = near.join(positives.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     lists = wrong.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("found"))
-    return lists.select("query_id", F.transform("found", lambda s: s["item_id"]).alias("hard_negatives"))
+    lists = lists.select("query_id", F.transform("found", lambda s: s["item_id"]).alias("hard_negatives"))
+    none = F.array().cast(lists.schema["hard_negatives"].dataType)
+    return queries.select("query_id").distinct().join(lists, "query_id", "left") \
+        .select("query_id", F.coalesce("hard_negatives", none).alias("hard_negatives"))
 
 
-def hybrid_search(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, k: int = 10, depth: int = 50,
-                  tags: Sequence[str] | None = None, cut: bool = False, **kw) -> DataFrame:
+def hybrid_search(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, k: int, depth: int,
+                  tags: Sequence[str] | None = None, cut: bool = False, threshold: float | None = None, **kw) -> DataFrame:
     """Dense and keyword search fused by rank.
 
     `queries(query_id, text, vector)`, `corpus(item_id, text [, tags])`, `vectors(item_id, vector)`.
-    Tags filter both sides before ranking; with `cut` the fused list ends at its largest score gap.
+    Tags filter both sides before ranking; with `cut` the fused list ends at its largest score gap. With `threshold` only
+    dense hits above it take part, and a query without any falls back to all of its dense hits.
     """
     if tags is not None:
         corpus = tag_prefilter(corpus, tags)
         vectors = vectors.join(corpus.select("item_id"), "item_id", "left_semi")
     dense = dense_topk(queries, vectors, depth, **kw)
+    if threshold is not None:
+        dense = cut_lineage(dense, "dense-hits")
+        passed = threshold_scores(dense, threshold, fallback=dense, queries=queries)
+        dense = dense.join(passed.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi")
+        dense = with_rank(dense.drop("rank"), [("score", "desc"), "item_id"], ["query_id"], "rank", bounded=True)
     words = bm25(queries, corpus, depth, **kw)
     fused = rrf(dense, words)
     fused = fused.withColumn("score", F.round("score", DIGITS))

@@ -16,9 +16,6 @@ from corpuslake.functions.hashing import seeded_hash
 from corpuslake.operators.ordering import Order, with_index, with_rank
 from corpuslake.session import cut_lineage
 
-DEBUG_SAMPLES = 1_000
-MAX_LITERAL_SOURCES = 1_000
-
 
 def cap_per_source(df: DataFrame, n: int, order: Sequence[Order] = ("doc_id",), source: str = "source", **kw) -> DataFrame:
     """First n rows of each source, counted after filters and chunking."""
@@ -30,13 +27,14 @@ def cap_scanned(df: DataFrame, n: int, keep, order: Sequence[Order] = ("doc_id",
     return cap_per_source(df, n, order, source, **kw).where(keep)
 
 
-def debug_sample(df: DataFrame, n: int = DEBUG_SAMPLES, **kw) -> DataFrame:
-    return cap_per_source(df, n, **kw)
+def debug_sample(df: DataFrame, n: int | None = None, **kw) -> DataFrame:
+    """First n rows of each source; everything unless n is given."""
+    return df if n is None else cap_per_source(df, n, **kw)
 
 
-def take_first(df: DataFrame, n: int, order: Sequence[Order] = ("doc_id",), **kw) -> DataFrame:
-    """First n rows of the table, before any projection."""
-    return with_rank(df, order, (), "__rank", limit=n, **kw).drop("__rank")
+def take_first(df: DataFrame, n: int | None, order: Sequence[Order] = ("doc_id",), **kw) -> DataFrame:
+    """First n rows of the table, before any projection; everything if n is None."""
+    return df if n is None else with_rank(df, order, (), "__rank", limit=n, **kw).drop("__rank")
 
 
 def _running_totals(sizes: DataFrame, order: str, size: str) -> DataFrame:
@@ -69,29 +67,19 @@ def interleave_round_robin(df: DataFrame, order: Sequence[Order] = ("doc_id",),
                            sources: Sequence[str] | None = None, rank: str | None = None, **kw) -> DataFrame:
     """One row from each source in turn; a source that runs out is skipped. Adds 0-based `position`.
 
-    `rank` names a column that already holds the place of each row in its source.
+    `rank` names a column that already holds the place of each row in its source. The sources take turns in the order
+    of `sources`; those that are not listed follow by name, a null source comes last. No row is left out.
 
-    Before the r-th row of a source come min(size, r - 1) rows of every source, plus one row of each
-    earlier source that still has an r-th row. So the position needs the sizes of the sources only,
-    not a sort of the whole table in one task.
+    The r-th rows of all sources follow the rows before them, so the position is the place in the order of rank and
+    turn: a range-partitioned numbering, whatever the number of sources and their sizes.
     """
-    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
-    found = sizes.orderBy(source).limit(MAX_LITERAL_SOURCES + 1).collect()
     ranked = with_rank(df, order, [source], "__rank", **kw) if rank is None else df.withColumn("__rank", F.col(rank))
-    if len(found) > MAX_LITERAL_SOURCES:
-        if sources is not None:
-            raise ValueError(f"an explicit source order is limited to {MAX_LITERAL_SOURCES} sources")
-        return with_rank(ranked, ["__rank", source], (), "position", **kw) \
-            .withColumn("position", F.col("position") - 1).drop("__rank")
-    by_name = {r[source]: r["n"] for r in found}
-    names = list(by_name) if sources is None else [s for s in sources if s in by_name]
-    counts = [by_name[s] for s in names]
-    turn = F.array_position(F.array(*[F.lit(s) for s in names]), F.col(source))  # 1-based
-    all_counts = F.array(*[F.lit(c).cast("bigint") for c in counts])
-    full_rounds = F.aggregate(all_counts, F.lit(0).cast("bigint"), lambda acc, c: acc + F.least(c, F.col("__rank") - 1))
-    same_round = F.size(F.filter(F.slice(all_counts, F.lit(1), turn.cast("int") - 1), lambda c: c >= F.col("__rank")))
-    ranked = ranked.where(F.col(source).isin(names))
-    return ranked.withColumn("position", full_rounds + same_round).drop("__rank")
+    listed = F.lit(None).cast("int")
+    for turn, name in reversed(list(enumerate(sources or ()))):
+        listed = F.when(F.col(source) == name, turn).otherwise(listed)
+    ranked = ranked.withColumn("__listed", F.coalesce(listed, F.lit(len(sources or ())))).withColumn("__none", F.col(source).isNull())
+    placed = with_index(ranked, ["__rank", "__listed", "__none", source], "position")
+    return placed.drop("__rank", "__listed", "__none")
 
 
 def shuffle_global(df: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:

@@ -2,46 +2,63 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslake.functions.hashing import seeded_hash
 from corpuslake.functions.text import col
+from corpuslake.functions.vectors import let
 from corpuslake.operators.ordering import Order, with_rank
 
 IGNORE_LABEL = -100
 MIN_MASK_RATIO = 0.05
-SPANS = "array<struct<start:int,end:int>>"
 
 
-def draw_spans(length: int, seed: int, max_ratio: float, mean_len: float) -> list[dict]:
-    """Disjoint spans inside `[1, length - 1)` that cover a random share of the sequence exactly."""
-    rng = random.Random(seed)
-    budget = min(int(length * rng.uniform(MIN_MASK_RATIO, max_ratio)), max(0, length - 2))
-    taken, spans, covered = bytearray(length + 1), [], 0
-    while covered < budget:
-        size = min(max(1, int(rng.expovariate(1.0 / mean_len))), budget - covered)
-        start = rng.randint(1, max(1, length - size - 1))
-        if not any(taken[start:start + size]):
-            taken[start:start + size] = b"\x01" * size
-            spans.append({"start": start, "end": start + size})
-            covered += size
-    return sorted(spans, key=lambda s: s["start"])
+def _draws(seed: Column, tag: str, n: Column) -> Column:
+    """n random numbers in [0, 1), sorted: 40-bit pieces of the MD5 of seed, tag and number."""
+    def one(i: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", seed.cast("string"), F.lit(tag), i.cast("string")))
+        return F.conv(F.substring(digest, 1, 10), 16, 10).cast("double") / F.lit(float(1 << 40))
+
+    return F.array_sort(F.transform(F.sequence(F.lit(1), n), one))
 
 
 def span_masks(df: DataFrame, ids: str = "input_ids", key: str = "doc_id", max_ratio: float = 0.30,
                mean_len: float = 3, seed: int = 0, epoch: int = 0, out: str = "spans") -> DataFrame:
-    """Random spans per row. The draw depends on key, epoch and seed only; no shuffle."""
+    """Disjoint random spans inside `[1, length - 1)` that cover a random share of the sequence exactly.
+
+    The share is uniform between `MIN_MASK_RATIO` and `max_ratio`. The covered tokens are cut at random points into
+    pieces of `mean_len` tokens on average (the gaps between uniform points are exponential in the limit), and the
+    free tokens at as many random points: the i-th span starts behind the free and the covered tokens before it. So
+    spans never overlap and none has to be drawn twice. Everything depends on key, epoch and seed only; no shuffle.
+    """
+    base = seeded_hash(seed, epoch, F.col(key))
+    length = F.size(ids)
+    room = F.greatest(length - 2, F.lit(0))
+    share = F.lit(MIN_MASK_RATIO) + F.get(_draws(base, "share", F.lit(1)), F.lit(0)) * F.lit(max_ratio - MIN_MASK_RATIO)
+    covered = F.least(F.floor(length * share).cast("int"), room)
+    pieces = F.greatest(F.round(covered / F.lit(float(mean_len))).cast("int"), F.lit(1))
+
+    def spans(plan: Column) -> Column:
+        free = room - plan["covered"]
+        cuts = F.transform(plan["cuts"], lambda x: F.floor(x * plan["covered"]).cast("int"))
+        cuts = F.concat(F.array(F.lit(0)), F.slice(cuts, F.lit(1), plan["pieces"] - 1), F.array(plan["covered"]))
+        gaps = F.transform(plan["gaps"], lambda x: F.floor(x * (free + 1)).cast("int"))
+
+        def span(gap: Column, i: Column) -> Column:
+            start = F.lit(1) + gap + F.get(cuts, i)
+            return F.struct(start.alias("start"), (F.lit(1) + gap + F.get(cuts, i + 1)).alias("end"))
 
-    @F.pandas_udf(SPANS)
-    def draw(lengths: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([draw_spans(int(n), int(s), max_ratio, mean_len) for n, s in zip(lengths, seeds)])
+        return F.filter(F.transform(gaps, span), lambda s: s["start"] < s["end"])
 
-    return df.withColumn(out, draw(F.size(ids), seeded_hash(seed, epoch, F.col(key))))
+    plan = F.struct(covered.alias("covered"), pieces.alias("pieces"), _draws(base, "cut", pieces).alias("cuts"),
+                    _draws(base, "gap", pieces).alias("gaps"))
+    return df.withColumn(out, let(plan, spans))
 
 
 def _stitch(ids: Column, spans: Column, inside, outside) -> Column:
@@ -99,6 +116,38 @@ def pack_sequences(df: DataFrame, max_len: int = 4_096, batch: Sequence[str] = (
     return rows.withColumn(ids, F.slice(ids, 1, max_len)).drop("__rank", "__end")
 
 
+def pack_next_fit(df: DataFrame, max_len: int = 4_096, batch: Sequence[str] = ("batch_id",), pos: str = "pos",
+                  ids: str = "input_ids") -> DataFrame:
+    """Every sequence of a batch, in order, in the current pack if it fits, else in a new one; adds `pack` and `start`.
+
+    Nothing is left out but sequences without a token; one longer than `max_len` has a pack of its own and keeps its
+    tokens. The rows of a batch are streamed in order through one task that remembers two numbers, so a batch may hold
+    any number of rows; batches are independent of each other.
+    """
+    rows = df.where(F.size(ids) > 0).withColumn("__n", F.size(ids))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, *batch).sortWithinPartitions(*batch, pos)
+    schema = rows.drop("__n").schema.add("pack", T.LongType()).add("start", T.LongType())
+    names = [f.name for f in schema][:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pack, used = None, 0, 0
+        for part in batches:
+            sizes = part.column("__n").to_pylist()
+            groups = list(zip(*[part.column(c).to_pylist() for c in batch]))
+            packs, starts = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
+            for i, (group, n) in enumerate(zip(groups, sizes)):
+                if group != current:
+                    current, pack, used = group, 0, 0
+                elif used + n > max_len:
+                    pack, used = pack + 1, 0
+                packs[i], starts[i] = pack, used
+                used += n
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(packs), pa.array(starts)], [*names, "pack", "start"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def packed_layout(df: DataFrame, batch: Sequence[str] = ("batch_id",), pos: str = "pos", ids: str = "input_ids") -> DataFrame:
     """One row per pack: tokens, `cu_seqlens`, `position_ids` and `max_seqlen`.
 

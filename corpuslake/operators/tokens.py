@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import col, explode_values, normalize_text, pretokenize
@@ -41,15 +41,14 @@ def pad_batch(df: DataFrame, ids: str = "input_ids", batch: str = "batch_id", mu
               max_length: int | None = None, pad_id: int = 0) -> DataFrame:
     """Pad to `max_length`, or to the longest row of the batch rounded up to `multiple`.
 
-    Adds `attention_mask`. The longest row comes from a partial aggregate joined back, so a large
-    batch is not gathered in one task; padding to a fixed length needs no shuffle at all.
+    Adds `attention_mask`. A batch has a fixed number of rows, so a window finds its longest row in one shuffle;
+    padding to a fixed length needs none.
     """
     if max_length is not None:
         rows = df.withColumn("__to", F.lit(max_length))
     else:
-        longest = df.groupBy(F.col(batch).alias("__batch")).agg(F.max(F.size(ids)).alias("__max"))
-        rows = df.join(longest, F.col(batch) == F.col("__batch")).drop("__batch")
-        rows = rows.withColumn("__to", (F.ceil(F.col("__max") / multiple) * multiple).cast("int")).drop("__max")
+        longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+        rows = df.withColumn("__to", (F.ceil(longest / multiple) * multiple).cast("int"))
     have = F.size(ids)
     missing = F.col("__to") - have
     rows = rows.withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), have), F.array_repeat(F.lit(0), missing)))

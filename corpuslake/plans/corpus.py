@@ -11,13 +11,13 @@ from corpuslake.session import cut_lineage
 from corpuslake.streaming.clean import clean_text
 
 
-def build_corpus(documents: DataFrame, cap: int = 3_000_000, kind: str = "generic", **kw) -> DataFrame:
-    """Filter by language and length, chunk, cap per source, interleave. Adds `position` and `n_chars`.
+def build_corpus(documents: DataFrame, cap: int | None = None, kind: str = "generic", head: int | None = None, **kw) -> DataFrame:
+    """Filter by language and length, chunk, cap per source (if asked for), interleave. Adds `position` and `n_chars`.
 
     The cleaned chunks are written once, so the regular expressions run once over the texts and the
     passes that count and rank read the key columns only. One ranking serves the cap and the mixing.
     """
-    chunks = clean_text(documents.select("doc_id", "source", "text"), kind)
+    chunks = clean_text(documents.select("doc_id", "source", "text"), kind, head)
     chunks = cut_lineage(chunks.withColumn("n_chars", F.length("text")), "chunks")
     capped = with_rank(chunks, ["doc_id", "chunk_no"], ["source"], "place", limit=cap, **kw)
     return interleave_round_robin(capped, rank="place").drop("place")

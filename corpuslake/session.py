@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_BELOW = 128 << 20
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "corpuslake", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,7 +26,22 @@ def build_session(app: str = "corpuslake", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so that they can import it wherever they run."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        archive = os.path.join(tempfile.mkdtemp(prefix="corpuslake-"), "corpuslake.zip")  # Spark copies it to the executors
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(PACKAGE):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)
+    return spark
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -55,15 +72,9 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small table out to all cores before heavy work on its rows.
+    """Deal the rows of a table with fewer files than cores out to all cores before heavy work on them.
 
-    A file of one row group is read by one task. Tables from `SPREAD_BELOW` on have many row groups
-    and stay as they are.
+    A file of one row group is read by one task, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if plan_bytes(df) < SPREAD_BELOW else df
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of `df`; used to choose a plan, never to decide what is in a result."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

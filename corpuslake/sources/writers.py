@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions.text import page_url
 from corpuslake.operators.entities import filter_entity_pages
+from corpuslake.operators.ordering import Order, with_index
 from corpuslake.operators.sampling import take_first
 
-MAX_PAGES = 100_000
 ESCAPES = (("\\", "\\b"), ("\n", "\\n"), ("\r", "\\r"))  # undone in reverse order
 
 
@@ -24,10 +24,12 @@ def write_corpus(df: DataFrame, path: str, text: str = "text", max_records_per_f
 
 def stored_rows(spark: SparkSession, path: str) -> int | None:
     """Row count of a finished Parquet table (reads no column data), or None."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-        return None
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     try:
         return spark.read.parquet(path).count()
     except AnalysisException:  # a finished job that wrote no file
@@ -43,32 +45,48 @@ def materialize_once(spark: SparkSession, make: Callable[[], DataFrame], path: s
     return rows
 
 
-def write_text_shards(df: DataFrame, folder: str, shard_size: int = 100_000, text: str = "text") -> None:
+def write_text_shards(df: DataFrame, folder: str, shard_size: int = 100_000, text: str = "text",
+                      order: Sequence[Order] = ()) -> None:
     """One record per line in files of at most `shard_size` records.
 
+    With `order` shard k is the folder `shard=k` with exactly `shard_size` records, only the last one may be short.
+
     Line breaks inside a record are written as backslash escapes, so that a record stays one line
     and `read_text_shards` returns exactly what was written.
     """
     line = F.col(text)
     for raw, escaped in ESCAPES:
         line = F.replace(line, F.lit(raw), F.lit(escaped))
-    (df.select(line.alias("value")).write.mode("overwrite")
-     .option("maxRecordsPerFile", shard_size).text(folder))
+    if not order:
+        df.select(line.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", shard_size).text(folder)
+        return
+    numbered = with_index(df, order, "__idx").select(line.alias("value"), F.floor(F.col("__idx") / shard_size).cast("bigint").alias("shard"))
+    # the rows are in order already; a hash of the shard only brings its rows together
+    numbered.repartition("shard").write.mode("overwrite").partitionBy("shard").text(folder)
 
 
 def read_text_shards(spark: SparkSession, folder: str) -> DataFrame:
     line = F.col("value")
     for raw, escaped in reversed(ESCAPES):
         line = F.replace(line, F.lit(escaped), F.lit(raw))
-    return spark.read.text(folder).select(line.alias("text"))
+    rows = spark.read.text(folder)
+    return rows.select(line.alias("text"), *[F.col("shard").cast("bigint")] * ("shard" in rows.columns))
+
 
+def extract_entities(pages: DataFrame, path: str, max_pages: int | None = None, force: bool = False, order: str = "doc_id",
+                     head: int | None = None, tail: int | None = None) -> int:
+    """Company pages as `title, url, text`, all or at most `max_pages`; an existing result of the same arguments is kept.
 
-def extract_entities(pages: DataFrame, path: str, max_pages: int = MAX_PAGES, force: bool = False,
-                     order: str = "doc_id") -> int:
-    """Company pages as `title, url, text`, at most `max_pages`; an existing result is kept."""
+    The arguments are a column of the result's companion table `path-arguments`; a result that was made with others is
+    made again.
+    """
     def make() -> DataFrame:
-        kept = take_first(filter_entity_pages(pages), max_pages, [order])
+        kept = take_first(filter_entity_pages(pages, head=head, tail=tail), max_pages, [order])
         url = F.col("url") if "url" in kept.columns else None
         return kept.select("title", page_url("title", url).alias("url"), "text")
 
-    return materialize_once(pages.sparkSession, make, path, force)
+    spark, noted, arguments = pages.sparkSession, f"{path}-arguments", repr((max_pages, order, head, tail))
+    known = stored_rows(spark, noted) and spark.read.parquet(noted).first()["arguments"]
+    rows = materialize_once(spark, make, path, force or known != arguments)
+    spark.createDataFrame([(arguments,)], "arguments string").write.mode("overwrite").parquet(noted)
+    return rows

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +20,9 @@ from corpuslake.operators.filters import filter_english, min_length
 from corpuslake.operators.ordering import with_rank
 
 
-def clean_text(rows: DataFrame, kind: str = "generic") -> DataFrame:
+def clean_text(rows: DataFrame, kind: str = "generic", head: int | None = None) -> DataFrame:
     """Language, length and chunking; works on batch and streaming tables alike."""
-    return chunk_text(min_length(filter_english(rows), kind))
+    return chunk_text(min_length(filter_english(rows, head=head), kind))
 
 
 def read_stream(spark: SparkSession, in_dir: str, schema: T.StructType | str, max_files: int | None = None) -> DataFrame:
@@ -39,48 +38,56 @@ def stream_clean(rows: DataFrame, out: str, checkpoint: str, transform: Callable
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
 
 
-def drop_reason(rows: DataFrame, min_chars: int = 100) -> DataFrame:
+def drop_reason(rows: DataFrame, min_chars: int = 100, head: int | None = None) -> DataFrame:
     """Why a document would be left out by `clean_text`, or kept."""
     text = F.col("text")
-    reason = F.when(~is_likely_english(text), "not_english").when(F.length(text) <= min_chars, "short").otherwise("kept")
+    reason = F.when(~is_likely_english(text, head=head), "not_english").when(F.length(text) <= min_chars, "short").otherwise("kept")
     return rows.withColumn("reason", reason)
 
 
-def page_reason(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("reason", entity_rule(F.col("title"), F.col("text")))
+def page_reason(rows: DataFrame, head: int | None = None, tail: int | None = None) -> DataFrame:
+    rows = rows.withColumn("reason", entity_rule(F.col("title"), F.col("text"), head=head, tail=tail))
     return rows.withColumn("reason", F.when(F.col("reason").isin(*KEEP_REASONS), "kept").otherwise(F.col("reason")))
 
 
-def stream_counts(rows: DataFrame, table: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = drop_reason,
+def stream_counts(rows: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = drop_reason,
                   by: tuple[str, ...] = ("source", "reason")) -> StreamingQuery:
-    """Rows per source and reason as running totals in an in-memory table.
+    """Rows per source and reason, one small table of increments per micro-batch; `read_counts` adds them up.
 
-    State is one row per group; partial counts are summed before the shuffle.
+    A batch writes the folder of its number, so a repeated batch overwrites itself. Nothing is gathered on the driver
+    and no state is kept between batches.
     """
-    counts = transform(rows).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return (counts.writeStream.format("memory").queryName(table).outputMode("complete")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = transform(batch).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_counts(spark: SparkSession, out: str, by: tuple[str, ...] = ("source", "reason")) -> DataFrame:
+    """Totals over all micro-batches of `stream_counts`."""
+    return spark.read.parquet(out).groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def stream_cap(rows: DataFrame, n: int, out: str, checkpoint: str, order: str = "doc_id") -> StreamingQuery:
     """First n rows overall: batches in arrival order, inside a batch by `order`.
 
-    Each micro-batch writes its own folder and counts the rows of the earlier folders, so a repeated
-    batch overwrites itself and the total stays exact.
+    Each micro-batch writes its rows to `out/batch=i` and the running total to `out-total/batch=i`. It starts from the
+    totals of earlier batches only, so a repeated batch overwrites itself and the total stays exact. The rows that are
+    kept are never counted again.
     """
-    spark = rows.sparkSession
-
-    def earlier(batch_id: int) -> int:
-        try:
-            return spark.read.parquet(out).where(F.col("batch") < batch_id).count()
-        except AnalysisException:  # nothing written yet
-            return 0
+    spark, totals = rows.sparkSession, f"{out}-total"
+    spark.createDataFrame([(0,)], "total bigint").write.mode("overwrite").parquet(f"{totals}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = earlier(batch_id)
+        stored = spark.read.parquet(totals).where(F.col("batch") < batch_id).agg(F.max("total")).first()[0]
         if stored < n:
             first = with_rank(batch, [order], (), "__rank", limit=n - stored).drop("__rank")
-            first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            path = f"{out}/batch={batch_id}"
+            first.write.mode("overwrite").parquet(path)
+            stored += spark.read.schema(first.schema).parquet(path).count()
+        spark.createDataFrame([(stored,)], "total bigint").write.mode("overwrite").parquet(f"{totals}/batch={batch_id}")
 
     return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -24,12 +24,12 @@ def test_triples(spark):
     rows += [(10 + i, "q", f"s{i}", "substitute") for i in range(9)]
     frame = spark.createDataFrame(rows, JUDGED).repartition(5)
     for kw in ({}, {"hot_rows": 3}):
-        got = judged_to_triples(frame, **kw).orderBy("pos").collect()
+        got = judged_to_triples(frame, 7, **kw).orderBy("pos").collect()
         assert [(r.query, r.positive) for r in got] == [("q", "p0"), ("q", "p2")]
         assert all(r.hard_negatives == [f"s{i}" for i in range(7)] for r in got)
         assert {r.instruction for r in got} == {"Find the exact matching product"}
     other = spark.createDataFrame([(0, "q", "x", "exact")], "pos long, query string, product string, label string")
-    assert judged_to_triples(other).first().hard_negatives == []
+    assert judged_to_triples(other, 7).first().hard_negatives == []
 
 
 def test_qa_and_passages(spark):
@@ -270,9 +270,9 @@ def test_hybrid(spark):
     vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(len(TEXTS))], "item_id long, vector array<double>")
     corpus = spark.createDataFrame([(i, t, ["even"] if i % 2 == 0 else ["odd"]) for i, t in enumerate(TEXTS)], "item_id long, text string, tags array<string>")
     queries = vectors.where("item_id < 2").select(F.col("item_id").alias("query_id"), F.lit("apple pie").alias("text"), "vector")
-    both = hybrid_search(queries, corpus, vectors, k=4).collect()
+    both = hybrid_search(queries, corpus, vectors, k=4, depth=50).collect()
     assert {r["rank"] for r in both} == {1, 2, 3, 4}
-    tagged = hybrid_search(queries, corpus, vectors, k=6, tags=["odd"], cut=True).collect()
+    tagged = hybrid_search(queries, corpus, vectors, k=6, depth=50, tags=["odd"], cut=True).collect()
     assert tagged and all(r.item_id % 2 == 1 for r in tagged)
 
 

@@ -40,10 +40,10 @@ def test_hot_group_with_string_order_and_one_value(spark):
 
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_results_do_not_depend_on_partitions(skewed, parts):
-    rows = skewed.where("source is not null").repartition(parts)
-    assert {r.doc_id for r in cap_per_source(rows, 9).collect()} == {r.doc_id for r in cap_per_source(skewed.where("source is not null"), 9, hot_rows=50).collect()}
+    rows = skewed.repartition(parts)
+    assert {r.doc_id for r in cap_per_source(rows, 9).collect()} == {r.doc_id for r in cap_per_source(skewed, 9, hot_rows=50).collect()}
     got = [r.doc_id for r in shuffle_global(rows.select("doc_id"), 3).collect()]
-    assert got == [r.doc_id for r in shuffle_global(skewed.where("source is not null").select("doc_id").coalesce(1), 3).collect()]
+    assert got == [r.doc_id for r in shuffle_global(skewed.select("doc_id").coalesce(1), 3).collect()]
 
 
 def test_cap_counts_emitted_or_scanned_rows(spark):
@@ -81,25 +81,36 @@ def model_round_robin(sources):
     return out
 
 
-def test_round_robin(skewed):
-    rows = skewed.where("source is not null").select("doc_id", "source")
+@pytest.mark.parametrize("listed", [None, ["s4", "big"], ["big", "absent", "s0", "s1"]])
+def test_round_robin(skewed, listed):
+    rows = skewed.select("doc_id", "source")
     table = {}
     for r in rows.orderBy("doc_id").collect():
         table.setdefault(r.source, []).append(r.doc_id)
-    for names in (sorted(table), sorted(table, reverse=True)):
-        want = model_round_robin([table[n] for n in names])
-        for kw in ({}, {"hot_rows": 100}):
-            got = interleave_round_robin(rows, sources=names, **kw).orderBy("position").collect()
-            assert [r.doc_id for r in got] == want
-            assert [r.position for r in got] == list(range(len(want)))
-
-
-def test_round_robin_with_very_many_sources(skewed, monkeypatch):
-    from corpuslake.operators import sampling
-    rows = skewed.where("source is not null").select("doc_id", "source")
-    plain = {tuple(r) for r in interleave_round_robin(rows).collect()}
-    monkeypatch.setattr(sampling, "MAX_LITERAL_SOURCES", 2)
-    assert plain == {tuple(r) for r in interleave_round_robin(rows).collect()}
+    others = sorted((n for n in table if n not in (listed or [])), key=lambda n: (n is None, n or ""))
+    want = model_round_robin([table[n] for n in [n for n in listed or [] if n in table] + others])
+    assert len(want) == 2400
+    for kw in ({}, {"hot_rows": 100}):
+        got = interleave_round_robin(rows, sources=listed, **kw).orderBy("position").collect()
+        assert [r.doc_id for r in got] == want
+        assert [r.position for r in got] == list(range(len(want)))
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "decimal(12,3)", "binary", "string", "double"])
+def test_hot_groups_of_any_sortable_type(skewed, kind):
+    values = {"date": "date_add(date'2020-01-01', CAST(doc_id % 400 AS INT))", "timestamp": "timestamp_seconds(doc_id % 500)",
+              "decimal(12,3)": "CAST((doc_id * 7919) % 1000 AS DECIMAL(12,3)) / 8", "binary": "unhex(md5(CAST(doc_id % 300 AS STRING)))",
+              "string": "md5(CAST(doc_id % 300 AS STRING))",
+              "double": "CASE doc_id % 50 WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') WHEN 2 THEN double('-Infinity') WHEN 3 THEN NULL ELSE doc_id % 91 END"}
+    rows = skewed.selectExpr("doc_id", "source", f"{values[kind]} AS v")
+    for order in (["v", "doc_id"], [("v", "desc"), "doc_id"]):
+        plain = {(r.doc_id, r.rank) for r in with_rank(rows, order, ["source"]).collect()}
+        assert plain == {(r.doc_id, r.rank) for r in with_rank(rows, order, ["source"], hot_rows=50).collect()}
+
+
+def test_whole_table_orders_use_no_single_partition(skewed):
+    for frame in (assign_shards(skewed, 4), take_first(skewed, 9), epoch_split(skewed, 3, 0, 1)):
+        assert "SinglePartition" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_shuffles_are_permutations(skewed):

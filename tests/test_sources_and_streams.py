@@ -12,7 +12,7 @@ from corpuslake.sources.readers import (
     read_first_available, read_instruction_json, read_parquet_text, scan_cache_dir, scan_page_dump)
 from corpuslake.sources.writers import (
     extract_entities, materialize_once, read_text_shards, stored_rows, write_corpus, write_text_shards)
-from corpuslake.streaming.clean import clean_text, drop_reason, page_reason, read_stream, stream_cap, stream_clean, stream_counts
+from corpuslake.streaming.clean import clean_text, drop_reason, page_reason, read_counts, read_stream, stream_cap, stream_clean, stream_counts
 
 
 def lines(spark, values):
@@ -122,11 +122,12 @@ def test_stream_equals_batch_and_resumes(spark, docs, arriving, tmp_path):
 
 
 def test_stream_counts(spark, docs, arriving, tmp_path):
-    stream_counts(read_stream(spark, arriving, "doc_id long, source string, text string", 1), "seen", f"{tmp_path}/state").awaitTermination()
+    stream_counts(read_stream(spark, arriving, "doc_id long, source string, text string", 1), f"{tmp_path}/seen", f"{tmp_path}/state").awaitTermination()
+    seen = read_counts(spark, f"{tmp_path}/seen")
     want = drop_reason(docs).groupBy("source", "reason").count()
-    assert {tuple(r) for r in spark.table("seen").collect()} == {tuple(r) for r in want.collect()}
+    assert {tuple(r) for r in seen.collect()} == {tuple(r) for r in want.collect()}
     kept = clean_text(docs.select("doc_id", "source", "text")).select("doc_id").distinct().count()
-    assert spark.table("seen").where("reason = 'kept'").agg(F.sum("n")).first()[0] == kept
+    assert seen.where("reason = 'kept'").agg(F.sum("n")).first()[0] == kept
 
 
 def test_page_reasons(spark):
@@ -141,6 +142,8 @@ def test_stream_cap_is_exact_over_batches(spark, arriving, tmp_path):
         stream_cap(rows, n, out, f"{tmp_path}/state{n}").awaitTermination()
         assert spark.read.parquet(out).select("doc_id").distinct().count() == min(n, 200)
         assert spark.read.parquet(out).count() == min(n, 200)
+        stream_cap(rows, n, out, f"{tmp_path}/state{n}").awaitTermination()  # started again: nothing new
+        assert spark.read.parquet(out).count() == min(n, 200)
 
 
 class FakeSession:

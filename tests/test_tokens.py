@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions.wordlists import COVERAGE_TERMS, SPECIAL_TOKENS
 from corpuslake.operators import bpe
 from corpuslake.operators.bpe import bpe_tokens, encode_bpe, segment, train_bpe
-from corpuslake.operators.shaping import apply_mask, assign_batches, draw_spans, mask_report, pack_sequences, packed_layout, span_masks
+from corpuslake.operators.shaping import apply_mask, assign_batches, mask_report, pack_next_fit, pack_sequences, packed_layout, span_masks
 from corpuslake.operators.tokens import (
     add_special_tokens, build_special_vocab, domain_term_coverage, domain_term_hits, pad_batch, token_totals, word_counts)
 
@@ -135,15 +135,21 @@ def test_domain_term_hits(spark):
     assert got == {"roi": (3, 2), "hdmi": (1, 1), "usb-c": (1, 1), "10-k": (1, 1)}
 
 
-@pytest.mark.parametrize("length", [0, 1, 2, 3, 5, 20, 200, 4096])
-def test_spans_are_disjoint_and_exact(length):
-    for seed in range(20):
-        spans = draw_spans(length, seed, 0.30, 3)
-        covered = [i for s in spans for i in range(s["start"], s["end"])]
-        assert len(covered) == len(set(covered)) and 0 not in covered
-        assert all(0 < i < length for i in covered)
-        assert int(length * 0.05) <= len(covered) <= int(length * 0.30)
-        assert spans == draw_spans(length, seed, 0.30, 3)
+def test_spans_are_disjoint_and_exact(spark):
+    lengths = [0, 1, 2, 3, 5, 20, 200, 4096] * 20
+    rows = spark.createDataFrame([(i, list(range(n))) for i, n in enumerate(lengths)], "doc_id long, input_ids array<int>")
+    shares, sizes = [], []
+    for r in span_masks(rows, seed=1).collect():
+        length = len(r.input_ids)
+        covered = [i for s in r.spans for i in range(s.start, s.end)]
+        assert len(covered) == len(set(covered)) and covered == sorted(covered)
+        assert all(0 < i < length - 1 for i in covered)
+        assert min(int(length * 0.05), max(length - 2, 0)) <= len(covered) <= int(length * 0.30)
+        if length == 4096:
+            shares.append(len(covered) / length)
+            sizes += [s.end - s.start for s in r.spans]
+    assert 0.05 <= min(shares) < 0.12 and 0.22 < max(shares) <= 0.30
+    assert 3 <= sum(sizes) / len(sizes) <= 4.5 and max(sizes) > 9  # pieces of no token fall out
 
 
 def test_mask_and_report(spark):
@@ -172,6 +178,15 @@ def test_packing_stops_at_the_first_overflow(spark):
         assert layout[3].cu_seqlens == [0, 5] and layout[3].input_ids == [300] * 5
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_next_fit_leaves_nothing_out(spark, parts):
+    lengths = {0: [3, 4, 2, 2, 9, 1], 1: [20, 1, 0, 10], 2: []}
+    rows = spark.createDataFrame([(b, p, [7] * n) for b, ns in lengths.items() for p, n in enumerate(ns)], "batch_id long, pos long, input_ids array<int>")
+    got = {(r.batch_id, r.pos): (r.pack, r.start) for r in pack_next_fit(rows.repartition(parts), 10).collect()}
+    assert got == {(0, 0): (0, 0), (0, 1): (0, 3), (0, 2): (0, 7), (0, 3): (1, 0), (0, 4): (2, 0), (0, 5): (2, 9),
+                   (1, 0): (0, 0), (1, 1): (1, 0), (1, 3): (2, 0)}
+
+
 def test_batches(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "doc_id long, source string")
     got = assign_batches(rows, 4, ["doc_id"], ["source"]).where("source = 'a'").orderBy("doc_id").collect()
