@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,13 +36,24 @@ REMEMBERED, LONGEST = 400_000, 48
 
 # Fixed value: how byte-level tokenizers of this family split a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# The same for texts of ASCII and Latin letters, where the standard library's classes agree with Unicode's.
-LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-NOT_LATIN = re.compile("[^\x00-\x1b\x20-\x7f\xc0-ɏ]")
+# The same for texts of ASCII and Latin letters, the most frequent kind of word first.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+LATIN_SPLIT = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?(?:[0-9]+|[^\s0-9{LETTERS}]+)|\s+(?!\S)|\s+")
+NOT_LATIN = re.compile("[^\x00-\x1b\x20-\x7f\xc0-\u024f]")
+
+# Fixed value: the characters that byte-level models write for the 256 bytes. Visible ones of Latin-1 stand for
+# themselves, the others for the characters from U+0100 on.
+VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+HIDDEN = [b for b in range(256) if b not in set(VISIBLE)]
+BYTES = {**{b: b for b in VISIBLE}, **{b: 0x100 + i for i, b in enumerate(HIDDEN)}}
 
 
 class Words(dict):
-    """Token ids of words as little-endian bytes; unknown words go to the tokenizer."""
+    """Token ids of words as little-endian bytes.
+
+    A new word goes to the tokenizer's model, without the offsets and copies that encoding a text makes. A text that
+    holds one of the tokenizer's added tokens is encoded as a whole.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -49,19 +61,25 @@ class Words(dict):
         import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model.tokenize
         self.find = regex.compile(SPLIT).findall
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = {"H": "<u2", "I": "<u4"}[self.code]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        ids = self._pack([t.id for t in self.model(word.encode().decode("latin-1").translate(BYTES))])
         if len(self) < REMEMBERED and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        words = self.find(text) if NOT_LATIN.search(text) else LATIN_SPLIT.findall(text)
-        return b"".join(map(self.__getitem__, words))
+        if any(token in text for token in self.added):
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, self.find(text) if NOT_LATIN.search(text) else LATIN_SPLIT.findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +99,7 @@ def tokenize(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, leng
     class in the same task, `full_before` the number of full sequences of earlier rows in the task.
     """
     added = [f.split()[0] for f in TOKENS.split(", ")]
-    kept = replacing([c for c in df.columns if c != text], added)
+    kept = [c for c in df.columns if c != text]
     rows = df.select(F.struct(*[F.col(c) for c in kept], F.lit(0).alias("__")).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

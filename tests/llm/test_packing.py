@@ -14,9 +14,7 @@ from corpuslake.llm.packing import LENGTH, TOKENIZER, Words, op1_column_generati
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def ids_of(tokenizer, text):
@@ -72,11 +70,24 @@ def test_odd_and_empty_tables(make, tokenizer):
     assert pack(odd.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("text", ["it's 12 o'clock _a_b  \n\n x", "tab\there ", "ünïcödé×÷ 日本 ² Ⅷ don't we'll", "a\x1cb \x1f c", "<|endoftext|> x", "'s'''t 'll"])
+@pytest.mark.parametrize("text", ["it's 12 o'clock _a_b  \n\n x", "tab\there ", "ünïcödé×÷ 日本 ² Ⅷ don't we'll", "a\x1cb \x1f c", "<|endoftext|> x", "hello <|endoftext|> world", "'s'''t 'll", "a  b \n c \xa0d\u3000 e", "x" * 100 + "é" * 60])
 def test_word_cache_agrees_with_the_tokenizer(tokenizer, text):
     assert np.frombuffer(Words(TOKENIZER).encode(text), dtype="<u2").tolist() == ids_of(tokenizer, text)[:-1]
 
 
+def test_columns_named_like_steps_are_kept(make):
+    names = ["task", "class", "place", "full", "full_before", "words"]
+    odd = make(ODD, extra=", ".join(f"{n} string" for n in names[:4]))
+    rows = pack(odd, length=64, step=4)
+    assert set(names[:4]) <= set(rows.columns) and {(r["task"], r["class"], r["place"], r["full"]) for r in rows.collect()} == {("x", "y", "z", "w")}
+
+
+def test_a_text_of_megabytes(make, tokenizer):
+    text = "Long text, longer words: " * 120_000
+    rows = sorted(pack(make([(1, text, "en", "a")])).collect(), key=lambda r: r["start"])
+    assert np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), dtype="<u4").tolist() == ids_of(tokenizer, text)
+
+
 def test_knapsack_and_cut_prices():
     prices = np.array([0.1, 0.25, 0.2, 0.6, 0.55])
     value, pattern = knapsack(prices)
