@@ -1,7 +1,7 @@
 """Operator 4, licence scan with ordered signature rules.
 
-A text becomes its sequence of lower-case words. Rules whose keywords do not occur are never tried, so most
-texts cost one pass to split them. Detections are resolved in order of priority, then length: one whose
+A text becomes its sequence of lower-case words. Every match of a rule contains one of the rule's keywords, so rules
+without any of them in the text are never tried, and most texts cost one pass to split them. Detections are resolved in order of priority, then length: one whose
 interval lies inside the interval of a detection that was kept is suppressed.
 """
 
@@ -33,7 +33,8 @@ class Scanner:
     def __init__(self, rules: list[Rule]):
         self.first: dict[bytes, list[tuple[int, Rule]]] = defaultdict(list)
         for place, rule in enumerate(rules):
-            self.first[min(rule.keywords)].append((place, rule))
+            for keyword in rule.keywords:
+                self.first[keyword].append((place, rule))
         self.gate = frozenset(self.first) | {word for _, _, word in _BASE}
 
     def detections(self, words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, str, int, int, int, float]]]:
@@ -48,14 +49,12 @@ class Scanner:
         for label, pattern, word in _BASE:
             if word in present:
                 base += [(label, bisect_left(starts, m.start())) for m in pattern.finditer(joined)]
-        vocabulary = set(words)
-        tried = sorted((x for word in present for x in self.first.get(word, ())), key=lambda x: x[0])
+        tried = {place: rule for word in present for place, rule in self.first.get(word, ())}  # each rule once
         found = []
-        for place, rule in tried:
-            if rule.keywords <= vocabulary:
-                for m in rule.pattern.finditer(joined):
-                    first = bisect_left(starts, m.start())
-                    found.append((-rule.priority, m.start() - m.end(), place, first, first + m.group().count(b" "), rule))
+        for place, rule in tried.items():
+            for m in rule.pattern.finditer(joined):
+                first = bisect_left(starts, m.start())
+                found.append((-rule.priority, m.start() - m.end(), place, first, first + m.group().count(b" "), rule))
         kept: list[tuple[str, str, int, int, int, float]] = []
         reach = Reach(len(words))
         for _, _, _, first, last, rule in sorted(found, key=lambda x: x[:4]):
