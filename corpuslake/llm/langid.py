@@ -24,6 +24,8 @@ from corpuslake.session import cut_lineage
 FEATURES = 4_096
 #: Labelled documents per language that the machines are fitted on, at most.
 SAMPLE_PER_LANGUAGE = 800
+#: And over all languages, so that the driver's memory does not grow with their number: some 130 MB of features.
+SAMPLE_IN_ALL = 16_000
 STEPS, REGULAR = 400, 1e-4
 UNKNOWN = "und"
 
@@ -40,7 +42,6 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-_LETTER = re.compile(r"[^\W\d_]")
 _TABLE = np.full(256, 0x20, dtype=np.uint32)  # everything but letters is a gap
 _TABLE[0x61:0x7B] = np.arange(0x61, 0x7B)
 _TABLE[0x80:] = np.arange(0x80, 0x100)
@@ -59,7 +60,8 @@ def features(text: str, size: int = FEATURES) -> np.ndarray:
 
 
 def has_letter(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    """Whether some character is of the category L (letters), as where the model is trained."""
+    return any(map(str.isalpha, text))
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> np.ndarray:
@@ -128,15 +130,16 @@ def fit(x: np.ndarray, langs: list[str]) -> Hierarchy | None:
 
 def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
           sample: int = SAMPLE_PER_LANGUAGE) -> Hierarchy | None:
-    """Fit on at most `sample` documents per language among the rows that `learn` selects, drawn by a seeded hash.
+    """Fit on at most `sample` documents per language (`SAMPLE_IN_ALL` over all) among the rows that `learn` selects, drawn by a seeded hash.
 
     Rows without text, letters or language are not learned from. No such row at all gives None.
     """
     rows = df.where(F.coalesce(learn, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), draw("langid-1", key, text).alias("digest"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("share", F.lit(2.0 * sample) / F.col("n")).select(F.col("lang").alias("of"), "share")
-    counts = cut_lineage(counts, "langid-counts")  # one row per language, of known size: texts are not shuffled for it
+    counts = cut_lineage(counts, "langid-counts")
+    sample = max(1, min(sample, SAMPLE_IN_ALL // max(1, counts.count())))
+    counts = counts.withColumn("share", F.lit(2.0 * sample) / F.col("n")).select(F.col("lang").alias("of"), "share")  # one row per language, of known size: texts are not shuffled for it
     thin = rows.join(counts, rows["lang"] == counts["of"]).where(unit(F.col("digest")) < F.col("share"))  # about twice the sample
     first = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
     thin = thin.withColumn("place", first).where(F.col("place") <= sample).select("text", "lang")
