@@ -33,15 +33,15 @@ def test_stages(spark, sf, staged):
     documents = rows(spark.read.parquet(f"{sf}/documents.parquet"))
     known, single, cleaned, mixed = (rows(f) for f in staged[:4])
     assert all(f.columns == corpus_pipeline.COLUMNS for f in staged[:4])
-    assert Counter(known) == Counter(r for r in documents if any(c.isalpha() for c in r[1]))
+    lang = {r["doc_id"]: r["lang_pred"] for r in QUERIES["op5_hierarchical_langid"](spark, sf).collect()}
+    assert Counter(known) == Counter((d, t, lang[d], s) for d, t, _, s in documents if any(c.isalpha() for c in t))
     classes = {c for _, c, _ in near_brute(known)}
     assert sorted(r[0] for r in single) == sorted(classes)
     wanted = {r[0]: x for r, x in zip(single, suffix_brute([r[1] for r in single]))}
     assert sorted(r[0] for r in cleaned) == sorted(wanted)
     assert all(abs(len(r[1].encode()) - (wanted[r[0]][0] - wanted[r[0]][1])) <= 3 * wanted[r[0]][2] for r in cleaned)
     assert set(mixed) <= set(cleaned) and max(Counter(mixed).values()) <= 3
-    pieces = staged[4].where("start = 0").count()
-    assert pieces == len(mixed)
+    assert staged[4].where("start = 0").count() == len(mixed) == staged[4].select("document").distinct().count()
 
 
 def test_run_gives_the_rows_of_the_last_stage(spark, sf, staged):
