@@ -1,7 +1,12 @@
 """From documents to packed token sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. `run` writes the result of a stage as Parquet in the shared
-folder and reads it again as the input of the next one. All stages but the last return the columns of `documents`.
+folder and reads it again as the input of the next one. All stages but the last return the columns of `documents`; other
+columns of the input, whatever their names, are dropped by the first one.
+
+Nulls: a null key or source is kept as it is, a null text goes in the first stage, a null language gets a prediction.
+Texts are read whole, whatever their length. Repeated rows are near duplicates of each other, so one stays. Every
+stage turns an empty table into an empty one.
 """
 
 from __future__ import annotations
@@ -20,9 +25,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a text without letters has none and goes."""
+    """Documents in a known language, with the predicted one as their `lang`. Documents whose language cannot be told
+    (`und`: null, empty, or without a letter) go."""
     found = identify(docs.select(*COLUMNS), train(docs, remainder("doc_id", 4) != 2))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +50,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in token sequences."""
-    return packed_digests(docs.select("doc_id", "text"))
+    """Pieces of documents and their places in token sequences. `document` numbers the rows that are packed, so that the
+    copies of a document can be told apart."""
+    return packed_digests(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("document")))
 
 
 STAGES = [
