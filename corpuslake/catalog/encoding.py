@@ -38,6 +38,7 @@ def _(spark, sf):
 
 
 VOCAB_SIZE = 100
+FULL_SIZE = 64_000
 
 
 def train_sql(size: int) -> str:
@@ -74,9 +75,15 @@ def _(spark, sf):
     return vocab.join(merges.select(F.concat("left", "right").alias("token"), "rank", "left", "right"), "token", "left")
 
 
+@query("train_bpe_full")
+def _(spark, sf):
+    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=FULL_SIZE)
+    return vocab.join(merges.select(F.concat("left", "right").alias("token"), "rank", "left", "right").dropDuplicates(["token"]), "token", "left")
+
+
 @query("encode_trained_bpe")
 def _(spark, sf):
-    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=80)
+    vocab, merges = train_bpe(word_counts(docs(spark, sf)), vocab_size=8_000)
     words = pretokenize(normalize_text("text"))
     rows = encode_bpe(docs(spark, sf), words, vocab, merges)
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("input_ids")).cast("bigint").alias("n_tokens"))

@@ -70,6 +70,28 @@ def test_training_equals_one_by_one_merging(spark, seed):
     assert [r.token for r in vocab.orderBy("id").collect()] == tokens
 
 
+@pytest.mark.parametrize("pairs,segments", [(200_000, 100_000), (200_000, 40), (7, 100_000), (2, 3)])
+def test_rounds_of_any_size_learn_the_same_merges(spark, monkeypatch, pairs, segments):
+    """Few pairs and segments per round force ties beyond the look, smaller links and the fall-back."""
+    monkeypatch.setattr(bpe, "FIRST_LOOK", min(pairs, 50))
+    rng = random.Random(7)
+    parts = ["ab", "ba", "aa", "cd", "dab", "é", "ce"]
+    words = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 5))): rng.choice([1, 2, 2, 3, 40]) for _ in range(150)}
+    vocab, merges = train_bpe(words_frame(spark, words), vocab_size=110 if pairs > 2 else 40, pairs=pairs, segments=segments)
+    tokens, expected = model_bpe(words, 110 if pairs > 2 else 40)
+    assert [(r.left, r.right) for r in merges.orderBy("rank").collect()] == expected
+    assert [r.token for r in vocab.orderBy("id").collect()] == tokens
+
+
+def test_a_thousand_merges_of_all_words(spark, sf):
+    counts = word_counts(spark.read.parquet(f"{sf}/documents.parquet"))
+    words = {r["word"]: r["freq"] for r in counts.collect()}
+    vocab, merges = train_bpe(counts, vocab_size=1_100)
+    tokens, expected = model_bpe(words, 1_100)
+    assert len(expected) >= 1_000 and [(r.left, r.right) for r in merges.orderBy("rank").collect()] == expected
+    assert [r.token for r in vocab.orderBy("id").collect()] == tokens
+
+
 def test_training_stops_at_the_vocabulary_size_and_minimum_frequency(spark):
     words = {"hello": 5, "help": 3, "zq": 1}
     vocab, merges = train_bpe(words_frame(spark, words), vocab_size=17)
