@@ -6,6 +6,7 @@ from corpuslake.catalog.registry import query, table
 from corpuslake.catalog.shapes import JUDGED_SQL, PAIRS_SQL, SCORED_SQL, UNIT_SQL, WORD_SQL, as_items, as_queries, judgments, scored, vector_pairs
 from corpuslake.functions.vectors import cosine, dot, l2_normalize
 from corpuslake.operators.contrastive import HashedBagOfWords, encode_table, expert_load, info_nce, load_balance_loss, router_z
+from corpuslake.operators.cells import build_cells, search_cells
 from corpuslake.operators.pairs import judged_rows
 from corpuslake.operators.ranking import cap_queries, grade_labels, macro_average, mrr, ndcg, ndcg_by_query, recall_at_k
 from corpuslake.operators.retrieval import (
@@ -15,6 +16,7 @@ from corpuslake.plans.evaluation import evaluate_judgments
 from corpuslake.session import cut_lineage, spread
 
 DIM = 64
+PROBES = 28  # cells that an approximate search visits; recall 0.94 on 2 000 vectors without clusters in 44 cells
 
 
 def vectors(spark, sf):
@@ -205,6 +207,16 @@ def _(spark, sf):
     return dense_topk(as_queries(vectors(spark, sf)), as_items(vectors(spark, sf)), 10)
 
 
+@query("dense_topk_cells", f"WITH {dense_sql('u', 10)} SELECT query_id, item_id, score, rank FROM dense")
+def _(spark, sf):
+    return search_cells(as_queries(vectors(spark, sf)), build_cells(as_items(vectors(spark, sf))), 10)
+
+
+@query("dense_topk_probes")
+def _(spark, sf):
+    return search_cells(as_queries(vectors(spark, sf)), build_cells(as_items(vectors(spark, sf))), 10, probes=PROBES)
+
+
 def bm25_sql(docs: str, k: int) -> str:
     return f"""
   dw AS (SELECT doc_id AS item_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS words FROM {docs}),

@@ -21,13 +21,13 @@ HOT_ROWS = 250_000          # rows of one group that one task may sort
 Order = str | tuple[str, str]
 
 
-def _sort(order: Sequence[Order]) -> list[Column]:
+def sort_columns(order: Sequence[Order]) -> list[Column]:
     pairs = [(o, "asc") if isinstance(o, str) else o for o in order]
     return [F.col(n).desc_nulls_last() if direction == "desc" else F.col(n).asc_nulls_first() for n, direction in pairs]
 
 
 def _window_rank(df: DataFrame, by: list[str], order: Sequence[Order], name: str, limit: int | None) -> DataFrame:
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*_sort(order))))
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*sort_columns(order))))
     if limit is not None:
         ranked = ranked.where(F.col(name) <= limit)  # becomes a map-side WindowGroupLimit
     return ranked.withColumn(name, F.col(name).cast("bigint"))
@@ -70,7 +70,7 @@ def with_rank(
         largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
         if (largest or 0) <= hot_rows:
             return _window_rank(df, by, order, name, limit)
-    rows = _numbered(df, [F.col(c).asc_nulls_first() for c in by] + _sort(order), "__rank_index")
+    rows = _numbered(df, [F.col(c).asc_nulls_first() for c in by] + sort_columns(order), "__rank_index")
     if by:
         firsts = rows.groupBy(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]).agg(F.min("__rank_index").alias("__rank_first"))
         on = [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]

@@ -97,13 +97,17 @@ def meet(heads: DataFrame, items: DataFrame, kernel: Kernel, schema: T.StructTyp
 
 def search(queries: DataFrame, items: DataFrame, kernel: Kernel, k: int, block: int = BLOCK_QUERIES,
            shard: int = SHARD_ITEMS) -> DataFrame:
-    """Best k items per query: `query_id, item_id, score, rank`.
+    """Best k items per query: `query_id, item_id, score, rank`."""
+    schema = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
+    return best_of(meet(queries, items, kernel, schema, block, shard, ["item_id"]), k)
+
 
-    Every task hands in k rows per query at most. They are merged in two steps, first by query and a hash of the item,
-    so the last group of a query holds k rows for each of `MERGES` hashes, however many tasks there were.
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The best k of what tasks hand in, k rows per query each at most.
+
+    They are merged in two steps, first by query and a hash of the item, so the last group of a query holds k rows for
+    each of `MERGES` hashes, however many tasks there were.
     """
-    schema = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
-    found = meet(queries, items, kernel, schema, block, shard, ["item_id"])
     order = [("score", "desc"), "item_id"]
     salted = found.withColumn("__salt", F.pmod(F.xxhash64("item_id"), F.lit(MERGES)))
     merged = with_rank(salted, order, ["query_id", "__salt"], "rank", limit=k, bounded=True).drop("__salt", "rank")

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.hashing import seeded_hash
-from corpuslake.operators.ordering import Order, with_index, with_rank
+from corpuslake.operators.ordering import Order, sort_columns, with_index, with_rank
 from corpuslake.session import cut_lineage
 
+HEAD_ROWS = 100_000  # first rows that one task may merge
+
 
 def cap_per_source(df: DataFrame, n: int, order: Sequence[Order] = ("doc_id",), source: str = "source", **kw) -> DataFrame:
     """First n rows of each source, counted after filters and chunking."""
@@ -34,7 +36,18 @@ def debug_sample(df: DataFrame, n: int | None = None, **kw) -> DataFrame:
 
 def take_first(df: DataFrame, n: int | None, order: Sequence[Order] = ("doc_id",), **kw) -> DataFrame:
     """First n rows of the table, before any projection; everything if n is None."""
-    return df if n is None else with_rank(df, order, (), "__rank", limit=n, **kw).drop("__rank")
+    return df if n is None else first_rows(df, n, order, **kw)
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[Order], **kw) -> DataFrame:
+    """The first n rows in `order`, in no particular one.
+
+    Up to `HEAD_ROWS` rows, every task keeps its own first n and one task merges those, so nothing else moves. More
+    rows are found by numbering the whole table.
+    """
+    if n <= HEAD_ROWS:
+        return df.orderBy(*sort_columns(order)).limit(n)
+    return with_rank(df, order, (), "__rank", limit=n, **kw).drop("__rank")
 
 
 def _running_totals(sizes: DataFrame, order: str, size: str) -> DataFrame:
@@ -134,5 +147,5 @@ def mix_by_ratio(a: DataFrame, b: DataFrame, share: float, seed: int, key: str =
     n_a = a.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     n_b = int(share / (1 - share) * n_a + 0.5)
     picked = b.withColumn("__hash", seeded_hash(seed, F.col(key)))
-    picked = with_rank(picked, ["__hash", key], (), "__rank", limit=n_b, **kw).drop("__hash", "__rank")
+    picked = first_rows(picked, n_b, ["__hash", key], **kw).drop("__hash")
     return a.withColumn("part", F.lit("a")).unionByName(picked.withColumn("part", F.lit("b")))

@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslake.catalog.evaluation import PROBES
 from corpuslake.functions.vectors import cosine, l2_normalize, logsumexp, softmax
+from corpuslake.operators import cells
+from corpuslake.operators.cells import build_cells, search_cells
 from corpuslake.operators.contrastive import HashedBagOfWords, encode_table, expert_load, info_nce, load_balance_loss, router_z
 from corpuslake.operators.pairs import (
     check_pairs, explode_negatives, first_selected_passage, judged_to_triples, qa_pairs, union_pairs)
@@ -203,6 +206,36 @@ def test_dense_search(space, kw):
     assert ranking(dense_topk(queries, items, 400, **kw)) == brute(q, d, 400)
 
 
+@pytest.mark.parametrize("kw", [{}, {"cells": 1}, {"cells": 150, "sample": 60}])
+def test_search_in_cells_is_exact(space, kw, monkeypatch):
+    q, d, queries, items = space
+    monkeypatch.setattr(cells, "ITEMS_PER_SHARD", 20)
+    monkeypatch.setattr(cells, "BLOCK_QUERIES", 4)
+    index = build_cells(items, **kw)
+    assert index.items.count() == len(d) == index.cells.counts.sum()
+    for k in (3, 12, 400):
+        assert ranking(search_cells(queries, index, k)) == brute(q, d, k)
+
+
+def test_search_in_cells_of_odd_tables(spark):
+    fields = "query_id string, vector array<double>, item_id string"
+    rows = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", None, "y"), ("c", [0.0, 0.0], "z"), ("d", [1.0, 0.0], "w")], fields)
+    got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in search_cells(rows, build_cells(rows), 2).collect()}
+    assert got[("a", 1)] == ("w", 1.0) and got[("a", 2)] == ("x", 1.0) and ("b", 1) not in got and got[("c", 1)][1] == 0.0
+    assert search_cells(rows, build_cells(rows.limit(0)), 2).collect() == search_cells(rows.limit(0), build_cells(rows), 2).collect() == []
+
+
+def test_recall_of_a_few_cells(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    items = vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact, index = ranking(dense_topk(queries, items, 10)), build_cells(items)
+    near = ranking(search_cells(queries, index, 10, probes=PROBES))
+    recall = sum(len(set(exact[q]) & set(near[q])) for q in exact) / (10 * len(exact))
+    print("recall", recall, "cells", len(index.cells.counts))
+    assert set(near) == set(exact) and all(len(v) == 10 for v in near.values()) and recall >= 0.9
+
+
 def test_matryoshka_with_all_candidates_is_exact(space):
     q, d, queries, items = space
     assert ranking(matryoshka_search(queries, items, d=3, top=300, k=7)) == brute(q, d, 7)

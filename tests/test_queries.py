@@ -13,7 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
 from corpuslake.catalog import ORACLES, QUERIES  # noqa: E402
 
-WITHOUT_SQL = {"encode_trained_bpe"}
+WITHOUT_SQL = {"encode_trained_bpe", "train_bpe_full", "dense_topk_probes"}
 
 
 @pytest.fixture(scope="module")

@@ -152,3 +152,12 @@ def test_mix_ratio(skewed):
 
 def test_take_first(skewed):
     assert sorted(r.doc_id for r in take_first(skewed, 7, hot_rows=200).collect()) == list(range(7))
+
+
+def test_first_rows_move_no_others(spark, docs):
+    """The plan of a small head has no shuffle: every task hands in its own first rows."""
+    plan = take_first(docs.select("doc_id", "text"), 20)._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange rangepartitioning" not in plan
+    small = {r.doc_id for r in take_first(docs, 20).collect()}
+    large = {r.doc_id for r in with_rank(docs, ["doc_id"], (), "r", limit=20).collect()}
+    assert small == large and len(small) == 20
