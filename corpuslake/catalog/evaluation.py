@@ -8,6 +8,7 @@ from corpuslake.functions.vectors import cosine, dot, l2_normalize
 from corpuslake.operators.contrastive import HashedBagOfWords, encode_table, expert_load, info_nce, load_balance_loss, router_z
 from corpuslake.operators.cells import build_cells, search_cells
 from corpuslake.operators.pairs import judged_rows
+from corpuslake.operators.postings import build_postings, search_postings
 from corpuslake.operators.ranking import cap_queries, grade_labels, macro_average, mrr, ndcg, ndcg_by_query, recall_at_k
 from corpuslake.operators.retrieval import (
     adaptive_k, bm25, dense_topk, distinct_words, hybrid_search, matryoshka_search, maxsim, rerank, rrf, tag_prefilter, threshold_scores,
@@ -244,6 +245,11 @@ def _(spark, sf):
     return rounded(bm25(questions(spark, sf), items(spark, sf), 10), "score")
 
 
+@query("bm25_postings", f"WITH {bm25_sql('documents', 10)} SELECT query_id, item_id, round(score, 6) AS score, rank FROM keyword")
+def _(spark, sf):
+    return rounded(search_postings(questions(spark, sf), build_postings(items(spark, sf), alike=F.col("tags")[0]), 10), "score")
+
+
 def asked(spark, sf):
     """Benchmark texts with the vector of the same number."""
     return questions(spark, sf).join(as_queries(vectors(spark, sf)), "query_id")
