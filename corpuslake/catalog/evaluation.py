@@ -7,6 +7,7 @@ from corpuslake.catalog.shapes import JUDGED_SQL, PAIRS_SQL, SCORED_SQL, UNIT_SQ
 from corpuslake.functions.vectors import cosine, dot, l2_normalize
 from corpuslake.operators.contrastive import HashedBagOfWords, encode_table, expert_load, info_nce, load_balance_loss, router_z
 from corpuslake.operators.cells import build_cells, search_cells
+from corpuslake.operators.late import build_late, search_late
 from corpuslake.operators.pairs import judged_rows
 from corpuslake.operators.postings import build_postings, search_postings
 from corpuslake.operators.ranking import cap_queries, grade_labels, macro_average, mrr, ndcg, ndcg_by_query, recall_at_k
@@ -327,19 +328,30 @@ def _(spark, sf):
     return rounded(found, "score")
 
 
-@query("maxsim_topk", f"""
+def late_sql(doc: str, k: int) -> str:
+    return f"""
   WITH u AS ({UNIT_SQL}),
   s AS (SELECT query_id, doc_id, round(sum(best), 9) AS score FROM (
-    SELECT q.vec_id // 4 AS query_id, q.vec_id AS token_id, d.label::BIGINT AS doc_id, max(list_dot_product(q.u, d.u)) AS best
+    SELECT q.vec_id // 4 AS query_id, q.vec_id AS token_id, {doc} AS doc_id, max(list_dot_product(q.u, d.u)) AS best
     FROM u q, u d GROUP BY ALL) GROUP BY query_id, doc_id)
   SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {k}"""
+
+
+@query("maxsim_topk", late_sql("d.label::BIGINT", 3))
 def _(spark, sf):
     heads = vectors(spark, sf).selectExpr("vec_id DIV 4 AS query_id", "vec_id AS token_id", "embedding AS vector")
     found = maxsim(heads, vectors(spark, sf).selectExpr("CAST(label AS BIGINT) AS doc_id", "vec_id AS token_id", "embedding AS vector"), k=3)
     return rounded(found, "score")
 
 
+@query("maxsim_index", late_sql("d.vec_id // 8", 10))
+def _(spark, sf):
+    heads = vectors(spark, sf).selectExpr("vec_id DIV 4 AS query_id", "vec_id AS token_id", "embedding AS vector")
+    index = build_late(vectors(spark, sf).selectExpr("vec_id DIV 8 AS doc_id", "vec_id AS token_id", "embedding AS vector"))
+    return rounded(search_late(heads, index, 10), "score")
+
+
 @query("hybrid_search", f"""
   WITH {dense_sql(ASKED, 50)}, {bm25_sql('documents', 50)},
   f AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (
