@@ -1,8 +1,8 @@
 """Keyword search in a written inverted index.
 
 Documents that are alike (of one language, say) are dealt to ranges of some hundred by a hash. The index holds one row
-per term and range, a block: the documents with the term, how much the term counts in each, and the largest of these
-weights. Blocks are written by a hash of their term, so a search reads the folders of the terms it asks for and no text.
+per term and range, a block: the documents with the term, its count and their length, and the largest weight the term has in
+one. Blocks are written by a hash of their term, so a search reads the folders of the terms it asks for and no text.
 
 The largest weights of a range's blocks add up to a bound for all its documents. A search scores the most promising
 ranges of each query first; the k-th best score found there rules out all ranges whose bound is below it.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import explode_values
+from corpuslake.functions.vectors import let
 from corpuslake.operators.ordering import with_rank
 from corpuslake.operators.retrieval import DIGITS, best_of, model_words
 from corpuslake.session import cut_lineage, shared_dir
@@ -28,21 +29,43 @@ FIRST = 8                   # ranges that are scored before a bound is known
 
 @dataclass(frozen=True)
 class PostingIndex:
-    """`blocks` has bucket, term, part, n, peak and postings (item_id, weight); `terms` has bucket, term and idf."""
+    """`blocks` has bucket, term, part, n, peak and, one entry per document, items, tfs and dls; `terms` has bucket, term, idf."""
     blocks: DataFrame
     terms: DataFrame
+    k1: float
+    b: float
+    avgdl: float
+
+    def weight(self, tf: Column, dl: Column) -> Column:
+        return _weight(tf, dl, self.k1, self.b, self.avgdl)
+
+
+def _weight(tf: Column, dl: Column, k1: float, b: float, avgdl: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl)))
 
 
 def _bucket(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def counted_words(words: Column) -> Column:
+    """The distinct words of a list and how often each occurs (`dl`, `terms`, `tfs`): runs of the sorted list, no shuffle."""
+    def runs(w: Column) -> Column:
+        places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+        firsts = F.filter(places, lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return let(firsts, lambda first: F.struct(
+            F.size(w).alias("dl"), F.transform(first, lambda i: F.get(w, i)).alias("terms"),
+            F.transform(first, lambda i, at: F.coalesce(F.get(first, at + 1), F.size(w)) - i).alias("tfs")))
+
+    return let(F.sort_array(words), runs)
+
+
 def build_postings(corpus: DataFrame, k1: float = 1.2, b: float = 0.75, range_docs: int = RANGE_DOCS,
                    alike: Column | None = None) -> PostingIndex:
     """An index of `item_id, text` for the scores of `bm25`; `item_id` is unique.
 
-    Texts are split once. Their words are counted with a map-side combine and shuffled a second time into blocks. Null
-    texts count as documents, but not in the mean length, as in `bm25`.
+    Texts are split once and counted in their rows. Two shuffles follow, one of counted words to ranges, one of whole
+    blocks to folders. Null texts count as documents, but not in the mean length, as in `bm25`.
 
     Bounds are tight if the documents of a range share their words. Documents with different values of `alike` (a
     language, a topic; null is a value, too) do not share ranges. Results do not depend on it.
@@ -53,39 +76,42 @@ def build_postings(corpus: DataFrame, k1: float = 1.2, b: float = 0.75, range_do
     sizes = cut_lineage(sizes.withColumnRenamed("alike", "kind"), "posting-kinds")  # of known size
     n_docs, n_texts = sizes.agg(F.sum("docs"), F.sum("texts")).first()
     part = F.xxhash64("kind", F.pmod(F.xxhash64("item_id"), F.ceil(F.col("docs") / range_docs)))
-    docs = rows.join(sizes, F.col("alike").eqNullSafe(F.col("kind"))).select("item_id", part.alias("part"), model_words("text").alias("words"))
-    words = explode_values(docs.withColumn("dl", F.size("words")), "words", "term", "item_id", "part", "dl")
-    counts = cut_lineage(words.groupBy("item_id", "part", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "posting-counts")
-    occurrences, n_postings = counts.agg(F.sum("tf"), F.count(F.lit(1))).first()
+    docs = rows.where(F.col("text").isNotNull()).join(sizes, F.col("alike").eqNullSafe(F.col("kind")))
+    counts = cut_lineage(docs.select("item_id", part.alias("part"), counted_words(model_words("text")).alias("c")), "posting-counts")
+    occurrences, n_postings = counts.agg(F.sum("c.dl"), F.sum(F.size("c.tfs"))).first()
     avgdl = (occurrences or 0) / max(n_texts or 0, 1) or 1.0
-    slices = max(1, -(-n_postings // (BUCKETS * FILE_POSTINGS)))
-
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    placed = counts.select(_bucket("term").alias("bucket"), "term", "part", F.struct("item_id", weight.alias("weight")).alias("posting"))
-    # one shuffle for grouping and writing: the folder, and a slice of the ranges, since a frequent term is in all of them
-    placed = placed.withColumn("slice", F.pmod("part", F.lit(slices))).repartition("bucket", "slice")
-    blocks = placed.groupBy("bucket", "slice", "term", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.max("posting.weight").alias("peak"), F.collect_list("posting").alias("postings"))
-    blocks = blocks.drop("slice").sortWithinPartitions("bucket", "term", "part")
+    slices = max(1, -(-(n_postings or 0) // (BUCKETS * FILE_POSTINGS)))
+
+    dealt = counts.select("item_id", "part", "c.dl", "c.terms", "c.tfs").repartition("part")
+    found = dealt.select("item_id", "part", "dl", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("w")).where(F.col("w").isNotNull())
+    found = found.select("part", F.col("w.terms").alias("term"), F.struct("item_id", F.col("w.tfs").alias("tf"), "dl").alias("p"))
+    blocks = found.groupBy("part", "term").agg(
+        F.count(F.lit(1)).alias("n"), F.max(_weight(F.col("p.tf"), F.col("p.dl"), k1, b, avgdl)).alias("peak"), F.collect_list("p").alias("p"))
+    blocks = blocks.select(_bucket("term").alias("bucket"), "term", "part", "n", "peak",
+                           F.col("p.item_id").alias("items"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+    # a folder is cut into slices of the ranges, since a frequent term is in all of them
+    blocks = blocks.repartition(F.col("bucket"), F.pmod("part", F.lit(slices))).sortWithinPartitions("bucket", "term", "part")
     path = shared_dir(spark, "postings")
     blocks.write.partitionBy("bucket").parquet(path)
     blocks = spark.read.schema(blocks.schema).parquet(path)
 
     df = blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(n_docs or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return PostingIndex(blocks, cut_lineage(df.select("bucket", "term", idf.alias("idf")), "posting-terms"))
+    terms = cut_lineage(df.select("bucket", "term", idf.alias("idf")), "posting-terms")
+    return PostingIndex(blocks, terms, k1, b, avgdl)
 
 
-def _scored(chosen: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+def _scored(chosen: DataFrame, asked: DataFrame, blocks: DataFrame, index: PostingIndex) -> DataFrame:
     """Scores of all documents of the chosen (query_id, part) that have a term of the query.
 
     Blocks meet by query and range before they are unfolded, so that summing needs no further shuffle.
     """
     wanted = chosen.select("query_id", "part").join(asked, "query_id")
-    met = wanted.join(blocks.select("bucket", "term", "part", "postings"), ["bucket", "term", "part"])
-    met = met.select("query_id", "part", "idf", "postings").repartition("query_id", "part")
-    rows = met.select("query_id", "part", "idf", F.explode_outer("postings").alias("p"))
-    sums = rows.groupBy("query_id", "part", F.col("p.item_id").alias("item_id")).agg(F.sum(F.col("idf") * F.col("p.weight")).alias("score"))
+    met = wanted.join(blocks.select("bucket", "term", "part", "items", "tfs", "dls"), ["bucket", "term", "part"])
+    met = met.select("query_id", "part", "idf", "items", "tfs", "dls").repartition("query_id", "part")
+    rows = met.select("query_id", "part", "idf", F.explode_outer(F.arrays_zip("items", "tfs", "dls")).alias("p"))
+    score = F.sum(F.col("idf") * index.weight(F.col("p.tfs"), F.col("p.dls")))
+    sums = rows.groupBy("query_id", "part", F.col("p.items").alias("item_id")).agg(score.alias("score"))
     return sums.select("query_id", "item_id", F.round("score", DIGITS).alias("score"))
 
 
@@ -120,6 +146,6 @@ def search_postings(queries: DataFrame, index: PostingIndex, k: int, first: int
     """
     asked, blocks, bounds = range_bounds(queries, index)
     done = cut_lineage(first_ranges(bounds, first), "first-ranges")
-    found = cut_lineage(best_of(_scored(done, asked, blocks), k), "first-found")
+    found = cut_lineage(best_of(_scored(done, asked, blocks, index), k), "first-found")
     rest = cut_lineage(open_ranges(bounds, done, found, k), "open-ranges")
-    return best_of(found.drop("rank").unionByName(_scored(rest, asked, blocks)), k)
+    return best_of(found.drop("rank").unionByName(_scored(rest, asked, blocks, index)), k)

@@ -70,7 +70,7 @@ def test_kinds_of_documents_share_no_range(spark, corpus, queries):
     kinds = corpus.selectExpr("item_id", "text", "CASE WHEN item_id % 3 > 0 THEN concat('k', item_id % 3) END AS kind")
     index = build_postings(kinds, range_docs=32, alike=kinds["kind"])
     assert rows_of(search_postings(queries, index, 6)) == rows_of(bm25(queries, corpus, 6))
-    parts = index.blocks.selectExpr("part", "explode(postings) AS p").selectExpr("part", "p.item_id % 3 AS kind").distinct()
+    parts = index.blocks.selectExpr("part", "explode(items) AS item").selectExpr("part", "item % 3 AS kind").distinct()
     assert parts.groupBy("part").count().where("count > 1").count() == 0
 
 
