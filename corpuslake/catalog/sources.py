@@ -6,6 +6,7 @@ from corpuslake.catalog.registry import query, table
 from corpuslake.catalog.shapes import WIKI_SQL, reason_sql, wiki_pages
 from corpuslake.operators.fields import format_instruction
 from corpuslake.session import shared_dir
+from corpuslake.sources.arrays import write_json_array
 from corpuslake.sources.readers import (
     read_first_available, read_instruction_json, read_parquet_text, scan_cache_dir, scan_page_dump)
 from corpuslake.sources.writers import (
@@ -38,6 +39,17 @@ def _(spark, sf):
         keep=["conv_id", "turn"])
 
 
+@query("read_instruction_array", """
+  SELECT conv_id, turn, '<s>[INST] ' || trim(text, chr(32)||chr(9)||chr(10)||chr(13)) || ' [/INST]  </s>' AS text FROM conversations""")
+def _(spark, sf):
+    path = shared_dir(spark, "instructions") + ".json"
+    write_json_array(table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("instruction")), path)
+    rows = read_instruction_json(spark, path, ["conv_id", "turn", "instruction"])
+    return format_instruction(rows.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "instruction"),
+        keep=["conv_id", "turn"])
+
+
 @query("scan_cache_dir", """
   SELECT 'benchmark' AS source, CAST(0 AS BIGINT) AS source_rank, length(text) AS n_chars FROM benchmark
   UNION ALL SELECT 'conversations', 1, length(text) FROM conversations""")

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,8 @@ from corpuslake.functions.hashing import seeded_hash
 from corpuslake.functions.text import col
 from corpuslake.functions.vectors import let
 from corpuslake.operators.ordering import Order, with_rank
+from corpuslake.operators.splits import BLOCK, with_block, with_states
+from corpuslake.session import shared_dir
 
 IGNORE_LABEL = -100
 MIN_MASK_RATIO = 0.05
@@ -116,36 +119,157 @@ def pack_sequences(df: DataFrame, max_len: int = 4_096, batch: Sequence[str] = (
     return rows.withColumn(ids, F.slice(ids, 1, max_len)).drop("__rank", "__end")
 
 
+def _fit(sizes: np.ndarray, used: int, pack: int, max_len: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Packs and starts of consecutive sequences after a pack that holds `used` tokens, and the state behind them."""
+    ends = np.cumsum(sizes)
+    packs, starts = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+    at, base = 0, -used
+    while at < len(sizes):
+        stop = max(int(np.searchsorted(ends, base + max_len, side="right")), at + (used == 0))  # an empty pack takes any sequence
+        packs[at:stop] = pack
+        starts[at:stop] = ends[at:stop] - sizes[at:stop] - base
+        if stop > at:
+            used = int(ends[stop - 1]) - base
+        if stop < len(sizes):
+            pack, used, base = pack + 1, 0, int(ends[stop - 1]) if stop else 0
+        at = stop
+    return packs, starts, min(used, max_len), pack
+
+
+def _fit_any(sizes: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of tokens before, 0 to `max_len`: tokens in the last pack and packs opened behind `sizes`.
+
+    A pack that starts at some sequence ends at the same place whatever came before, so the ways from all states are
+    few: they are followed backwards once.
+    """
+    ends = np.cumsum(sizes)
+    before, n = ends - sizes, len(sizes)
+    following = np.maximum(np.searchsorted(ends, before + max_len, side="right"), np.arange(1, n + 1)).tolist()
+    opened, left = [0] * n, (ends[-1] - before).tolist()
+    for i in range(n - 1, -1, -1):
+        if following[i] < n:
+            opened[i], left[i] = opened[following[i]] + 1, left[following[i]]
+    states = np.arange(max_len + 1)
+    first = np.searchsorted(ends, max_len - states, side="right")
+    first[0] = max(first[0], 1)
+    inside, at = first >= n, np.minimum(first, n - 1)
+    used = np.where(inside, states + ends[-1], np.array(left)[at])
+    return np.minimum(used, max_len), np.where(inside, 0, np.array(opened)[at] + 1)
+
+
+def _runs(part: pa.RecordBatch, columns: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Borders of the runs of rows that agree in all the columns."""
+    same = np.ones(max(part.num_rows - 1, 0), dtype=bool)
+    for name in columns:
+        values = part.column(name)
+        same &= pc.equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+    borders = [0, *(np.flatnonzero(~same) + 1).tolist(), part.num_rows]
+    return zip(borders[:-1], borders[1:])
+
+
+_PIECE = "part int, block bigint, key string, table boolean, used array<int>, packs array<bigint>"
+
+
+def _pieces(max_len: int):
+    """What every split does to the batch at its beginning (for any state) and leaves of the batch at its end."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("key", pa.string()), ("table", pa.bool_()),
+                        ("used", pa.list_(pa.int32())), ("packs", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = key = head = None
+        used = pack = 0
+
+        def row(table: bool, used, packs) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(
+                [{"part": split[0], "block": split[1], "key": key, "table": table, "used": used, "packs": packs}], schema)
+
+        def close_head() -> pa.RecordBatch:
+            return row(True, *(x.tolist() for x in _fit_any(np.concatenate(head), max_len)))
+
+        for part in batches:
+            sizes = part.column("__n").to_numpy().astype(np.int64)
+            for low, high in _runs(part, ("__part", BLOCK, "__key")):
+                now = part.column("__part")[low].as_py(), part.column(BLOCK)[low].as_py()
+                group = part.column("__key")[low].as_py()
+                if now != split:
+                    if split is not None:
+                        yield close_head() if head else row(False, [used], [pack])
+                    split, key, head = now, group, []
+                elif group != key:
+                    if head:
+                        yield close_head()
+                    key, head, used, pack = group, None, 0, 0
+                if head is not None:
+                    head.append(sizes[low:high])
+                else:
+                    used, pack = _fit(sizes[low:high], used, pack, max_len)[2:]
+        if split is not None:
+            yield close_head() if head else row(False, [used], [pack])
+
+    return run
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state in which every split finds the batch at its beginning."""
+    key, used, pack = None, 0, 0
+    for part in batches:
+        found = []
+        for i in range(part.num_rows):
+            if (now := part.column("key")[i].as_py()) != key:
+                key, used, pack = now, 0, 0
+            to, opened = part.column("used")[i].values, part.column("packs")[i].values
+            if part.column("table")[i].as_py():
+                found.append((part.column("part")[i].as_py(), part.column("block")[i].as_py(), used, pack))
+                used, pack = to[used].as_py(), pack + opened[used].as_py()
+            else:
+                used, pack = to[0].as_py(), opened[0].as_py()
+        columns = list(zip(*found)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                                         ["__part", BLOCK, "__used", "__pack"])
+
+
 def pack_next_fit(df: DataFrame, max_len: int = 4_096, batch: Sequence[str] = ("batch_id",), pos: str = "pos",
                   ids: str = "input_ids") -> DataFrame:
     """Every sequence of a batch, in order, in the current pack if it fits, else in a new one; adds `pack` and `start`.
 
     Nothing is left out but sequences without a token; one longer than `max_len` has a pack of its own and keeps its
-    tokens. The rows of a batch are streamed in order through one task that remembers two numbers, so a batch may hold
-    any number of rows; batches are independent of each other.
+    tokens. Rows are written once in the order of batch and `pos`, by ranges, so one batch may spread over any number
+    of tasks. A split's effect on the batch that reaches into it is a table of `max_len` + 1 states; one task composes
+    the tables of a batch, one per split, reading them one after the other. Rows that tie in batch and `pos` are taken
+    in either order.
     """
-    rows = df.where(F.size(ids) > 0).withColumn("__n", F.size(ids))
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.repartition(tasks, *batch).sortWithinPartitions(*batch, pos)
-    schema = rows.drop("__n").schema.add("pack", T.LongType()).add("start", T.LongType())
-    names = [f.name for f in schema][:-2]
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows, path = df.where(F.size(ids) > 0), shared_dir(spark, "next-fit")
+    ordered = rows.repartitionByRange(tasks, *batch, pos).sortWithinPartitions(*batch, pos).withColumn("__part", F.spark_partition_id())
+    ordered.write.option("maxRecordsPerFile", 0).parquet(path)  # one file a partition
+    scan = with_block(spark.read.schema(ordered.schema).parquet(path))
+    scan = scan.withColumn("__n", F.size(ids)).withColumn("__key", F.to_json(F.struct(*batch), {"ignoreNullFields": "false"}))
+    pieces = scan.select("__part", BLOCK, "__key", "__n").mapInArrow(_pieces(max_len), _PIECE)
+    pieces = pieces.repartition(tasks, "key").sortWithinPartitions("key", "part", "block")
+    states = pieces.mapInArrow(_starts, f"__part int, {BLOCK} bigint, __used bigint, __pack bigint")
+    names = rows.columns
+    schema = rows.schema.add("pack", T.LongType()).add("start", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, pack, used = None, 0, 0
+        split, key, used, pack = None, None, 0, 0
         for part in batches:
-            sizes = part.column("__n").to_pylist()
-            groups = list(zip(*[part.column(c).to_pylist() for c in batch]))
-            packs, starts = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
-            for i, (group, n) in enumerate(zip(groups, sizes)):
-                if group != current:
-                    current, pack, used = group, 0, 0
-                elif used + n > max_len:
-                    pack, used = pack + 1, 0
-                packs[i], starts[i] = pack, used
-                used += n
+            sizes = part.column("__n").to_numpy().astype(np.int64)
+            packs, starts = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+            for low, high in _runs(part, ("__part", BLOCK, "__key")):
+                now = part.column("__part")[low].as_py(), part.column(BLOCK)[low].as_py()
+                group = part.column("__key")[low].as_py()
+                if now != split:
+                    split, key = now, group
+                    used, pack = part.column("__used")[low].as_py(), part.column("__pack")[low].as_py()
+                    if used is None:
+                        raise ValueError(f"no start state for split {now}")
+                elif group != key:
+                    key, used, pack = group, 0, 0
+                packs[low:high], starts[low:high], used, pack = _fit(sizes[low:high], used, pack, max_len)
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(packs), pa.array(starts)], [*names, "pack", "start"])
 
-    return rows.mapInArrow(run, schema)
+    return with_states(scan, states, ["__part", BLOCK]).mapInArrow(run, schema)
 
 
 def packed_layout(df: DataFrame, batch: Sequence[str] = ("batch_id",), pos: str = "pos", ids: str = "input_ids") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.operators.sampling import concat_sources, take_first
+from corpuslake.session import shared_dir
+from corpuslake.sources.arrays import read_json_records
 
 log = logging.getLogger(__name__)
 
@@ -49,14 +51,23 @@ def read_instruction_json(spark: SparkSession, path: str, fields: Sequence[str]
     """`.json` (an array) or `.jsonl` (a record per line); any other path is a Parquet table.
 
     Without `fields`, the columns that exist in the file are found by one inference pass, because
-    the chat format chooses its columns by existence.
+    the chat format chooses its columns by existence. Arrays are cut into records by many tasks; records that are not
+    named by `fields` are then written as lines, so that inference and reading are split, too.
     """
     if not path.endswith((".json", ".jsonl")):
         return spark.read.parquet(path)
-    reader = spark.read.option("multiLine", path.endswith(".json"))
-    if fields is not None:
-        return reader.schema(T.StructType([T.StructField(f, T.StringType()) for f in fields])).json(path)
-    return reader.option("primitivesAsString", True).json(path)
+    schema = None if fields is None else T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    if path.endswith(".json"):
+        records = read_json_records(spark, path)
+        if schema is not None:
+            return records.select(F.from_json("value", schema).alias("record")).select("record.*")
+        if records.isEmpty():
+            return spark.createDataFrame([], T.StructType())
+        path = shared_dir(spark, "records")
+        records.select(F.regexp_replace("value", "[\\r\\n]+", " ").alias("value")).write.text(path)
+    if schema is not None:
+        return spark.read.schema(schema).json(path)
+    return spark.read.option("primitivesAsString", True).json(path)
 
 
 def scan_cache_dir(spark: SparkSession, folder: str, names: Sequence[str] = CACHE_NAMES) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.operators.fields import format_instruction
 from corpuslake.session import shared_dir
+from corpuslake.sources.arrays import read_json_records, write_json_array
 from corpuslake.sources.readers import (
     read_first_available, read_instruction_json, read_parquet_text, scan_cache_dir, scan_page_dump)
 from corpuslake.sources.writers import (
@@ -46,6 +47,47 @@ def test_instruction_files(spark, tmp_path):
         assert {r.text for r in format_instruction(read_instruction_json(spark, str(tmp_path / name))).collect()} == expected
 
 
+ODD_RECORDS = [
+    {"instruction": 'a } b " c \\ {', "output": "x\ny", "n": {"deep": [{"er": "}"}, {}]}}, {}, {"instruction": "", "output": "é\u2028}"},
+    {"instruction": "{" * 50, "output": '"' * 40}, {"instruction": "\\" * 33 + '"', "output": None}, {"instruction": "long }" * 40, "output": "\\"}]
+
+
+@pytest.mark.parametrize("size", [41, 1_000_000])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_array_is_cut_into_its_records_by_many_tasks(spark, tmp_path, size, indent):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        (tmp_path / "a.json").write_text(json.dumps(ODD_RECORDS, indent=indent, ensure_ascii=False))
+        found = [json.loads(r.value) for r in read_json_records(spark, str(tmp_path / "a.json")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(json.dumps, found)) == sorted(map(json.dumps, ODD_RECORDS))
+
+
+def test_array_gives_the_columns_of_spark_s_own_reader(spark, tmp_path):
+    records = [r for r in ODD_RECORDS if r]
+    (tmp_path / "a.json").write_text(json.dumps(records))
+    own = spark.read.option("multiLine", True).option("primitivesAsString", True).json(f"{tmp_path}/a.json")
+    ours = read_instruction_json(spark, f"{tmp_path}/a.json")
+    assert ours.schema == own.schema and sorted(map(str, ours.collect())) == sorted(map(str, own.collect()))
+    named = read_instruction_json(spark, f"{tmp_path}/a.json", ["output", "n", "absent"])
+    assert sorted(map(str, named.collect())) == sorted(map(str, own.selectExpr("output", "to_json(n) AS n", "NULL AS absent").collect()))
+
+
+@pytest.mark.parametrize("text", ["", "[]", " [ ]\n", "[1, \"}\", null]"])
+def test_array_without_records(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    assert read_instruction_json(spark, f"{tmp_path}/a.json").count() == 0
+    assert read_instruction_json(spark, f"{tmp_path}/a.json", ["x"]).count() == 0
+
+
+def test_arrays_written_and_read(spark, tmp_path):
+    rows = lines(spark, ["a", None, "}{", '"', "x\ny"]).repartition(3)
+    write_json_array(rows, f"{tmp_path}/r.json")
+    back = read_instruction_json(spark, f"{tmp_path}/r.json", ["doc_id", "text"])
+    assert sorted((int(r.doc_id), r.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in rows.collect())
+
+
 def test_cache_folder(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         scan_cache_dir(spark, str(tmp_path))

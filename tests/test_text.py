@@ -89,6 +89,17 @@ def test_turns_use_latest_system_text(spark):
     assert [r.text for r in turns_to_samples(rows).collect()] == ["<s>[INST] U1\n\nContext:\nS [/INST] A1 </s>"]
 
 
+def test_turns_of_long_conversations(spark):
+    roles = ["user", "assistant", "user", "system", "user", "assistant", "assistant"]
+    rows = [(c, t, roles[(t * t + t // 5) % 7] if t > 2 else None, f"{c}.{t}" if t % 11 else None)
+            for c, n in ((1, 400), (2, 3), (3, 90), (None, 120)) for t in range(n)]
+    rows = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    plain = sorted(turns_to_samples(rows).collect(), key=str)
+    assert len(plain) > 50 and sorted(turns_to_samples(rows, hot_rows=50).collect(), key=str) == plain
+    assert sorted(turns_to_samples(rows, hot_rows=0).collect(), key=str) == plain
+    assert turns_to_samples(rows.limit(0), hot_rows=0).count() == 0
+
+
 def test_length_variants(spark):
     rows = texts(spark, ["x" * n for n in (19, 20, 21, 50, 51, 99, 100, 101)])
     def lengths(kind, variant):

@@ -3,11 +3,14 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuslake.functions.wordlists import COVERAGE_TERMS, SPECIAL_TOKENS
-from corpuslake.operators import bpe
+from corpuslake.operators import bpe, shaping, splits
 from corpuslake.operators.bpe import bpe_tokens, encode_bpe, segment, train_bpe
 from corpuslake.operators.shaping import apply_mask, assign_batches, mask_report, pack_next_fit, pack_sequences, packed_layout, span_masks
 from corpuslake.operators.tokens import (
@@ -209,6 +212,41 @@ def test_next_fit_leaves_nothing_out(spark, parts):
                    (1, 0): (0, 0), (1, 1): (1, 0), (1, 3): (2, 0)}
 
 
+def next_fit_model(sizes, max_len):
+    packs, pack, used = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i and used + n > max_len:
+            pack, used = pack + 1, 0
+        packs.append((pack, used))
+        used += n
+    return packs
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_next_fit_of_one_batch_in_many_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(shaping, "with_states", lambda rows, states, split: splits.with_states(rows, states, split, most))
+    draw = random.Random(3)
+    sizes = {0: [draw.choice([1, 2, 3, 7, 9, 16, 17, 40]) for _ in range(3_000)], 1: [16] * 5, None: [5, 5, 5, 5], 3: [40], 4: [1] * 200}
+    rows = spark.createDataFrame([(b, p, [0] * n) for b, ns in sizes.items() for p, n in enumerate(ns)], "batch_id int, pos int, input_ids array<int>")
+    packed = pack_next_fit(rows.repartition(5), 16)
+    assert not most or packed.where("batch_id = 0").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    got = {(r.batch_id, r.pos): (r.pack, r.start) for r in packed.select("batch_id", "pos", "pack", "start").collect()}
+    assert got == {(b, p): place for b, ns in sizes.items() for p, place in enumerate(next_fit_model(ns, 16))}
+
+
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=30), st.integers(1, 10))
+def test_next_fit_table_says_what_every_state_becomes(sizes, max_len):
+    sizes = np.array(sizes)
+    used, packs = shaping._fit_any(sizes, max_len)
+    for state in range(max_len + 1):
+        assert (used[state], packs[state]) == shaping._fit(sizes, state, 0, max_len)[2:]
+
+
+def test_next_fit_of_nothing(spark):
+    rows = spark.createDataFrame([], "batch_id int, pos int, input_ids array<int>")
+    assert pack_next_fit(rows).columns == ["batch_id", "pos", "input_ids", "pack", "start"] and pack_next_fit(rows).count() == 0
+
+
 def test_batches(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "doc_id long, source string")
     got = assign_batches(rows, 4, ["doc_id"], ["source"]).where("source = 'a'").orderBy("doc_id").collect()
