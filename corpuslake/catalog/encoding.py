@@ -285,7 +285,7 @@ def _(spark, sf):
     FROM p JOIN r ON r.source = p.source AND r.batch_id = p.batch_id AND r.rn = p.rn + 1)
   SELECT doc_id, source, batch_id, pack, start, n AS n_tokens FROM p""")
 def _(spark, sf):
-    rows = assign_batches(tokens(spark, sf), 64, ["doc_id"], ["source"])
+    rows = assign_batches(tokens(spark, sf).select("doc_id", "source", "input_ids"), 64, ["doc_id"], ["source"])
     packed = pack_next_fit(rows, 1_024, ["source", "batch_id"])
     return packed.select("doc_id", "source", "batch_id", "pack", "start", F.size("input_ids").cast("bigint").alias("n_tokens"))
 
