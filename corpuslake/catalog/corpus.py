@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.catalog.registry import query, table
 from corpuslake.catalog.shapes import CORPUS_SQL, ENGLISH_SQL, hash_sql
+from corpuslake.operators.epochs import ROUNDS, epoch_places, number_rows
 from corpuslake.operators.filters import filter_english, min_length
 from corpuslake.operators.sampling import (
     assign_shards, cap_per_source, cap_scanned, concat_sources, debug_sample, epoch_split, interleave_round_robin, mix_by_ratio,
@@ -114,6 +115,28 @@ def _(spark, sf):
     return epoch_split(ids(spark, sf), world_size=7, epoch=3, seed=SEED)
 
 
+def step_sql(inner: str, seed: int, epoch: int) -> str:
+    """One walk of the grid over `inner(doc_id, source, place, n, a, b)`: a rows, b columns."""
+    rows = f"SELECT *, place // b AS r, place % b AS c FROM ({inner})"
+    for k in range(ROUNDS):
+        moved, by, size = ("c", "r", "b") if k % 2 else ("r", "c", "a")
+        rows = f"SELECT * REPLACE (({moved} + {hash_sql(str(seed), str(epoch), str(k), by)}) % {size} AS {moved}) FROM ({rows})"
+    return f"SELECT doc_id, source, r * b + c AS place, n, a, b FROM ({rows})"
+
+
+@query("epoch_places", f"""
+  WITH RECURSIVE p AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n,
+    CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS a FROM documents),
+  s AS (SELECT *, CAST(ceil(n / CAST(a AS DOUBLE)) AS BIGINT) AS b FROM p),
+  w AS ({step_sql("SELECT * FROM s", SEED, 3)} UNION ALL {step_sql("SELECT * FROM w WHERE place >= n", SEED, 3)}),
+  e AS (SELECT * FROM w WHERE place < n),
+  f AS (SELECT doc_id, source, place FROM e UNION ALL SELECT doc_id, source, place + n FROM e WHERE place + n < ceil(n / 7.0) * 7)
+  SELECT doc_id, source, place % 7 AS rank, place // 7 AS slot FROM f""")
+def _(spark, sf):
+    numbered = number_rows(ids(spark, sf))
+    return epoch_places(numbered, numbered.count(), world_size=7, epoch=3, seed=SEED).drop("idx")
+
+
 @query("mix_by_ratio", f"""
   WITH a AS (SELECT doc_id, source FROM documents WHERE lang = 'en'),
   b AS (SELECT doc_id, source, row_number() OVER (ORDER BY {hash_sql(str(SEED), 'doc_id')}, doc_id) AS rn FROM documents WHERE lang <> 'en')

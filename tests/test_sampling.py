@@ -3,8 +3,11 @@
 import itertools
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpuslake.operators import epochs
+from corpuslake.operators.epochs import epoch_places, number_rows, shuffled_place
 from corpuslake.operators.ordering import with_rank
 from corpuslake.operators.sampling import (
     assign_shards, cap_per_source, cap_scanned, epoch_split, interleave_round_robin, mix_by_ratio, oversample_cap, shard,
@@ -144,6 +147,50 @@ def test_epoch_split(skewed):
     assert len(tiny) == 7 and {r.doc_id for r in tiny} == {0, 1}
 
 
+@pytest.mark.parametrize("total", [1, 2, 3, 7, 10, 97, 1_000])
+def test_shuffled_place_is_a_bijection_of_the_numbers(spark, total):
+    rows = spark.range(total).withColumnRenamed("id", "idx").repartition(3)
+    got = {e: {r.idx: r.place for r in shuffled_place(rows, total, 5, e).collect()} for e in (0, 1)}
+    for epoch, places in got.items():
+        assert sorted(places.values()) == list(range(total))
+        side = epochs.grid(total)
+        for index, place in places.items():
+            walked = epochs._step(index, *side, 5, epoch)
+            while walked >= total:
+                walked = epochs._step(walked, *side, 5, epoch)
+            assert walked == place
+    assert total < 10 or got[0] != got[1]
+
+
+def test_unused_places_are_always_left(spark):
+    assert max(epochs.longest_walk(n, s, 0) for n in range(200) for s in range(3)) > 1
+    for total in range(1, 60):
+        rows, columns = epochs.grid(total)
+        assert 0 <= rows * columns - total < rows
+
+
+def test_places_are_spread_evenly(spark):
+    """Every tenth of the numbers meets every tenth of the places about equally often."""
+    rows = shuffled_place(spark.range(20_000).withColumnRenamed("id", "idx"), 20_000, 1, 2)
+    cells = rows.groupBy(F.expr("idx DIV 2000").alias("i"), F.expr("place DIV 2000").alias("p")).count().collect()
+    assert len(cells) == 100 and all(abs(r["count"] - 200) < 75 for r in cells)
+    neighbours = rows.select((F.lead("place").over(Window.orderBy("idx")) - F.col("place")).alias("d")).groupBy("d").count()
+    assert neighbours.agg(F.max("count")).first()[0] < 20
+
+
+def test_epoch_places(skewed):
+    numbered = number_rows(skewed.select("doc_id").where("doc_id < 100"))
+    wrapped = epoch_places(numbered, 100, 7, 0, 1).collect()
+    assert len(wrapped) == 105 and {r.doc_id for r in wrapped} == set(range(100))
+    assert {(r["rank"], r["slot"]) for r in wrapped} == {(i, j) for i in range(7) for j in range(15)}
+    dropped = epoch_places(numbered, 100, 7, 0, 1, drop_last=True).collect()
+    assert len(dropped) == 98 and len({r.doc_id for r in dropped}) == 98
+    assert "Exchange" not in epoch_places(numbered, 100, 7, 1, 1)._jdf.queryExecution().executedPlan().toString()
+    tiny = epoch_places(number_rows(skewed.select("doc_id").where("doc_id < 2")), 2, 7, 0, 1).collect()
+    assert len(tiny) == 7 and {r.doc_id for r in tiny} == {0, 1}
+    assert epoch_places(numbered.limit(0), 0, 7, 0, 1).collect() == []
+
+
 def test_mix_ratio(skewed):
     a, b = skewed.select("doc_id").where("doc_id < 850"), skewed.select("doc_id").where("doc_id >= 850")
     parts = [r.part for r in mix_by_ratio(a, b, 0.15, 3).collect()]
