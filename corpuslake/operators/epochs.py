@@ -12,7 +12,7 @@ import hashlib
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions.hashing import seeded_hash
@@ -57,19 +57,28 @@ def number_rows(df: DataFrame, order: Sequence[Order] = ("doc_id",), name: str =
     return cut_lineage(with_index(df, order, name, **kw), "numbered-rows")
 
 
+def _moved(place: Column, rows: int, columns: int, seed: int, epoch: int) -> Column:
+    """The grid place behind all rounds. The two parts change sides in every round, so an even number restores them."""
+    def turn(parts: Column, k: Column) -> Column:
+        size = F.when(k % 2 == 0, F.lit(rows)).otherwise(F.lit(columns)).cast("bigint")
+        return F.array(parts[1], F.pmod(parts[0] + seeded_hash(seed, epoch, k, parts[1]), size))
+
+    start = F.array(F.call_function("div", place, F.lit(columns).cast("bigint")), F.pmod(place, F.lit(columns).cast("bigint")))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda parts: parts[0] * columns + parts[1])
+
+
 def shuffled_place(numbered: DataFrame, total: int, seed: int, epoch: int, index: str = "idx", out: str = "place") -> DataFrame:
-    """Adds the place of each of the `total` numbers in the epoch's order: a projection, without a shuffle."""
-    rows, columns = grid(total)
-    df = numbered.withColumn(out, F.col(index).cast("bigint"))
-    for walk in range(1 + longest_walk(total, seed, epoch)):
-        df = df.withColumn("__row", F.expr(f"`{out}` DIV {columns}")).withColumn("__column", F.pmod(out, F.lit(columns)))
-        for k in range(ROUNDS):
-            moved, by, size = ("__column", "__row", columns) if k % 2 else ("__row", "__column", rows)
-            shift = seeded_hash(seed, epoch, k, F.col(by))
-            df = df.withColumn(moved, F.pmod(F.col(moved) + shift, F.lit(size)))
-        there = F.col("__row") * columns + F.col("__column")
-        df = df.withColumn(out, there if walk == 0 else F.when(F.col(out) >= total, there).otherwise(F.col(out)))
-    return df.drop("__row", "__column")
+    """Adds the place of each of the `total` numbers in the epoch's order: a projection, without a shuffle.
+
+    It is one expression of fixed size, so filters that Catalyst pushes below it do not grow with the rounds.
+    """
+    side = grid(total)
+
+    def walk(place: Column, steps: Column) -> Column:
+        return F.when((steps == 0) | (place >= total), _moved(place, *side, seed, epoch)).otherwise(place)
+
+    steps = F.sequence(F.lit(0), F.lit(longest_walk(total, seed, epoch)))
+    return numbered.withColumn(out, F.aggregate(steps, F.col(index).cast("bigint"), walk))
 
 
 def epoch_places(numbered: DataFrame, total: int, world_size: int, epoch: int, seed: int, index: str = "idx",
@@ -80,7 +89,9 @@ def epoch_places(numbered: DataFrame, total: int, world_size: int, epoch: int, s
     places of the order. An empty table stays empty.
     """
     even = total // world_size * world_size if drop_last else -(-total // world_size) * world_size
-    rows = shuffled_place(numbered, total, seed, epoch, index, "__place").where(F.col("__place") < even)
+    rows = shuffled_place(numbered, total, seed, epoch, index, "__place")
+    if even < total:
+        rows = rows.where(F.col("__place") < even)
     if even > total:
         last = F.lit(even - 1).cast("bigint")
         rows = rows.withColumn("__place", F.explode(F.sequence(F.col("__place"), last, F.lit(total).cast("bigint"))))

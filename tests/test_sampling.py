@@ -183,6 +183,8 @@ def test_epoch_places(skewed):
     wrapped = epoch_places(numbered, 100, 7, 0, 1).collect()
     assert len(wrapped) == 105 and {r.doc_id for r in wrapped} == set(range(100))
     assert {(r["rank"], r["slot"]) for r in wrapped} == {(i, j) for i in range(7) for j in range(15)}
+    for place in range(3):  # filters are pushed below the rounds, and stay small
+        assert epoch_places(numbered, 100, 7, place, 1).where(f"rank = {place} AND slot < 5").count() == 5
     dropped = epoch_places(numbered, 100, 7, 0, 1, drop_last=True).collect()
     assert len(dropped) == 98 and len({r.doc_id for r in dropped}) == 98
     assert "Exchange" not in epoch_places(numbered, 100, 7, 1, 1)._jdf.queryExecution().executedPlan().toString()
