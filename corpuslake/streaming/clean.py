@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,16 +51,47 @@ def page_reason(rows: DataFrame, head: int | None = None, tail: int | None = Non
     return rows.withColumn("reason", F.when(F.col("reason").isin(*KEEP_REASONS), "kept").otherwise(F.col("reason")))
 
 
+def _carried(spark: SparkSession, path: str, schema: str, before: int | None = None) -> tuple[DataFrame | None, int]:
+    """What the last micro-batch (before a given one) left in `path`, and the slot that the next one may overwrite.
+
+    Two slots take turns, so there are as many files after a thousand batches as after two. A batch that is repeated
+    finds the slot of the batch before it untouched and overwrites its own.
+    """
+    try:
+        found = spark.read.schema(f"{schema}, slot int, batch bigint").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, 0
+    earlier = found if before is None else found.where(F.col("batch") < before)
+    last = earlier.agg(F.max(F.struct("batch", "slot")).alias("last")).first()["last"]
+    if last is None:
+        return None, 0
+    return found.where((F.col("batch") == last["batch"]) & (F.col("slot") == last["slot"])).drop("slot", "batch"), 1 - last["slot"]
+
+
+def _leave(rows: DataFrame, path: str, slot: int, batch_id: int) -> None:
+    rows.withColumn("batch", F.lit(batch_id).cast("bigint")).write.partitionBy("batch").option("partitionOverwriteMode", "static") \
+        .mode("overwrite").parquet(f"{path}/slot={slot}")
+
+
+def _counts_schema(by: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` string" for c in by) + ", n bigint"
+
+
 def stream_counts(rows: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = drop_reason,
                   by: tuple[str, ...] = ("source", "reason")) -> StreamingQuery:
-    """Rows per source and reason, one small table of increments per micro-batch; `read_counts` adds them up.
+    """Rows per source and reason, as text; `read_counts` reads the totals.
 
-    A batch writes the folder of its number, so a repeated batch overwrites itself. Nothing is gathered on the driver
-    and no state is kept between batches.
+    Every micro-batch adds its counts to the totals of the batch before, so files and work per batch grow with the
+    number of groups only, and a repeated batch counts once. Nothing is gathered on the driver.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        counts = transform(batch).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        counts = transform(batch).groupBy(*[F.col(c).cast("string").alias(c) for c in by]).agg(F.count(F.lit(1)).alias("n"))
+        before, slot = _carried(rows.sparkSession, out, _counts_schema(by), batch_id)
+        if before is not None:
+            counts = before.unionByName(counts).groupBy(*by).agg(F.sum("n").alias("n"))
+        _leave(counts, out, slot, batch_id)
 
     return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -67,27 +99,28 @@ def stream_counts(rows: DataFrame, out: str, checkpoint: str, transform: Callabl
 
 def read_counts(spark: SparkSession, out: str, by: tuple[str, ...] = ("source", "reason")) -> DataFrame:
     """Totals over all micro-batches of `stream_counts`."""
-    return spark.read.parquet(out).groupBy(*by).agg(F.sum("n").alias("n"))
+    found, _ = _carried(spark, out, _counts_schema(by))
+    return found if found is not None else spark.createDataFrame([], _counts_schema(by))
 
 
 def stream_cap(rows: DataFrame, n: int, out: str, checkpoint: str, order: str = "doc_id") -> StreamingQuery:
     """First n rows overall: batches in arrival order, inside a batch by `order`.
 
-    Each micro-batch writes its rows to `out/batch=i` and the running total to `out-total/batch=i`. It starts from the
-    totals of earlier batches only, so a repeated batch overwrites itself and the total stays exact. The rows that are
-    kept are never counted again.
+    Each micro-batch writes its rows to `out/batch=i` and the running total to a slot of `out-total`. It starts from the
+    total of the batch before, so a repeated batch overwrites itself and the total stays exact. The rows that are kept
+    are never counted again, and batches after the n-th row read that total and write nothing.
     """
     spark, totals = rows.sparkSession, f"{out}-total"
-    spark.createDataFrame([(0,)], "total bigint").write.mode("overwrite").parquet(f"{totals}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.parquet(totals).where(F.col("batch") < batch_id).agg(F.max("total")).first()[0]
+        before, slot = _carried(spark, totals, "total bigint", batch_id)
+        stored = 0 if before is None else before.first()["total"]
         if stored < n:
             first = with_rank(batch, [order], (), "__rank", limit=n - stored).drop("__rank")
             path = f"{out}/batch={batch_id}"
             first.write.mode("overwrite").parquet(path)
             stored += spark.read.schema(first.schema).parquet(path).count()
-        spark.createDataFrame([(stored,)], "total bigint").write.mode("overwrite").parquet(f"{totals}/batch={batch_id}")
+            _leave(spark.createDataFrame([(stored,)], "total bigint"), totals, slot, batch_id)
 
     return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -13,7 +13,7 @@ from corpuslake.sources.readers import (
     read_first_available, read_instruction_json, read_parquet_text, scan_cache_dir, scan_page_dump)
 from corpuslake.sources.writers import (
     extract_entities, materialize_once, read_text_shards, stored_rows, write_corpus, write_text_shards)
-from corpuslake.streaming.clean import clean_text, drop_reason, page_reason, read_counts, read_stream, stream_cap, stream_clean, stream_counts
+from corpuslake.streaming.clean import _carried, _leave, clean_text, drop_reason, page_reason, read_counts, read_stream, stream_cap, stream_clean, stream_counts
 
 
 def lines(spark, values):
@@ -188,6 +188,34 @@ def test_stream_cap_is_exact_over_batches(spark, arriving, tmp_path):
         assert spark.read.parquet(out).count() == min(n, 200)
 
 
+def files_below(folder):
+    return sum(name.endswith(".parquet") for _, _, names in os.walk(folder) for name in names)
+
+
+def test_counters_keep_as_many_files_however_many_batches_come(spark, tmp_path):
+    schema, files = "doc_id long, source string, text string", []
+    for i in range(6):
+        spark.createDataFrame([(10 * i + j, "s", "x" * 5) for j in range(3)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = read_stream(spark, f"{tmp_path}/in", schema, 1)
+        stream_counts(rows, f"{tmp_path}/seen", f"{tmp_path}/state").awaitTermination()
+        stream_cap(rows, 7, f"{tmp_path}/cap", f"{tmp_path}/cap-state").awaitTermination()
+        assert [r.n for r in read_counts(spark, f"{tmp_path}/seen").collect()] == [3 * (i + 1)]
+        assert spark.read.parquet(f"{tmp_path}/cap").count() == min(3 * (i + 1), 7)
+        files.append((files_below(f"{tmp_path}/seen"), files_below(f"{tmp_path}/cap-total")))
+    assert files[1:] == [(2, 2)] * 5
+
+
+def test_repeated_batch_counts_once(spark, tmp_path):
+    def totals(batch_id, value):
+        before, slot = _carried(spark, f"{tmp_path}/t", "total bigint", batch_id)
+        stored = (0 if before is None else before.first()["total"]) + value
+        _leave(spark.createDataFrame([(stored,)], "total bigint"), f"{tmp_path}/t", slot, batch_id)
+        return stored
+
+    assert [totals(b, 1) for b in (0, 0, 1, 1, 2, 2, 2, 3)] == [1, 1, 2, 2, 3, 3, 3, 4]
+    assert read_counts(spark, f"{tmp_path}/absent").count() == 0
+
+
 class FakeSession:
     """Stands for sessions of other clusters: a master, and the checkpoint folder if one is named."""
 
