@@ -18,7 +18,7 @@ from corpuslake.functions.text import is_likely_english
 from corpuslake.operators.chunking import chunk_text
 from corpuslake.operators.entities import KEEP_REASONS, entity_rule
 from corpuslake.operators.filters import filter_english, min_length
-from corpuslake.operators.ordering import with_rank
+from corpuslake.operators.sampling import first_rows
 
 
 def clean_text(rows: DataFrame, kind: str = "generic", head: int | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def stream_cap(rows: DataFrame, n: int, out: str, checkpoint: str, order: str =
         before, slot = _carried(spark, totals, "total bigint", batch_id)
         stored = 0 if before is None else before.first()["total"]
         if stored < n:
-            first = with_rank(batch, [order], (), "__rank", limit=n - stored).drop("__rank")
+            first = first_rows(batch, n - stored, [order])
             path = f"{out}/batch={batch_id}"
             first.write.mode("overwrite").parquet(path)
             stored += spark.read.schema(first.schema).parquet(path).count()
