@@ -275,12 +275,13 @@ def pack_next_fit(df: DataFrame, max_len: int = 4_096, batch: Sequence[str] = ("
 def packed_layout(df: DataFrame, batch: Sequence[str] = ("batch_id",), pos: str = "pos", ids: str = "input_ids") -> DataFrame:
     """One row per pack: tokens, `cu_seqlens`, `position_ids` and `max_seqlen`.
 
-    A pack holds at most `max_len` tokens, so the collected lists are bounded.
+    `start` is the place of a sequence in its pack, as both packings give it. A pack holds at most `max_len` tokens, so
+    the collected lists are bounded.
     """
-    columns = [pos, ids] + (["labels"] if "labels" in df.columns else [])
+    columns = [pos, ids, "start"] + (["labels"] if "labels" in df.columns else [])
     packs = df.groupBy(*batch).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__s"))
     lens = F.transform("__s", lambda s: F.size(s[ids]))
-    ends = F.aggregate(lens, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    ends = F.concat(F.array(F.lit(0)), F.transform("__s", lambda s: s["start"].cast("int") + F.size(s[ids])))
     positions = F.flatten(F.transform(lens, lambda n: F.sequence(F.lit(0), n - 1)))
     labels = [F.flatten(F.transform("__s", lambda s: s["labels"])).alias("labels")] if "labels" in df.columns else []
     return packs.select(

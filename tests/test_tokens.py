@@ -203,6 +203,13 @@ def test_packing_stops_at_the_first_overflow(spark):
         assert layout[3].cu_seqlens == [0, 5] and layout[3].input_ids == [300] * 5
 
 
+def test_layout_of_next_fit_packs(spark):
+    rows = spark.createDataFrame([(0, p, [p] * n) for p, n in enumerate([3, 4, 2, 2, 9, 1])], "batch_id long, pos long, input_ids array<int>")
+    layout = {r.pack: r for r in packed_layout(pack_next_fit(rows, 10), ["batch_id", "pack"]).collect()}
+    assert [layout[i].cu_seqlens for i in range(3)] == [[0, 3, 7, 9], [0, 2], [0, 9, 10]]
+    assert layout[2].input_ids == [4] * 9 + [5] and layout[0].position_ids == [0, 1, 2, 0, 1, 2, 3, 0, 1]
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_next_fit_leaves_nothing_out(spark, parts):
     lengths = {0: [3, 4, 2, 2, 9, 1], 1: [20, 1, 0, 10], 2: []}
