@@ -4,7 +4,8 @@ Rows are dealt to shards of bounded size by hash, and every shard becomes a tree
 widest side, down to small leaves, each node with the tight box of its points. A query visits the nodes of a
 tree best first. The largest inner product that a box allows bounds all its points, so the search of a tree
 ends when the best remaining box lies below the k-th score found so far. Queries travel in blocks: a block
-first searches one shard, and takes the k-th scores it finds there to all other shards.
+first searches one shard, and takes the k-th scores it finds there to all other shards. Blocks and trees meet by a
+shuffle: a written table of blocks is small, but it is unfolded once per shard, so it must not pass through the driver.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from corpuslake.session import cut_lineage
 
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 256
+MOST_BLOCKS = 64     # beyond that, blocks grow
+MOST_QUERIES = 4_096  # of a block; beyond that, there are more blocks
 LEAF = 256
 NO_ID = (1 << 63) - 1  # stands for a null id; ties go to smaller ids, so it comes last
 LOWEST = -(1 << 63)
@@ -60,13 +63,24 @@ def _matrix(vectors: list[list[int]], dim: int) -> np.ndarray:
     return out
 
 
+def _narrow(points: np.ndarray) -> bytes:
+    """The points in the smallest whole numbers that hold them all; their width follows from the length."""
+    low, high = points.min(initial=0), points.max(initial=0)
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return points.astype(kind).tobytes()
+
+
+def _wide(points: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(points, dtype=f"i{len(points) // (rows * dim) if dim else 8}").reshape(rows, dim).astype(np.int64)
+
+
 def _trees(group: pa.Table) -> pa.Table:
     vectors = group.column("v").to_pylist()
     dim = max(map(len, vectors))
     points = _matrix(vectors, dim)
     nodes, boxes, order = build_tree(points)
     ids = np.array(group.column("id").to_pylist(), dtype=np.int64)[order]
-    values = [group.column("shard")[0].as_py(), dim, nodes.tobytes(), boxes.tobytes(), points[order].tobytes(), ids.tobytes()]
+    values = [group.column("shard")[0].as_py(), dim, nodes.tobytes(), boxes.tobytes(), _narrow(points[order]), ids.tobytes()]
     types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.table([pa.array([v], t) for v, t in zip(values, types)], names=["shard", "dim", "nodes", "boxes", "points", "ids"])
 
@@ -106,7 +120,7 @@ def _search_blocks(k: int):
                 nodes = np.frombuffer(r["nodes"], dtype=np.int32).reshape(-1, 4)
                 ids = np.frombuffer(r["ids"], dtype=np.int64)
                 wide = [(0, 0), (0, dim - r["dim"])]
-                points = np.pad(np.frombuffer(r["points"], dtype=np.int64).reshape(len(ids), -1), wide)
+                points = np.pad(_wide(r["points"], len(ids), r["dim"]), wide)
                 boxes = np.pad(np.frombuffer(r["boxes"], dtype=np.int64).reshape(len(nodes), 2, -1), [(0, 0), *wide])
                 queries = _matrix(vectors, dim)
                 largest = float(np.abs(points.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * dim
@@ -151,7 +165,7 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     rows = cut_lineage(rows.where(F.col("v").isNotNull()), "topk-vectors")
     counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("queries")).first()
     shards = max(1, -(-counts["rows"] // shard_rows))
-    blocks = max(1, -(-counts["queries"] // block_queries))
+    blocks = max(1, min(-(-counts["queries"] // block_queries), max(MOST_BLOCKS, -(-counts["queries"] // MOST_QUERIES))))
 
     dealt = rows.withColumn("salt", F.monotonically_increasing_id())  # copies of one row are dealt out, too
     dealt = dealt.select(F.pmod(F.xxhash64("id", "v", "salt"), F.lit(shards)).alias("shard"), "id", "v")
@@ -160,10 +174,10 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     asked = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v", F.lit(LOWEST).alias("kth")))).alias("queries"))
 
     work = _search_blocks(k)
-    first = asked.withColumn("shard", F.pmod("block", F.lit(shards))).join(trees, "shard")
+    first = asked.withColumn("shard", F.pmod("block", F.lit(shards))).join(trees.hint("merge"), "shard")
     first = cut_lineage(first.repartition(blocks, "block").mapInArrow(work, FOUND), "topk-pilot")
     others = first.select("block", "pilot", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard"))
-    others = others.where(F.col("shard") != F.col("pilot")).join(trees, "shard")
+    others = others.where(F.col("shard") != F.col("pilot")).join(trees.hint("merge"), "shard")
     others = others.repartition(blocks * shards, "block", "shard").mapInArrow(work, FOUND)
     hits = first.select("block", F.explode("found").alias("hit")).unionAll(others.select("block", F.explode("found").alias("hit")))
     hits = hits.select("block", "hit.*")

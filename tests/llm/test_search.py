@@ -63,3 +63,10 @@ def test_boxes_are_tight_and_leaves_cover_all_points():
         else:
             assert abs((nodes[left][3] - nodes[left][2]) - (nodes[right][3] - nodes[right][2])) <= 1
     assert sorted(leaves) == list(range(3_000)) and sorted(order) == list(range(3_000))
+
+
+def test_blocks_do_not_pass_through_the_driver(spark):
+    rows = [(i, [float(i % 5), float(i % 3)], "", "") for i in range(200)]
+    got = exact_topk(spark.createDataFrame(rows, FIELDS), F.col("vec_id") % 20 == 0, k=3, shard_rows=20, block_queries=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
