@@ -4,6 +4,9 @@ Items are dealt to the nearest of some centroids and written in the order of the
 cell. An item x of a cell is its centroid c plus a rest no longer than the radius, so a unit query q scores it at most
 q c + radius. A search visits the most promising cells of each query first; the k-th best score found there rules out
 all cells whose bound is below it, and only the others are visited as well. With `probes`, it stops after the first step.
+
+Neighbouring cells share a shard, and a query goes to a shard once, with the list of the cells it visits there: on
+vectors without clusters nearly all cells are visited, and a copy of the query per cell would be brute force by shuffle.
 """
 
 from __future__ import annotations
@@ -13,17 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.operators.contrastive import unit_rows
-from corpuslake.operators.retrieval import BLOCK_QUERIES, CELLS, DIGITS, BestK, best_of
+from corpuslake.operators.retrieval import BLOCK_QUERIES, CELLS, DIGITS, WIDE, BestK, best_of
 from corpuslake.session import cut_lineage
 
 SAMPLE = 20_000         # vectors that the centroids are fitted on, on average
 MOST_CELLS = 4_096
-ITEMS_PER_SHARD = 50_000  # a cell with more items is read by several tasks
+ITEMS_PER_SHARD = 50_000  # cells share a shard up to that; a cell with more items is read by several tasks
+BOUNDS = 4_000_000      # bounds of queries and cells held at a time
 STEPS = 8               # of Lloyd's algorithm
 FIRST = 4               # cells that an exact search visits before it knows a bound
 
@@ -39,8 +44,17 @@ class Cells:
     radius: np.ndarray
     counts: np.ndarray
 
-    def shards(self) -> np.ndarray:
-        return np.maximum(1, -(-self.counts // ITEMS_PER_SHARD))
+    def shards(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first shard of each cell and the number of its shards; shards are numbered in the order of cells."""
+        parts = np.maximum(1, -(-self.counts // ITEMS_PER_SHARD))
+        first, shard, held = np.empty(len(parts), dtype=np.int64), 0, 0
+        for cell, (n, own) in enumerate(zip(self.counts, parts)):
+            if held and (own > 1 or held + n > ITEMS_PER_SHARD):
+                shard, held = shard + 1, 0
+            first[cell], held = shard, held + n
+            if own > 1:
+                shard, held = shard + int(own), 0
+        return first, parts
 
     def order(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells of each query from the most to the least promising, and the bound of every cell."""
@@ -112,34 +126,67 @@ def build_cells(corpus: DataFrame, cells: int | None = None, sample: int = SAMPL
     for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
         radius[r["cell"]], counts[r["cell"]] = r["far"], r["n"]
     made = Cells(centroids, radius, counts)
-    parts = F.element_at(F.lit(made.shards().tolist()), (F.col("cell") + 1).cast("int"))
-    dealt = placed.select("item_id", "vector", "cell", F.pmod(F.xxhash64("item_id"), parts).alias("shard"))
+    first, parts = (F.element_at(F.lit(n.tolist()).cast("array<bigint>"), (F.col("cell") + 1).cast("int")) for n in made.shards())
+    dealt = placed.select("item_id", "vector", "cell", (first + F.pmod(F.xxhash64("item_id"), parts)).alias("shard"))
     # in the order of cells, so that a search reads the row groups of the cells it visits
     items = cut_lineage(dealt.repartition("cell", "shard").sortWithinPartitions("cell"), "cells")
     return CellIndex(items, made)
 
 
 def _visit(heads: DataFrame, index: CellIndex, k: int, n_queries: int) -> DataFrame:
-    """The best k items of each query in each cell it visits; `heads` is query_id, vector, cell."""
-    shards = F.element_at(F.lit(index.cells.shards().tolist()), (F.col("cell") + 1).cast("int"))
-    blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    left = heads.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), shards - 1)))
-    left = left.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    asked = left.select("cell", "shard", "block").distinct()  # cells of no query are not read any further
-    right = index.items.join(asked.toDF("c", "s", "block"), F.expr("cell = c AND shard = s")).drop("c", "s")
+    """The best k items of each query in each shard it visits; `heads` is query_id, vector and visits (shard, cells)."""
+    shards = int(sum(index.cells.shards()).max())
+    tiles = -(-n_queries // BLOCK_QUERIES) * shards
+    wide = max(1, min(WIDE, tiles // (4 * heads.sparkSession.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-n_queries // (BLOCK_QUERIES * wide)))
+    heads = heads.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    heads = cut_lineage(heads, "cells-visited")
+    left = heads.select("query_id", "vector", "block", F.explode("visits").alias("visit")).select("query_id", "vector", "block", "visit.*")
+    # cells of no query are not read any further
+    asked = heads.select("block", F.explode("visits").alias("visit")).select("block", "visit.shard", F.explode("visit.cells").alias("cell"))
+    asked = asked.distinct().toDF("block", "s", "c")
+    right = index.items.join(asked, F.expr("cell = c AND shard = s")).drop("c", "s")
     schema = T.StructType([heads.schema["query_id"], index.items.schema["item_id"], T.StructField("score", T.DoubleType())])
 
+    def found(qs: pd.DataFrame, items: np.ndarray, ids: np.ndarray, firsts: dict[int, tuple[int, int]]) -> pd.DataFrame:
+        best, matrix = BestK(len(qs), k), np.array(qs["vector"].tolist())
+        visited = np.concatenate(qs["cells"].to_numpy())
+        visitor = np.repeat(np.arange(len(qs)), qs["cells"].map(len))
+        order = np.argsort(visited, kind="stable")
+        cells, starts = np.unique(visited[order], return_index=True)
+        for cell, rows in zip(cells, np.split(visitor[order], starts[1:])):
+            start, stop = firsts.get(cell, (0, 0))
+            step = max(1, CELLS // len(rows))
+            for at in range(start, stop, step):
+                here = slice(at, min(stop, at + step))
+                best.add(matrix[rows] @ items[here].T, ids[here], rows=rows)
+        return best.frame(qs["query_id"].to_numpy())
+
     def tile(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or its.empty:
             return pd.DataFrame({f.name: [] for f in schema})
-        best, matrix, items = BestK(len(qs), k), np.array(qs["vector"].tolist()), np.array(its["vector"].tolist())
-        step = max(1, CELLS // len(qs))
-        for at in range(0, len(its), step):
-            best.add(matrix @ items[at:at + step].T, its["item_id"].to_numpy()[at:at + step])
-        return best.frame(qs["query_id"].to_numpy())
-
-    keys = ["cell", "shard", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, schema)
+        its = its.sort_values("cell", kind="stable")
+        cells, starts = np.unique(its["cell"].to_numpy(), return_index=True)
+        firsts = dict(zip(cells.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(its)])))
+        items, ids = np.array(its["vector"].tolist()), its["item_id"].to_numpy()
+        return pd.concat([found(qs.iloc[at:at + BLOCK_QUERIES], items, ids, firsts) for at in range(0, len(qs), BLOCK_QUERIES)])
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(tile, schema)
+
+
+def _visits(chosen: np.ndarray, first: np.ndarray, parts: np.ndarray) -> pa.Array:
+    """A list per query of the shards it visits, each with the list of its cells; `chosen` marks the cells of each query."""
+    row, cell = np.nonzero(chosen)  # cells in ascending order, so those of one shard lie together
+    copies = parts[cell]
+    shard = np.repeat(first[cell], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+    row, cell = np.repeat(row, copies), np.repeat(cell, copies)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])
+    starts = np.flatnonzero(new)
+    lists = pa.ListArray.from_arrays(pa.array([*starts, len(row)], pa.int32()), pa.array(cell, pa.int32()))
+    visits = pa.StructArray.from_arrays([pa.array(shard[starts], pa.int64()), lists], ["shard", "cells"])
+    ends = np.searchsorted(row[starts], np.arange(len(chosen) + 1), side="left")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), visits)
 
 
 def search_cells(queries: DataFrame, index: CellIndex, k: int, probes: int | None = None) -> DataFrame:
@@ -149,35 +196,37 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int, probes: int | Non
     other cells can be missed.
     """
     queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
-    schema = T.StructType([queries.schema["query_id"], T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("cell", T.LongType())])
-    n, cells = queries.count(), index.cells
+    visit = T.ArrayType(T.StructType([T.StructField("shard", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    schema = T.StructType([queries.schema["query_id"], T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("visits", visit)])
+    n, cells, shards = queries.count(), index.cells, index.cells.shards()
 
-    def expand(batch: pd.DataFrame, floor: np.ndarray | None) -> pd.DataFrame:
-        vectors = unit_matrix(batch["vector"])
+    def expand(batch: pa.RecordBatch, floor: np.ndarray | None) -> pa.RecordBatch:
+        vectors = unit_matrix(batch.column(1).to_pandas())
         order, bounds = cells.order(vectors)
-        early = np.arange(order.shape[1])[None, :] < cells.first(order, probes or FIRST, k)[:, None]
-        if floor is None:
-            row, place = np.nonzero(early)
-        else:  # scores are compared after rounding, so a bound within a rounding step of the floor counts
-            open_ = np.take_along_axis(bounds, order, axis=1) >= floor[:, None] - 10.0 ** (1 - DIGITS)
-            row, place = np.nonzero(open_ & ~early & (cells.counts[order] > 0))
-        return pd.DataFrame({"query_id": batch["query_id"].to_numpy()[row], "vector": pd.Series([vectors[i] for i in row], dtype=object), "cell": order[row, place]})
-
-    def early(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield expand(batch, None)
-
-    def late(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield expand(batch, batch["floor"].fillna(-np.inf).to_numpy())
+        early = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(early, order, np.arange(order.shape[1])[None, :] < cells.first(order, probes or FIRST, k)[:, None], axis=1)
+        chosen = early
+        if floor is not None:  # scores are compared after rounding, so a bound within a rounding step of the floor counts
+            chosen = (bounds >= floor[:, None] - 10.0 ** (1 - DIGITS)) & ~early & (cells.counts > 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.ravel()))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, _visits(chosen, *shards)], ["query_id", "vector", "visits"])
+
+    def run(late: bool):
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, BOUNDS // len(cells.counts))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    yield expand(part, part.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False) if late else None)
+        return pieces
 
     if not cells.counts.sum():
         nothing = queries.withColumn("item_id", F.lit(None).cast(index.items.schema["item_id"].dataType)).withColumn("score", F.lit(0.0))
-        return best_of(nothing.select("query_id", "item_id", "score").limit(0), k)
-    found = best_of(_visit(queries.mapInPandas(early, schema), index, k, n), k)
+        return best_of(nothing.select("query_id", "item_id", "score").limit(0), k=k)
+    found = best_of(_visit(queries.mapInArrow(run(False), schema), index, k, n), k=k)
     if probes:
         return found
     found = cut_lineage(found, "cells-first")
     floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("floor"))
-    rest = queries.join(floors, F.col("query_id") == F.col("of"), "left").drop("of").mapInPandas(late, schema)
-    return best_of(found.drop("rank").unionByName(_visit(rest, index, k, n)), k)
+    rest = queries.join(floors, F.col("query_id") == F.col("of"), "left").drop("of").mapInArrow(run(True), schema)
+    return best_of(found.drop("rank").unionByName(_visit(rest, index, k, n)), k=k)

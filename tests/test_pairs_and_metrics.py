@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,3 +330,46 @@ def test_encoder_table(spark):
     rows = spark.createDataFrame([("a b a",), ("",), (None,)], "text string").coalesce(1)
     got = [r.embedding for r in encode_table(rows, lambda: HashedBagOfWords(16), batch=2).collect()]
     assert abs(sum(x * x for x in got[0]) - 1) < 1e-12 and got[1] == got[2] == [0.0] * 16
+
+
+def test_a_query_travels_once_per_shard_not_per_cell(space):
+    queries, items = space[2:]
+    index = build_cells(items, cells=60)
+    assert sum(index.cells.shards()).max() == 1  # few items, so all cells share a shard
+    found = search_cells(queries, index, 3, probes=40)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    visited = [line for line in plan.splitlines() if "visits#" in line and "Relation" in line]
+    assert visited  # rows of (query, shards with their cells), not of (query, cell)
+
+
+def test_best_of_parts_equals_best_of_all():
+    rng = np.random.default_rng(3)
+    scores, ids = rng.normal(size=(7, 900)).round(1), np.arange(900)[::-1].copy()  # many ties
+    whole, parts = cells.BestK(7, 5), cells.BestK(7, 5, lambda q, j: scores[q, j + at])
+    whole.add(scores, ids)
+    for at in range(0, 900, 45):
+        parts.add(scores[:, at:at + 45], ids[at:at + 45])
+    assert whole.items.tolist() == parts.items.tolist() and (parts.extras == parts.scores).all()
+    for q in range(7):
+        assert whole.items[whole.q == q].tolist() == [i for _, i in sorted(zip(-scores[q], ids))][:5]
+
+
+def test_late_interaction_holds_few_similarities_at_a_time(spark, monkeypatch):
+    from corpuslake.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    rows = [(i % 7, i, rng.normal(size=4).tolist()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, token_id long, vector array<double>")
+    heads = docs.withColumnRenamed("doc_id", "query_id")
+    expected = {(r.query_id, r.doc_id): r.score for r in maxsim(heads, docs).collect()}
+    made, multiplied = [], []
+    matrix = retrieval._matrix
+    monkeypatch.setattr(retrieval, "CELLS", 4_000)
+    monkeypatch.setattr(retrieval, "_matrix", lambda vectors: multiplied.append(len(vectors)) or matrix(vectors))
+    monkeypatch.setattr(retrieval, "meet", lambda h, items, kernel, schema, *a: (made.append((h, items, kernel)) or spark.createDataFrame([], schema), 1))
+    maxsim(heads, docs)
+    h, items, kernel = made[0]
+    got = pd.concat(list(kernel(h.toPandas(), iter([items.toPandas()]))))
+    got = got.groupby(["query_id", "doc_id", "token_id"])["best"].max().groupby(["query_id", "doc_id"]).sum().to_dict()
+    assert multiplied[0] == 400 and max(multiplied[1:]) <= 10
+    assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 1e-9 for p in got)
