@@ -126,4 +126,4 @@ def search_late(query_tokens: DataFrame, index: LateIndex, k: int, block: int =
 
     found = search(heads, index.documents, kernel, k, block, shard).drop("rank")
     pieces = maxsim(tokens, index.hot, k=k).select("query_id", F.col("doc_id").alias("item_id"), "score")
-    return best_of(found.unionByName(pieces), k).withColumnRenamed("item_id", "doc_id")
+    return best_of(found.unionByName(pieces), k=k).withColumnRenamed("item_id", "doc_id")

@@ -146,6 +146,6 @@ def search_postings(queries: DataFrame, index: PostingIndex, k: int, first: int
     """
     asked, blocks, bounds = range_bounds(queries, index)
     done = cut_lineage(first_ranges(bounds, first), "first-ranges")
-    found = cut_lineage(best_of(_scored(done, asked, blocks, index), k), "first-found")
+    found = cut_lineage(best_of(_scored(done, asked, blocks, index), k=k), "first-found")
     rest = cut_lineage(open_ranges(bounds, done, found, k), "open-ranges")
-    return best_of(found.drop("rank").unionByName(_scored(rest, asked, blocks, index)), k)
+    return best_of(found.drop("rank").unionByName(_scored(rest, asked, blocks, index)), k=k)

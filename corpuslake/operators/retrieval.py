@@ -23,63 +23,90 @@ from corpuslake.session import cut_lineage
 
 BLOCK_QUERIES = 4_096       # queries sent to every task
 SHARD_ITEMS = 100_000       # items of one tile when there are more queries than that
+WIDE = 8                    # blocks of queries that share the items of a tile, at most
+TILE_STEP = 8_192           # items of a tile that a kernel gets at a time
 CELLS = 2_000_000           # scores held at a time
+TILE_ROWS = 4_000_000       # rows that a tile of late interaction gives, about
 MERGES = 64                 # groups per query in the first step of the final ranking
 DIGITS = 9                  # scores are compared at this many decimals
+ROUNDING = 10.0 ** (1 - DIGITS)  # more than rounding can move a score
 MODEL_WORDS = r"[\p{L}\p{N}]+"
 
 
 class BestK:
-    """The k best items of each query seen so far: score descending, item ascending."""
+    """The k best items of each query seen so far: score descending, item ascending.
 
-    def __init__(self, queries: int, k: int):
+    Only scores that reach a query's k-th best are rounded and sorted in. `extra` computes a second number for the pairs
+    (query, item) that are kept.
+    """
+
+    def __init__(self, queries: int, k: int, extra: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
         self.k = k
+        self.extra = extra
         self.floor = np.full(queries, -np.inf)
         self.q = np.empty(0, dtype=np.int64)
         self.items: np.ndarray | None = None  # ids of any type that can be sorted
         self.scores = np.empty(0)
+        self.extras = np.empty(0)
 
-    def add(self, scores: np.ndarray, items: np.ndarray, valid: np.ndarray | None = None) -> None:
-        scores = np.round(scores, DIGITS)
+    def add(self, scores: np.ndarray, items: np.ndarray, valid: np.ndarray | None = None, rows: np.ndarray | None = None) -> None:
+        """Scores of all queries, or of those in `rows`, in some items; pairs that are not `valid` are left out."""
+        floor = self.floor if rows is None else self.floor[rows]
+        near = scores >= (floor - ROUNDING)[:, None]
         if valid is not None:
-            scores = np.where(valid, scores, -np.inf)
+            near &= valid
         n = scores.shape[1]
-        floor = self.floor
-        if n > self.k:
-            floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
-        q, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        q = np.concatenate([self.q, q])
-        found = np.concatenate([self.scores, scores[q[len(self.q):], j]])
+        if n > self.k and np.count_nonzero(near) > 2 * self.k * len(near):
+            top = scores if valid is None else np.where(valid, scores, -np.inf)
+            near &= scores >= (np.partition(top, n - self.k, axis=1)[:, n - self.k] - ROUNDING)[:, None]
+        at, j = np.nonzero(near)
+        if not len(at):
+            return
+        new = np.round(scores[at, j], DIGITS)
+        at, j, new = at[new > -np.inf], j[new > -np.inf], new[new > -np.inf]
+        source = np.concatenate([np.full(len(self.q), -1), np.arange(len(at))])
+        q = np.concatenate([self.q, at if rows is None else rows[at]])
+        found = np.concatenate([self.scores, new])
         ids = items[j] if self.items is None else np.concatenate([self.items, items[j]])
-        _, place_of = np.unique(ids, return_inverse=True)  # also for ids that are strings
+        place_of = ids if ids.dtype.kind in "iu" else np.unique(ids, return_inverse=True)[1]  # ids can be strings
         order = np.lexsort((place_of, -found, q))
-        q, found, ids = q[order], found[order], ids[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order], side="left")
         keep = place < self.k
-        self.q, self.scores, self.items = q[keep], found[keep], ids[keep]
-        full = place[keep] == self.k - 1
+        order, place = order[keep], place[keep]
+        if self.extra is not None:
+            extras = np.concatenate([self.extras, np.zeros(len(at))])[order]
+            fresh = source[order] >= 0
+            extras[fresh] = self.extra(q[order][fresh], j[source[order][fresh]])
+            self.extras = extras
+        self.q, self.scores, self.items = q[order], found[order], ids[order]
+        full = place == self.k - 1
         self.floor[self.q[full]] = self.scores[full]
 
     def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": query_ids[self.q], "item_id": [] if self.items is None else self.items, "score": self.scores})
+        out = pd.DataFrame({"query_id": query_ids[self.q], "item_id": [] if self.items is None else self.items, "score": self.scores})
+        return out if self.extra is None else out.assign(extra=self.extras)
 
 
 Kernel = Callable[[pd.DataFrame, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def meet(heads: DataFrame, items: DataFrame, kernel: Kernel, schema: T.StructType, block: int, shard: int,
-         spread: Sequence[str]) -> DataFrame:
+         spread: Sequence[str], wide: int = WIDE) -> tuple[DataFrame, int]:
     """Run `kernel` so that every head row meets every item row, in tasks of bounded size.
 
     Up to `block` heads (counted first) travel to every task and the items stay where they are.
-    More heads are cut into blocks and the items, by a hash of the `spread` columns, into shards;
-    every block meets every shard once.
+    More heads are cut into blocks and the items, by a hash of the `spread` columns, into shards; every block meets every
+    shard once. Up to `wide` blocks share a tile, so that the items are copied less often, as long as there are
+    several tiles per core. In a tile the kernel runs block by block and gets `TILE_STEP` items at a time.
+
+    Returns what the kernels give and the number of shards (0: a head's results come from any number of tasks).
     """
     head = heads.limit(block + 1).toPandas()
     if len(head) <= block:
-        return items.mapInPandas(lambda batches: kernel(head, batches), schema)
-    n_blocks = -(-heads.count() // block)
-    n_shards = max(1, -(-items.count() // shard))
+        return items.mapInPandas(lambda batches: kernel(head, batches), schema), 0
+    n_heads, n_shards = heads.count(), max(1, -(-items.count() // shard))
+    single = -(-n_heads // block) * n_shards
+    n_blocks = -(-n_heads // (block * max(1, min(wide, single // (4 * items.sparkSession.sparkContext.defaultParallelism)))))
 
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
@@ -88,30 +115,37 @@ def meet(heads: DataFrame, items: DataFrame, kernel: Kernel, schema: T.StructTyp
     right = items.withColumn("ib", F.pmod(F.xxhash64(*spread), F.lit(n_shards))).withColumn("qb", numbers(n_blocks))
 
     def tile(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
-        frames = [] if qs.empty or its.empty else list(kernel(qs.reset_index(drop=True), iter([its])))
+        frames = []
+        for at in range(0, len(qs) if len(its) else 0, block):
+            steps = (its.iloc[i:i + TILE_STEP].reset_index(drop=True) for i in range(0, len(its), TILE_STEP))
+            frames += kernel(qs.iloc[at:at + block].reset_index(drop=True), steps)
         return pd.concat(frames) if frames else pd.DataFrame({f.name: [] for f in schema})
 
     left = left.toDF(*left.columns)  # columns of its own, in case a table is searched with itself
-    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(tile, schema)
+    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(tile, schema), n_shards
 
 
 def search(queries: DataFrame, items: DataFrame, kernel: Kernel, k: int, block: int = BLOCK_QUERIES,
-           shard: int = SHARD_ITEMS) -> DataFrame:
-    """Best k items per query: `query_id, item_id, score, rank`."""
+           shard: int = SHARD_ITEMS, extra: bool = False, wide: int = WIDE) -> DataFrame:
+    """Best k items per query: `query_id, item_id, score, rank`, and `extra` if the kernel gives that."""
     schema = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
-    return best_of(meet(queries, items, kernel, schema, block, shard, ["item_id"]), k)
+    if extra:
+        schema = schema.add("extra", T.DoubleType())
+    return best_of(*meet(queries, items, kernel, schema, block, shard, ["item_id"], wide), k=k)
 
 
-def best_of(found: DataFrame, k: int) -> DataFrame:
+def best_of(found: DataFrame, parts: int = 0, *, k: int) -> DataFrame:
     """The best k of what tasks hand in, k rows per query each at most.
 
     They are merged in two steps, first by query and a hash of the item, so the last group of a query holds k rows for
-    each of `MERGES` hashes, however many tasks there were.
+    each of `MERGES` hashes, however many tasks there were. If it is known that no more than `MERGES` `parts` hand in
+    rows of a query, one step does.
     """
     order = [("score", "desc"), "item_id"]
-    salted = found.withColumn("__salt", F.pmod(F.xxhash64("item_id"), F.lit(MERGES)))
-    merged = with_rank(salted, order, ["query_id", "__salt"], "rank", limit=k, bounded=True).drop("__salt", "rank")
-    return with_rank(merged, order, ["query_id"], "rank", limit=k, bounded=True)
+    if not 0 < parts <= MERGES:
+        salted = found.withColumn("__salt", F.pmod(F.xxhash64("item_id"), F.lit(MERGES)))
+        found = with_rank(salted, order, ["query_id", "__salt"], "rank", limit=k, bounded=True).drop("__salt", "rank")
+    return with_rank(found, order, ["query_id"], "rank", limit=k, bounded=True)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -235,28 +269,41 @@ def tag_prefilter(chunks: DataFrame, tags: Sequence[str], column: str = "tags")
 
 
 def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int, top: int, k: int, **kw) -> DataFrame:
-    """Candidates by the first d dimensions, ranked again by all of them."""
-    def short(df, key):
-        return df.select(key, F.slice("vector", 1, d).alias("vector"))
-
-    coarse = dense_topk(short(queries, "query_id"), short(corpus, "item_id"), top, **kw)
-    coarse = cut_lineage(coarse.select("query_id", "item_id"), "candidates")
-    qv = queries.select("query_id", l2_normalize("vector").alias("qv"))
-    dv = corpus.select("item_id", l2_normalize("vector").alias("dv"))
-    rows = coarse.join(dv, "item_id").join(qv, "query_id")
-    rows = rows.select("query_id", "item_id", F.round(dot("qv", "dv"), DIGITS).alias("score"))
+    """Candidates by the first d dimensions, ranked again by all of them.
+
+    A task that takes a pair into its best `top` has both vectors at hand and scores it by all dimensions at once, so
+    vectors are not joined to the candidates afterwards.
+    """
+
+    def kernel(head: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if head.empty:
+            return
+        whole, short = _matrix(head["vector"]), _matrix(head["vector"].map(lambda v: v[:d]))
+        items = {}
+        best = BestK(len(head), top, lambda q, j: np.round(np.einsum("pd,pd->p", whole[q], items["whole"][j]), DIGITS))
+        step = max(1, CELLS // len(head))
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at:at + step]
+                items["whole"] = _matrix(part["vector"])
+                best.add(short @ _matrix(part["vector"].map(lambda v: v[:d])).T, part["item_id"].to_numpy())
+        yield best.frame(head["query_id"].to_numpy())
+
+    coarse = search(queries.select("query_id", "vector"), corpus.select("item_id", "vector"), kernel, top, extra=True, **kw)
+    rows = coarse.select("query_id", "item_id", F.col("extra").alias("score"))
     return with_rank(rows, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k, bounded=True)
 
 
 def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, block: int = BLOCK_QUERIES, shard: int = SHARD_ITEMS,
-           flush: int = 1_000, k: int | None = None) -> DataFrame:
+           flush: int = 1_000, k: int | None = None, wide: int = WIDE) -> DataFrame:
     """Late interaction: per query token the best document token, summed per query and document.
 
     With `k` only the best k documents of each query are returned, with their `rank`.
 
     `query_tokens(query_id, token_id, vector)`, `doc_tokens(doc_id, token_id, vector)`. Tokens of a
     document are reduced to one maximum per query token inside each task and may lie in many tasks,
-    so a document with very many tokens is neither gathered nor more rows than others.
+    so a document with very many tokens is neither gathered nor more rows than others. A task holds `CELLS` similarities
+    at a time, and a tile gives no more than about `TILE_ROWS` rows: with many documents, tiles are smaller.
     """
     heads = query_tokens.select("query_id", "token_id", "vector")
     schema = T.StructType([heads.schema["query_id"], heads.schema["token_id"], doc_tokens.schema["doc_id"],
@@ -266,6 +313,7 @@ def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, block: int = BLOCK_QU
         if head.empty:
             return
         matrix, best = _matrix(head["vector"]), {}
+        step, most = max(1, CELLS // len(head)), max(1, min(flush, CELLS // len(head)))
 
         def rows() -> pd.DataFrame:
             frames = [pd.DataFrame({"query_id": head["query_id"], "token_id": head["token_id"], "doc_id": doc, "best": value})
@@ -274,18 +322,26 @@ def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, block: int = BLOCK_QU
             return pd.concat(frames)
 
         for batch in batches:
-            sims = matrix @ _matrix(batch["vector"]).T
-            docs, at = np.unique(batch["doc_id"].to_numpy(), return_inverse=True)
-            for i, doc in enumerate(docs):
-                value = sims[:, at == i].max(axis=1)
-                best[doc] = np.maximum(best[doc], value) if doc in best else value
-            if len(best) >= flush:
-                yield rows()
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at:at + step].sort_values("doc_id", kind="stable")
+                docs, starts = np.unique(part["doc_id"].to_numpy(), return_index=True)
+                for i in range(0, len(docs), most):
+                    first, last = starts[i], starts[i + most] if i + most < len(docs) else len(part)
+                    sims = matrix @ _matrix(part["vector"].iloc[first:last]).T
+                    tops = np.maximum.reduceat(sims, starts[i:i + most] - first, axis=1).T
+                    for doc, value in zip(docs[i:i + most], tops):
+                        best[doc] = np.maximum(best[doc], value) if doc in best else value.copy()
+                    if len(best) >= most:
+                        yield rows()
         if best:
             yield rows()
 
     items = doc_tokens.select("doc_id", "token_id", "vector")
-    partial = meet(heads, items, kernel, schema, block, shard, ["doc_id", "token_id"])
+    docs = items.select("doc_id").distinct().count()
+    if docs > TILE_ROWS // block:
+        shard = min(shard, max(1, TILE_ROWS // block))
+    wide = min(wide, TILE_ROWS // (block * max(1, min(shard, docs))))
+    partial, _ = meet(heads, items, kernel, schema, block, shard, ["doc_id", "token_id"], wide)
     per_token = partial.groupBy("query_id", "doc_id", "token_id").agg(F.max("best").alias("best"))
     scores = per_token.groupBy("query_id", "doc_id").agg(F.sum("best").alias("score"))
     if k is None:
