@@ -237,3 +237,22 @@ def test_shared_folder_follows_the_session(spark):
         shared_dir(FakeSession("yarn"), "x")
     first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert first != second and os.path.dirname(first) == os.path.dirname(second)
+
+
+def test_parts_arrive_one_after_the_other_in_many_files(spark, sf, tmp_path):
+    from corpuslake.catalog import streams
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").repartition(6)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, ids = 0, []
+    for stream in streams.arriving(spark, str(tmp_path)):
+        out, state = str(tmp_path / "out"), str(tmp_path / "state")
+        stream.select("doc_id", F.input_file_name().alias("file")).writeStream.format("parquet") \
+            .option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+        now = spark.read.parquet(out).collect()
+        new = [r for r in now if r["doc_id"] not in set(ids)]
+        assert len({r["file"] for r in new}) > 1  # a part is not one file, so not one task
+        assert not ids or min(r["doc_id"] for r in new) > max(ids)
+        ids += [r["doc_id"] for r in new]
+        seen = len(now)
+    assert seen == len(ids) == rows.count()
