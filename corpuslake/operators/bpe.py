@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from corpuslake.functions.text import explode_values
 from corpuslake.functions.vectors import let
@@ -272,32 +273,52 @@ def segment(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
-def bpe_tokens(spark, words: Column, merges: Sequence[tuple[str, str]], known: Sequence[str] | None = None,
-               unknown: str = "[UNK]") -> Column:
-    """Tokens of an array of words; symbols outside `known` become `unknown`.
+def encoded_lists(words: pa.Array, encode: Callable[[str], list], kind: pa.DataType) -> pa.Array:
+    """Lists of words as lists of what `encode` gives for a word, called once per distinct word of the batch.
 
-    Row-local, so encoding needs no shuffle. What is broadcast is the merge list, at most as long
-    as the vocabulary; frequent words are segmented once per worker.
+    Everything else works on whole columns, so no Python object is made per word or token of a text.
     """
+    distinct = words.flatten().dictionary_encode()
+    lists = pa.array([None if w is None else encode(w) for w in distinct.dictionary.to_pylist()], pa.list_(kind))
+    found = lists.take(distinct.indices)
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = found.offsets.take(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()))
+    return pa.ListArray.from_arrays(ends, found.values, mask=words.is_null())
+
+
+def _encoder(spark, words: Column, merges: Sequence[tuple[str, str]], known: Sequence[str] | None, unknown: str,
+             ids: dict[str, int] | None) -> Column:
     model = spark.sparkContext.broadcast(
-        ({pair: i for i, pair in reversed(list(enumerate(merges)))}, set(known) if known is not None else None))
-    cache: dict[str, list[str]] = {}
+        ({pair: i for i, pair in reversed(list(enumerate(merges)))}, set(known) if known is not None else None, ids))
+    cache: dict[str, list] = {}
+    same: dict[str, str] = {}
 
-    @F.pandas_udf("array<string>")
-    def encode(batch: pd.Series) -> pd.Series:
-        ranks, allowed = model.value
+    def encode(batch: pa.Array) -> pa.Array:
+        ranks, allowed, table = model.value
 
-        def tokens(word: str) -> list[str]:
+        def one(word: str) -> list:
             if word not in cache:
                 if len(cache) >= CACHED_WORDS:
                     cache.clear()
-                parts = segment(word, ranks)
-                cache[word] = [p if allowed is None or p in allowed else unknown for p in parts]
+                    same.clear()
+                parts = [p if allowed is None or p in allowed else unknown for p in segment(word, ranks)]
+                cache[word] = [same.setdefault(p, p) for p in parts] if table is None else [table[p] for p in parts]
             return cache[word]
 
-        return batch.map(lambda ws: None if ws is None else [t for w in ws for t in tokens(w)])
+        return encoded_lists(batch, one, pa.string() if table is None else pa.int32())
+
+    udf = F.arrow_udf(encode, "array<string>" if ids is None else "array<int>", ArrowUDFType.SCALAR)
+    return udf.asNondeterministic()(words)  # never copied into filters over the result
+
 
-    return encode.asNondeterministic()(words)  # never copied into filters over the result
+def bpe_tokens(spark, words: Column, merges: Sequence[tuple[str, str]], known: Sequence[str] | None = None,
+               unknown: str = "[UNK]") -> Column:
+    """Tokens of an array of words; symbols outside `known` become `unknown`.
+
+    Row-local, so encoding needs no shuffle. What is broadcast is the merge list, at most as long
+    as the vocabulary; a word is segmented once per batch, frequent words once per task.
+    """
+    return _encoder(spark, words, merges, known, unknown, None)
 
 
 def encode_bpe(df: DataFrame, words: Column, vocab: DataFrame, merges: DataFrame, out: str = "input_ids",
@@ -305,12 +326,4 @@ def encode_bpe(df: DataFrame, words: Column, vocab: DataFrame, merges: DataFrame
     """Add token ids. Both model tables are bounded by the vocabulary size and read on the driver."""
     ids = {r["token"]: r["id"] for r in vocab.collect()}
     pairs = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
-    lookup = df.sparkSession.sparkContext.broadcast(ids)
-    tokens = bpe_tokens(df.sparkSession, words, pairs, list(ids), unknown)
-
-    @F.pandas_udf("array<int>")
-    def to_ids(batch: pd.Series) -> pd.Series:
-        table = lookup.value
-        return batch.map(lambda ts: None if ts is None else [table[t] for t in ts])
-
-    return df.withColumn(out, to_ids(tokens))
+    return df.withColumn(out, _encoder(df.sparkSession, words, pairs, list(ids), unknown, ids))

@@ -258,3 +258,17 @@ def test_batches(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "doc_id long, source string")
     got = assign_batches(rows, 4, ["doc_id"], ["source"]).where("source = 'a'").orderBy("doc_id").collect()
     assert [(r.batch_id, r.pos) for r in got] == [(i // 4, i % 4) for i in range(10)]
+
+
+def test_a_word_is_encoded_once_per_batch():
+    import pyarrow as pa
+    from corpuslake.operators.bpe import encoded_lists
+
+    rows = [["ab", "c", "ab"], None, [], ["c", None, "ab"], ["ab"] * 50]
+    asked = []
+    got = encoded_lists(pa.array(rows, pa.list_(pa.string())).slice(0), lambda w: asked.append(w) or list(w), pa.string())
+    assert got.to_pylist() == [["a", "b", "c", "a", "b"], None, [], ["c", "a", "b"], ["a", "b"] * 50]
+    assert sorted(asked) == ["ab", "c"]
+    part = encoded_lists(pa.array(rows, pa.list_(pa.string())).slice(2, 2), list, pa.string())
+    assert part.to_pylist() == [[], ["c", "a", "b"]]
+    assert encoded_lists(pa.array([], pa.list_(pa.string())), list, pa.string()).to_pylist() == []
