@@ -8,6 +8,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +58,21 @@ def encode_table(df: DataFrame, make_encoder: Callable[[], Callable], text: str
                  batch: int = 32) -> DataFrame:
     """Unit-length vector per text. The encoder is built once per task and called on `batch` texts."""
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
-        for texts in batches:
-            values = texts.tolist()
-            parts = [unit_rows(np.asarray(encoder(values[i:i + batch]))) for i in range(0, len(values), batch)]
-            yield pd.Series([v for part in parts for v in part])
+        for texts in batches:  # only `batch` texts at a time become Python strings
+            parts = [_lists(unit_rows(np.asarray(encoder(texts.slice(i, batch).to_pylist())))) for i in range(0, len(texts), batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
     return df.withColumn(out, once(encode)(text))
 
 
+def _lists(matrix: np.ndarray) -> pa.Array:
+    rows, dim = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * dim, pa.int32()), pa.array(matrix.ravel()))
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return unit_rows(np.array(column.tolist(), dtype=float))
 
