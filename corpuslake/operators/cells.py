@@ -137,7 +137,7 @@ def _visit(heads: DataFrame, index: CellIndex, k: int, n_queries: int) -> DataFr
     """The best k items of each query in each shard it visits; `heads` is query_id, vector and visits (shard, cells)."""
     shards = int(sum(index.cells.shards()).max())
     tiles = -(-n_queries // BLOCK_QUERIES) * shards
-    wide = max(1, min(WIDE, tiles // (4 * heads.sparkSession.sparkContext.defaultParallelism)))
+    wide = max(1, min(WIDE, tiles // (2 * heads.sparkSession.sparkContext.defaultParallelism)))
     blocks = max(1, -(-n_queries // (BLOCK_QUERIES * wide)))
     heads = heads.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     heads = cut_lineage(heads, "cells-visited")

@@ -106,7 +106,7 @@ def meet(heads: DataFrame, items: DataFrame, kernel: Kernel, schema: T.StructTyp
         return items.mapInPandas(lambda batches: kernel(head, batches), schema), 0
     n_heads, n_shards = heads.count(), max(1, -(-items.count() // shard))
     single = -(-n_heads // block) * n_shards
-    n_blocks = -(-n_heads // (block * max(1, min(wide, single // (4 * items.sparkSession.sparkContext.defaultParallelism)))))
+    n_blocks = -(-n_heads // (block * max(1, min(wide, single // (2 * items.sparkSession.sparkContext.defaultParallelism)))))
 
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
@@ -280,7 +280,12 @@ def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int, top: int, k
             return
         whole, short = _matrix(head["vector"]), _matrix(head["vector"].map(lambda v: v[:d]))
         items = {}
-        best = BestK(len(head), top, lambda q, j: np.round(np.einsum("pd,pd->p", whole[q], items["whole"][j]), DIGITS))
+
+        def fine(q: np.ndarray, j: np.ndarray) -> np.ndarray:
+            pairs = [slice(i, i + TILE_STEP) for i in range(0, len(q), TILE_STEP)]
+            return np.concatenate([np.round(np.einsum("pd,pd->p", whole[q[p]], items["whole"][j[p]]), DIGITS) for p in pairs] or [np.zeros(0)])
+
+        best = BestK(len(head), top, fine)
         step = max(1, CELLS // len(head))
         for batch in batches:
             for at in range(0, len(batch), step):

@@ -373,3 +373,11 @@ def test_late_interaction_holds_few_similarities_at_a_time(spark, monkeypatch):
     got = got.groupby(["query_id", "doc_id", "token_id"])["best"].max().groupby(["query_id", "doc_id"]).sum().to_dict()
     assert multiplied[0] == 400 and max(multiplied[1:]) <= 10
     assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 1e-9 for p in got)
+
+
+def test_matryoshka_scores_candidates_where_it_finds_them(space, spark):
+    q, d, queries, items = space
+    found = matryoshka_search(queries, items, d=3, top=20, k=5)
+    assert " Join " not in found._jdf.queryExecution().analyzed().toString()
+    tiled = matryoshka_search(queries, items, d=3, top=20, k=5, block=2, shard=70)
+    assert ranking(tiled) == ranking(found)
