@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.operators.cells import SAMPLE, fit_centroids, nearest, unit_matrix
-from corpuslake.operators.retrieval import DIGITS, SHARD_ITEMS, BestK, best_of, maxsim, search
+from corpuslake.operators.retrieval import DIGITS, BestK, best_of, maxsim, search
 from corpuslake.session import cut_lineage
 
 MOST_CELLS = 1_024
 HOT_TOKENS = 1_024          # documents with more tokens stay in pieces
-QUERIES = 256               # queries of a task: their bounds are one number per query token and cell
+QUERIES = 256               # queries scored at a time: their bounds are one number per query token and cell
+WIDE = 32                   # such blocks that share the documents of a task, at most
+SHARD_DOCS = 16_384         # documents of a task when there are more queries than that
 STEP = 64                   # documents between two looks at the k-th scores
 
 
@@ -103,10 +105,11 @@ class LateScorer:
         self.best.add(scores, ids, valid)
 
 
-def search_late(query_tokens: DataFrame, index: LateIndex, k: int, block: int = QUERIES, shard: int = SHARD_ITEMS) -> DataFrame:
+def search_late(query_tokens: DataFrame, index: LateIndex, k: int, block: int = QUERIES, shard: int = SHARD_DOCS,
+                wide: int = WIDE) -> DataFrame:
     """Best k documents per query (`query_id, token_id, vector`): `query_id, doc_id, score, rank`, as `maxsim` gives with `k`.
 
-    The tokens of a query are one row. Documents in pieces are scored by `maxsim`; they are few, since each has many tokens.
+    The tokens of a query are one row. Documents are copied once per `wide` blocks of queries. Documents in pieces are scored by `maxsim`; they are few, since each has many tokens.
     """
     tokens = query_tokens.select("query_id", "token_id", "vector").where(F.col("vector").isNotNull())
     heads = tokens.groupBy("query_id").agg(F.collect_list("vector").alias("vectors"))
@@ -124,6 +127,6 @@ def search_late(query_tokens: DataFrame, index: LateIndex, k: int, block: int =
         if scorer:
             yield scorer.best.frame(head["query_id"].to_numpy())
 
-    found = search(heads, index.documents, kernel, k, block, shard).drop("rank")
+    found = search(heads, index.documents, kernel, k, block, shard, wide=wide).drop("rank")
     pieces = maxsim(tokens, index.hot, k=k).select("query_id", F.col("doc_id").alias("item_id"), "score")
     return best_of(found.unionByName(pieces), k=k).withColumnRenamed("item_id", "doc_id")

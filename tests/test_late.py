@@ -61,3 +61,10 @@ def test_empty_tables(tokens):
     asked, docs = tokens
     assert search_late(asked, build_late(docs.limit(0)), 3).count() == 0
     assert search_late(asked.limit(0), build_late(docs), 3).count() == 0
+
+
+def test_documents_are_copied_per_group_of_blocks(tokens):
+    asked, docs = tokens
+    docs = docs.where("vector IS NOT NULL")
+    expected = maxsim(asked.where("vector IS NOT NULL"), docs, k=3)
+    assert rows_of(search_late(asked, build_late(docs, hot_tokens=50), 3, block=1, shard=10, wide=4)) == rows_of(expected)
