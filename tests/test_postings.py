@@ -78,3 +78,58 @@ def test_slices_of_frequent_terms(corpus, queries, monkeypatch):
     monkeypatch.setattr(postings, "FILE_POSTINGS", 10)
     index = build_postings(corpus, range_docs=8)
     assert rows_of(search_postings(queries, index, 6)) == rows_of(bm25(queries, corpus, 6))
+
+
+def moved(frame, metric="shuffleBytesWritten"):
+    """Rows of a query that ran, and the bytes (or rows) its shuffles wrote."""
+    rows = frame.collect()
+
+    def written(plan):
+        found = plan.metrics().get(metric) if plan.nodeName() == "Exchange" else None
+        inside = [plan.executedPlan()] if plan.nodeName().startswith("AdaptiveSparkPlan") else []
+        inside += [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+        inside += [plan.children().apply(i) for i in range(plan.children().size())]
+        return sum(map(written, inside), found.get().value() if found is not None and found.isDefined() else 0)
+
+    return rows, written(frame._jdf.queryExecution().executedPlan())
+
+
+def test_blocks_travel_once_for_all_queries(spark, corpus, texts, monkeypatch):
+    index, sums, cut_lineage = build_postings(corpus, range_docs=64), [], postings.cut_lineage
+
+    def watched(df, name):
+        if name == "first-found":
+            sums[-1] += moved(df)[1]
+        return cut_lineage(df, name)
+
+    monkeypatch.setattr(postings, "cut_lineage", watched)
+    for n in (1, 64):
+        asked = spark.createDataFrame([(q, texts[10]) for q in range(n)], "query_id long, text string")
+        sums.append(0)
+        rows, last = moved(search_postings(asked, index, 1))
+        assert len(rows) == n
+        sums[-1] += last
+    assert 0 < sums[1] < 3 * sums[0]
+
+
+def test_blocks_of_a_range_reach_a_folder_in_one_row(corpus, monkeypatch):
+    sizes, sort = [], type(corpus).sortWithinPartitions
+
+    def watched(df, *columns):
+        rows, written = moved(df, "shuffleRecordsWritten")
+        sizes.append((len(rows), written))
+        return sort(df, *columns)
+
+    monkeypatch.setattr(type(corpus), "sortWithinPartitions", watched)
+    index = build_postings(corpus, range_docs=64)
+    (n_blocks, n_rows), = sizes
+    n_parts = index.blocks.select("part").distinct().count()
+    assert n_blocks == index.blocks.count() and n_rows <= corpus.count() + n_parts * postings.BUCKETS < n_blocks
+
+
+@pytest.mark.parametrize("k,cells", [(1, 1), (5, 700), (1_000, 2_000_000)])
+def test_small_tiles_and_steps(corpus, queries, monkeypatch, k, cells):
+    for name, value in (("TILE_RANGES", 2), ("TILE_QUERIES", 3), ("BLOCK_QUERIES", 2), ("CELLS", cells), ("UNPACKED", 3)):
+        monkeypatch.setattr(postings, name, value)
+    index = build_postings(corpus, range_docs=32)
+    assert rows_of(search_postings(queries, index, k, 2)) == rows_of(bm25(queries, corpus, k))
