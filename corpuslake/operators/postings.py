@@ -165,7 +165,7 @@ def build_postings(corpus: DataFrame, k1: float = 1.2, b: float = 0.75, range_do
     blocks = dealt.mapInArrow(_to_blocks(k1, b, avgdl), f"bucket int, term string, part bigint, n bigint, peak double, {lists}")
     blocks = blocks.sortWithinPartitions("bucket", "term", "part")
     path = shared_dir(spark, "postings")
-    blocks.write.partitionBy("bucket").parquet(path)
+    blocks.write.partitionBy("bucket").option("compression", "zstd").parquet(path)  # ids soon outgrow Parquet's dictionary
     blocks = spark.read.schema(blocks.schema).parquet(path)
 
     df = blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
