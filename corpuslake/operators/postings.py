@@ -152,7 +152,8 @@ def build_postings(corpus: DataFrame, k1: float = 1.2, b: float = 0.75, range_do
     docs = rows.where(F.col("text").isNotNull()).join(sizes, F.col("alike").eqNullSafe(F.col("kind")))
     counted = docs.select("item_id", part.alias("part"), counted_words(model_words("text")).alias("c"))
     joined = F.array_join("c.terms", " ")  # a word holds no space
-    counts = cut_lineage(counted.select("item_id", "part", "c.dl", joined.alias("terms"), "c.tfs"), "posting-counts")
+    counted = counted.select("item_id", "part", "c.dl", joined.alias("terms"), "c.tfs")
+    counts = cut_lineage(counted, "posting-counts", compression="zstd")
     occurrences, n_postings = counts.agg(F.sum("dl"), F.sum(F.size("tfs"))).first()
     avgdl = (occurrences or 0) / max(n_texts or 0, 1) or 1.0
     slices = max(1, -(-(n_postings or 0) // (BUCKETS * FILE_POSTINGS)))

@@ -97,10 +97,10 @@ def moved(frame, metric="shuffleBytesWritten"):
 def test_blocks_travel_once_for_all_queries(spark, corpus, texts, monkeypatch):
     index, sums, cut_lineage = build_postings(corpus, range_docs=64), [], postings.cut_lineage
 
-    def watched(df, name):
+    def watched(df, name, **options):
         if name == "first-found":
             sums[-1] += moved(df)[1]
-        return cut_lineage(df, name)
+        return cut_lineage(df, name, **options)
 
     monkeypatch.setattr(postings, "cut_lineage", watched)
     for n in (1, 64):
