@@ -3,6 +3,7 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,21 @@ def test_stream_counts(spark, docs, arriving, tmp_path):
     assert seen.where("reason = 'kept'").agg(F.sum("n")).first()[0] == kept
 
 
+def test_counts_look_at_whole_texts(spark, tmp_path):
+    from corpuslake.catalog import ORACLES, QUERIES
+
+    words = "palabra " * 100  # the one English word stands behind 800 characters
+    texts = [words + "the end", "the " + words, words, "word", None]
+    rows = [(i, t, "es", f"src{i}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.reason, r.n) for r in QUERIES["stream_counts"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(duck.sql(ORACLES["stream_counts"]).fetchall())
+    reasons = {source: reason for source, reason, _ in got}
+    assert reasons == {"src0": "kept", "src1": "kept", "src2": "not_english", "src3": "short", "src4": "kept"}
+
+
 def test_page_reasons(spark):
     rows = spark.createDataFrame([("Acme", "Acme is a company." + "x" * 1000), ("1995", "x")], "title string, text string")
     assert [r.reason for r in page_reason(rows).collect()] == ["kept", "date_title"]
