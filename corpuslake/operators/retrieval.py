@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,9 @@ BLOCK_QUERIES = 4_096       # queries sent to every task
 SHARD_ITEMS = 100_000       # items of one tile when there are more queries than that
 WIDE = 8                    # blocks of queries that share the items of a tile, at most
 TILE_STEP = 8_192           # items of a tile that a kernel gets at a time
+TILE_QUERIES = 512          # queries and items of a product in single precision, which stays in a core's cache
+TILE_ITEMS = 1_024
+SEED_ITEMS = 4_096          # items that the first bounds come from
 CELLS = 2_000_000           # scores held at a time
 TILE_ROWS = 4_000_000       # rows that a tile of late interaction gives, about
 MERGES = 64                 # groups per query in the first step of the final ranking
@@ -268,33 +273,237 @@ def tag_prefilter(chunks: DataFrame, tags: Sequence[str], column: str = "tags")
     return chunks.where(F.arrays_overlap(column, F.array(*[F.lit(t) for t in tags])))
 
 
-def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int, top: int, k: int, **kw) -> DataFrame:
-    """Candidates by the first d dimensions, ranked again by all of them.
+class PrefixBest:
+    """The `top` best items of some queries by their first `d` dimensions, each with its score by all of them.
 
-    A task that takes a pair into its best `top` has both vectors at hand and scores it by all dimensions at once, so
-    vectors are not joined to the candidates afterwards.
+    Items have to come in the order of their ids, so that of equal ones the first stay. Products are taken in single
+    precision, tile by tile of a size that stays in a core's cache; pairs within their error bound of a query's floor are
+    scored again in double precision, and nothing else is.
     """
 
-    def kernel(head: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if head.empty:
+    def __init__(self, vectors: np.ndarray, d: int, top: int):
+        self.d, self.top = d, top
+        self.slack = (min(d, vectors.shape[1]) + 4) * 2.0 ** -24 + ROUNDING  # more than the error of a product
+        self.whole, self.short = unit_rows(vectors), unit_rows(vectors[:, :d])
+        self.near = self.short.astype(np.float32)
+        self.scores = np.full((len(vectors), top), -np.inf)  # best first, compared at DIGITS
+        self.fines = np.zeros((len(vectors), top))
+        self.ids: np.ndarray | None = None
+        self.bounds = np.full(len(vectors), -np.inf, dtype=np.float32)  # no product below can be among the best
+        self.waiting: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(0, len(vectors), TILE_QUERIES)]
+
+    def _block(self, b: int) -> slice:
+        return slice(b * TILE_QUERIES, min(len(self.near), (b + 1) * TILE_QUERIES))
+
+    def add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        short = unit_rows(vectors[:, :self.d])
+        known = np.isfinite(short).all(axis=1)  # others are nobody's best
+        whole, short, ids = unit_rows(vectors[known]), short[known], ids[known]
+        near = short.astype(np.float32)
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, dtype=ids.dtype)
+            if len(near) > self.top:
+                self._guess(near[:SEED_ITEMS])
+        elif self.ids.dtype != ids.dtype:
+            self.ids = self.ids.astype(object)
+        products, mask = np.empty(TILE_QUERIES * TILE_ITEMS, dtype=np.float32), np.empty(TILE_QUERIES * TILE_ITEMS, dtype=bool)
+        for b, waiting in enumerate(self.waiting):
+            here = self._block(b)
+            queries, rows = self.near[here], here.stop - here.start
+            for at in range(0, len(near), TILE_ITEMS):
+                part = near[at:at + TILE_ITEMS]
+                found, high = (space[:rows * len(part)].reshape(rows, len(part)) for space in (products, mask))
+                np.matmul(queries, part.T, out=found)
+                np.greater_equal(found, self.bounds[here, None], out=high)
+                q, j = np.divmod(marked(high), len(part))
+                for i in range(0, len(q), TILE_STEP):  # few at a time, also where there is no bound yet
+                    self._wait(waiting, here, q[i:i + TILE_STEP], j[i:i + TILE_STEP] + at, whole, short, ids)
+                if 2 * sum(len(w[0]) for w in waiting) >= rows * self.top:
+                    self._merge(b)
+
+    def _guess(self, near: np.ndarray) -> None:
+        """Bounds from the first items, so that not all of them have to be taken in."""
+        for b in range(len(self.waiting)):
+            if len(near) > self.top:
+                products = self.near[self._block(b)] @ near.T
+                self.bounds[self._block(b)] = np.partition(products, -self.top, axis=1)[:, -self.top] - np.float32(2 * self.slack)
+
+    def _wait(self, waiting: list, here: slice, q: np.ndarray, j: np.ndarray, whole: np.ndarray, short: np.ndarray, ids: np.ndarray) -> None:
+        scores = np.round(np.einsum("pd,pd->p", self.short[here][q], short[j]), DIGITS)
+        better = scores > self.scores[here, -1][q]
+        if better.any():
+            q, j, scores = q[better], j[better], scores[better]
+            fines = np.round(np.einsum("pd,pd->p", self.whole[here][q], whole[j]), DIGITS)
+            waiting.append((q, scores, fines, ids[j]))
+
+    def _merge(self, b: int) -> None:
+        """What waits takes its places. Of equal scores those that came first stay."""
+        if not self.waiting[b]:
             return
-        whole, short = _matrix(head["vector"]), _matrix(head["vector"].map(lambda v: v[:d]))
-        items = {}
+        here, (q, scores, fines, ids) = self._block(b), map(np.concatenate, zip(*self.waiting[b]))
+        rows = here.stop - here.start
+        q = np.concatenate([np.repeat(np.arange(rows), self.top), q])
+        scores = np.concatenate([self.scores[here].ravel(), scores])
+        order = by_score(q, scores)
+        sizes = np.bincount(q, minlength=rows)
+        order = order[np.arange(len(q)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < self.top]
+        self.scores[here] = scores[order].reshape(rows, self.top)
+        self.fines[here] = np.concatenate([self.fines[here].ravel(), fines])[order].reshape(rows, self.top)
+        self.ids[here] = np.concatenate([self.ids[here].ravel(), ids])[order].reshape(rows, self.top)
+        self.bounds[here] = np.maximum(self.bounds[here], (self.scores[here, -1] - self.slack).astype(np.float32))
+        self.waiting[b].clear()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query (its place), item, score by the first dimensions, score by all; by query, best first."""
+        for b in range(len(self.waiting)):
+            self._merge(b)
+        q, place = np.nonzero(self.scores > -np.inf)
+        ids = np.empty(0, dtype=object) if self.ids is None else self.ids[q, place]
+        return q, ids, self.scores[q, place], self.fines[q, place]
+
+
+def by_score(q: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Order by `q` (below `TILE_QUERIES`), score descending and place. Scores are cosines rounded to `DIGITS`, so all three
+    fit in one whole number, which sorts many times as fast as the columns do."""
+    bits = len(q).bit_length()
+    if int(TILE_QUERIES).bit_length() + 32 + bits > 63:
+        return np.lexsort((-scores, q))
+    low = np.clip(np.rint((1.0 - scores) * 10.0 ** DIGITS) + 1, 0, 2.0 ** 32 - 1).astype(np.int64)  # the last for none
+    return np.sort((((q << 32) + low) << bits) + np.arange(len(q))) & ((1 << bits) - 1)
+
+
+def marked(mask: np.ndarray) -> np.ndarray:
+    """Places of the few true ones, in their order; eight are looked at in one step."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    words = np.flatnonzero(flat.view(np.uint64) != 0)
+    word, bit = np.nonzero(flat.reshape(-1, 8)[words])
+    return words[word] * 8 + bit
+
+
+def _flat(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    sizes = pc.list_value_length(vectors)
+    if vectors.null_count or len(vectors) and pc.min(sizes) != pc.max(sizes):
+        raise ValueError("vectors have to be of one length and not null")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy()
+    ids = np.empty(len(column), dtype=object)
+    ids[:] = column.to_pylist()
+    return ids
+
+
+def _best_rows(best: PrefixBest, query_ids: pa.Array, item_type: pa.DataType, k: int | None) -> pa.RecordBatch:
+    """What was found: the candidates with both scores, or if nothing else can come in, the best `k` by all dimensions."""
+    q, ids, scores, fines = best.rows()
+    if k is None:
+        return pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), pa.array(ids, item_type), pa.array(scores), pa.array(fines)],
+                                          ["query_id", "item_id", "score", "extra"])
+    codes = query_ids.dictionary_encode(null_encoding="encode").indices.to_numpy()[q]  # rows of one query id are one query
 
-        def fine(q: np.ndarray, j: np.ndarray) -> np.ndarray:
-            pairs = [slice(i, i + TILE_STEP) for i in range(0, len(q), TILE_STEP)]
-            return np.concatenate([np.round(np.einsum("pd,pd->p", whole[q[p]], items["whole"][j[p]]), DIGITS) for p in pairs] or [np.zeros(0)])
+    def first(order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.bincount(codes[order]) if len(order) else np.empty(0, dtype=np.int64)
+        places = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return order[places < n], places[places < n]
 
-        best = BestK(len(head), top, fine)
-        step = max(1, CELLS // len(head))
-        for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at:at + step]
-                items["whole"] = _matrix(part["vector"])
-                best.add(short @ _matrix(part["vector"].map(lambda v: v[:d])).T, part["item_id"].to_numpy())
-        yield best.frame(head["query_id"].to_numpy())
+    place_of = ids if ids.dtype.kind in "iu" else pd.factorize(ids, sort=True)[0]
+    kept, _ = first(np.lexsort((place_of, -scores, codes)), best.top)
+    fine = np.where(np.isnan(fines), np.inf, fines)  # as Spark orders them
+    order, places = first(kept[np.lexsort((place_of[kept], -fine[kept], codes[kept]))], k)
+    return pa.RecordBatch.from_arrays([query_ids.take(pa.array(q[order])), pa.array(ids[order], item_type), pa.array(fines[order]),
+                                       pa.array(places + 1, pa.int64())], ["query_id", "item_id", "score", "rank"])
 
-    coarse = search(queries.select("query_id", "vector"), corpus.select("item_id", "vector"), kernel, top, extra=True, **kw)
+
+def matryoshka_search(queries: DataFrame, corpus: DataFrame, d: int, top: int, k: int, block: int = BLOCK_QUERIES,
+                      shard: int | None = None, wide: int = WIDE) -> DataFrame:
+    """Candidates by the first d dimensions, ranked again by all of them.
+
+    A task that takes a pair into its best `top` has both vectors at hand and scores it by all dimensions at once, so
+    vectors are not joined to the candidates afterwards. Up to `block` queries travel to every task. More are cut into
+    blocks of a quarter to `wide` times as many (two per core if that allows it), and a task streams the items past its
+    block, so that it hands on the final k rows per query; it holds the block and one batch of items. With fewer blocks
+    than that and many items, or if `shard` is given, the items are cut, too, and tasks hand on candidates.
+
+    Of items with equal first dimensions only the first `top` can be candidates; the others are left out before they are copied.
+    """
+    heads, items = queries.select("query_id", "vector"), corpus.select("item_id", "vector")
+    query_id, item_id = heads.schema["query_id"], items.schema["item_id"]
+    candidates = T.StructType([query_id, item_id, T.StructField("score", T.DoubleType()), T.StructField("extra", T.DoubleType())])
+    ranked = T.StructType([query_id, item_id, T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
+    head = heads.limit(block + 1).toArrow()
+
+    def stream(best: PrefixBest, batch: pa.RecordBatch) -> None:
+        step = max(1, CELLS // best.whole.shape[1])
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            best.add(_flat(part.column("vector")), _ids(part.column("item_id")))
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All queries against the items of a task."""
+        if not head.num_rows:
+            return
+        table = head.combine_chunks()
+        best, item_type = PrefixBest(_flat(table["vector"].chunk(0)), d, top), None
+        for batch in batches:
+            item_type = batch.column("item_id").type
+            stream(best, batch)
+        if item_type is not None:
+            yield _best_rows(best, table["query_id"].chunk(0), item_type, None)
+
+    def past(final: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Tile by tile, its queries (even `turn`) before its items (odd)."""
+            tile, ids, vectors, best, item_type = None, [], [], None, None
+            for batch in batches:
+                turns = batch.column("turn").to_numpy()
+                starts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(turns)] if len(turns) else []
+                for start, stop in zip(starts, starts[1:]):
+                    part, turn = batch.slice(start, stop - start), int(turns[start])
+                    if turn // 2 != tile:
+                        if best is not None:
+                            yield _best_rows(best, pa.concat_arrays(ids), item_type, k if final else None)
+                        tile, ids, vectors, best = turn // 2, [], [], None
+                    if turn % 2 == 0:
+                        ids.append(part.column("query_id"))
+                        vectors.append(_flat(part.column("vector")))
+                    elif ids:
+                        if best is None:
+                            best, item_type = PrefixBest(np.concatenate(vectors), d, top), part.column("item_id").type
+                            vectors.clear()
+                        stream(best, part)
+            if best is not None:
+                yield _best_rows(best, pa.concat_arrays(ids), item_type, k if final else None)
+        return run
+
+    if head.num_rows <= block:
+        found, n_shards = items.sortWithinPartitions("item_id").mapInArrow(beside, candidates), 0
+    else:
+        cores = items.sparkSession.sparkContext.defaultParallelism
+        n_heads, n_items = heads.count(), corpus.count()
+        fewest, most = -(-n_heads // (block * wide)), -(-n_heads // max(1, block // 4))
+        n_blocks = min(most, -(-max(fewest, 2 * cores) // cores) * cores)
+        n_shards = max(1, min(-(-n_items // (shard or SHARD_ITEMS)), n_items if shard else -(-2 * cores // n_blocks)))
+
+        def numbers(n: int) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+        items = with_rank(items.withColumn("__short", F.slice("vector", 1, d)), ["item_id"], ["__short"], "__copy", limit=top, bounded=True)
+        left = heads.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn("s", numbers(n_shards))
+        right = items.withColumn("s", F.pmod(F.xxhash64("item_id"), F.lit(n_shards))).withColumn("b", numbers(n_blocks))
+        tile = F.col("b") * n_shards + F.col("s")
+        left = left.select((2 * tile).alias("turn"), "query_id", F.lit(None).cast(item_id.dataType).alias("item_id"), "vector")
+        right = right.select((2 * tile + 1).alias("turn"), F.lit(None).cast(query_id.dataType).alias("query_id"), "item_id", "vector")
+        rows = left.unionByName(right).repartitionById(n_blocks * n_shards, F.expr("CAST(turn DIV 2 AS INT)"))
+        rows = rows.sortWithinPartitions("turn", "item_id")
+        if n_shards == 1:
+            return rows.mapInArrow(past(True), ranked)
+        found = rows.mapInArrow(past(False), candidates)
+    coarse = best_of(found, n_shards, k=top)
     rows = coarse.select("query_id", "item_id", F.col("extra").alias("score"))
     return with_rank(rows, [("score", "desc"), "item_id"], ["query_id"], "rank", limit=k, bounded=True)
 

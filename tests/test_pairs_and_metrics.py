@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.catalog.evaluation import PROBES
 from corpuslake.functions.vectors import cosine, l2_normalize, logsumexp, softmax
-from corpuslake.operators import cells
+from corpuslake.operators import cells, retrieval
 from corpuslake.operators.cells import build_cells, search_cells
 from corpuslake.operators.contrastive import HashedBagOfWords, encode_table, expert_load, info_nce, load_balance_loss, router_z
 from corpuslake.operators.pairs import (
@@ -381,3 +381,70 @@ def test_matryoshka_scores_candidates_where_it_finds_them(space, spark):
     assert " Join " not in found._jdf.queryExecution().analyzed().toString()
     tiled = matryoshka_search(queries, items, d=3, top=20, k=5, block=2, shard=70)
     assert ranking(tiled) == ranking(found)
+
+
+def by_prefix(queries, items, d, top, k, names):
+    """The definition of `matryoshka_search`, one query after the other."""
+    coarse, fine = (np.round(unit(queries[:, :n]) @ unit(items[:, :n]).T, 9) for n in (d, queries.shape[1]))
+    out = {}
+    for q in range(len(queries)):
+        near = sorted(range(len(items)), key=lambda i: (-coarse[q, i], names[i]))[:top]
+        best = sorted(near, key=lambda i: (-fine[q, i], names[i]))[:k]
+        out[q] = [(names[i], n, fine[q, i]) for n, i in enumerate(best, 1)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize("kw", [{}, {"block": 8}, {"block": 8, "wide": 2}, {"block": 4, "shard": 100}])
+def test_matryoshka_in_tiles(spark, kw, kind):
+    rng = np.random.default_rng(4)
+    items = rng.normal(size=(700, 12)).astype(np.float32)
+    items[50:350:2, :4] = items[7, :4]  # many equal beginnings, and many equal vectors
+    items[400:500] = items[9]
+    items[500:600, :4] = items[11, :4] + rng.normal(size=(100, 4)).astype(np.float32) * 1e-7  # single precision cannot tell these apart
+    queries = np.concatenate([items[[7, 9, 11, 60]], rng.normal(size=(60, 12)).astype(np.float32)])
+    names = [f"{i * 37 % 701:03d}" if kind == "string" else i * 37 % 701 for i in range(700)]
+    heads = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vector array<float>").repartition(3)
+    corpus = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, items)], f"item_id {kind}, vector array<float>").repartition(5)
+    found = {}
+    for r in matryoshka_search(heads, corpus, 4, 20, 6, **kw).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.item_id, r["rank"], r.score))
+    assert found == by_prefix(queries.astype(float), items.astype(float), 4, 20, 6, names)
+
+
+def test_matryoshka_kernel_in_small_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    queries, items = rng.normal(size=(50, 10)), rng.normal(size=(900, 10))
+    items[300:700] = items[299]
+    expected = by_prefix(queries, items, 3, 12, 12, range(900))
+    for name, value in {"TILE_QUERIES": 8, "TILE_ITEMS": 24, "SEED_ITEMS": 30, "TILE_STEP": 5}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    items = np.concatenate([items, np.full((4, 10), np.nan)])
+    for step in (1, 5, 100, 2_000):
+        best = retrieval.PrefixBest(np.concatenate([queries, np.full((1, 10), np.nan)]), 3, 12)
+        for at in range(0, len(items), step):
+            best.add(items[at:at + step], np.arange(at, min(len(items), at + step)))
+        q, ids, _, fines = best.rows()
+        assert {i: {(n, f) for n, f in zip(ids[q == i], fines[q == i])} for i in range(50)} == {i: {(n, f) for n, _, f in r} for i, r in expected.items()}
+        assert q.max() == 49  # nothing is near a vector that is not a number
+
+
+def test_matryoshka_hands_on_ranked_rows(spark, space):
+    q, d, queries, items = space
+    plan = matryoshka_search(queries, items, d=3, top=20, k=5, block=4)._jdf.queryExecution().analyzed().toString()
+    assert plan.index("MapInArrow") < plan.index("Window")  # candidates are not ranked by a shuffle after the tasks
+    assert plan.count("Window") == 1
+
+
+def test_matryoshka_of_odd_tables(spark):
+    fields = "query_id string, vector array<double>, item_id string"
+    rows = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [0.0, 0.0], None), ("a", [0.0, 1.0], "w"), (None, [1.0, 0.0], "v")], fields)
+    for kw in ({}, {"block": 1}, {"block": 1, "shard": 2}):
+        got = matryoshka_search(rows, rows, d=1, top=3, k=2, **kw)
+        assert got.columns == ["query_id", "item_id", "score", "rank"]
+        table = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in got.collect()}
+        assert table[("b", 1)] == (None, 0.0) and table[("b", 2)] == ("v", 0.0)
+        assert table[(None, 1)] == ("v", 1.0) and table[(None, 2)] == ("x", 1.0)
+        assert table[("a", 1)] == ("v", 1.0) and table[("a", 2)] == ("x", 1.0) and len(table) == 6
+        for none in (matryoshka_search(rows.limit(0), rows, 1, 3, 2, **kw), matryoshka_search(rows, rows.limit(0), 1, 3, 2, **kw)):
+            assert none.collect() == []
